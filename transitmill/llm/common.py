@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,24 +22,43 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if spark.sparkContext.applicationId not in _local:
+        _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="transitmill-")
+    return _local[spark.sparkContext.applicationId]
+
+
+_local: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster shares. A local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if where or sc.master.startswith("local-cluster"):
-            sc.setCheckpointDir(where)
-        else:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="transitmill-"))
+    """df as a reliable checkpoint in the shared folder."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, as one text may be very long."""
+    """Before a Python operator: Arrow batches of few rows, as one text may be very long, and this package on the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        held = Path(tempfile.mkdtemp(prefix="transitmill-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(held, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(held))
+        _shipped.add(app)
+
+
+_shipped: set[str] = set()
 
 
 def words(text: Column) -> Column:

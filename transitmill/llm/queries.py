@@ -7,9 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, lines, mixing, rules, shards
+from . import bottomk, bpe, langid, lines, mixing, rules, secrets, shards, simhash, toxicity
 from .common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.learned_rows()
+    model = langid.fit(docs.filter(learned))
+    out = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", (~learned).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find(docs, secrets.fit(docs), keep=["doc_id"])
+
 
 def op3_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bottomk.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -25,19 +46,35 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.predict(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (~langid.learned_rows()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judged(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.without_boilerplate(table(spark, sf_dir, "documents"))
     return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bottomk, op4_shards, op5_mixing, op7_rules, op9_line_spread)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_bottomk, op4_shards, op5_mixing, op6_toxicity, op7_rules, op8_simhash, op9_line_spread, op10_bpe)}
 
 
 _BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"

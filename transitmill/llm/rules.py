@@ -62,7 +62,7 @@ def standard_rules() -> list[Rule]:
         Rule("too_few_words", c("n_words") < 50),
         Rule("repeated_windows", 100 * c("n_repeat_words") > 50 * c("n_words")),
         Rule("symbols", share("n_symbols", "n_words") > 0.2),
-        Rule("repeated_lines", c("n_dup_lines") >= 4),
+        Rule("repeated_lines", 10 * c("n_dup_lines") > c("n_words")),
         Rule("word_length", ~share("word_chars", "n_words").between(2, 20)),
         Rule("without_letters", lettered < 0.6 * c("n_words")),
         Rule("shouting", shouted > 0.5 * c("n_words")),
