@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running
+from .common import cut, running
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     agree in both are interchangeable. Null texts count as empty (size 1). Other columns of docs are ignored. An empty
     table gives no rows.
     """
-    placed = running(sizes(docs, id_col, text_col), [F.col(id_col).asc_nulls_first(), F.col("_tie"), F.col("size")], {"_before": "size"})
+    placed = running(cut(sizes(docs, id_col, text_col)), [F.col(id_col).asc_nulls_first(), F.col("_tie"), F.col("size")], {"_before": "size"})
     total = placed.agg(F.max(F.col("_before") + F.col("size"))).first()[0] or 1
     placed = placed.withColumn("shard", F.expr(f"cast((2 * _before + size) * {shards} div {2 * total} as int)"))
     first = placed.groupBy("shard").agg(F.min("_pos").alias("_first"))
