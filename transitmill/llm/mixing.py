@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, running
+from .common import SPACE, cut, running
+
+#: Sources up to which their plan is broadcast; with more it is joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -42,12 +45,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     function of the rows alone, so reruns agree.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    narrow = docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"), key.alias("_key"))
+    # cut, so that sampling the ranges doesn't read the texts a second time
+    narrow = cut(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"), key.alias("_key")))
     placed = running(narrow, [F.col(source_col).asc_nulls_last(), F.col("_key"), F.col("size")], {"_before": "size"})
     per_source = placed.groupBy(source_col).agg(F.sum("size").alias("source_size"), F.min("_before").alias("_start"))
     budget = targets(per_source.select(source_col, "source_size"), source_col, weights, max_epochs).withColumnRenamed(source_col, "_source")
     start = per_source.select(F.col(source_col).alias("_source"), "_start")
     plan = budget.join(start, budget["_source"].eqNullSafe(start["_source"])).select(budget["_source"], "source_size", "target", "_start")
+    if per_source.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     out = placed.join(plan, placed[source_col].eqNullSafe(plan["_source"]))
     words = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
