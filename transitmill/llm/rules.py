@@ -93,7 +93,8 @@ def judged(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = N
     The order changes what a row costs, never whether it passes. An empty table gives no rows.
     """
     rules = rules or standard_rules()
-    sample = measured(docs.limit(sample_rows), text_col).drop("row").cache()
+    taken = docs.select(F.col(text_col).cast("string").alias("text")).take(sample_rows)
+    sample = measured(docs.sparkSession.createDataFrame(taken, "text string"), "text").drop("row").cache()
     sample.count()
     ordered = [rule for rule, _, _ in order_rules(sample, rules)]
     sample.unpersist()
