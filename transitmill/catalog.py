@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import answers, feed
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["answers", "feed", "oracle_sql", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
