@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space of the contracts, `[\\x20\\x09-\\x0D]`, as it stands in a pattern and as plain characters.
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -47,18 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Before a Python operator: Arrow batches of few rows, as one text may be very long, and this package on the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        held = Path(tempfile.mkdtemp(prefix="transitmill-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(held, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(held))
-        _shipped.add(app)
-
-
-_shipped: set[str] = set()
+    ship(spark)
 
 
 def words(text: Column) -> Column:
