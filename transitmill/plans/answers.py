@@ -67,7 +67,7 @@ def shape_length(spark, d):
 
 @query("""WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
 h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h),
-m AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM l), e AS (SELECT y, make_date(y, ((h + l - 7 * m + 114) // 31)::INT, ((h + l - 7 * m + 114) % 32)::INT) AS e FROM m)
+m AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM l), e AS (SELECT y, make_date(y, 3, 1) + (h + l - 7 * m + 21)::INT AS e FROM m)
 SELECT e + k AS date FROM e, (VALUES (1), (39), (50)) v(k) UNION ALL SELECT make_date(y, mo, da) FROM y, (VALUES (1, 1), (5, 1), (7, 21), (8, 15), (11, 1), (11, 11), (12, 25)) f(mo, da)""")
 def holidays(spark, d):
     return timetable.holidays(order_years(spark, d))
