@@ -22,6 +22,19 @@ def learned_rows(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2
 
 
+def thinned(ids: DataFrame, per_label: int) -> DataFrame:
+    """(_id, _label): of a label with more than four times per_label rows, the part of them with the least hashes, about four
+    times per_label. So the rows that are ranked in one task stay as few however many tasks read the table. One row a label is
+    collected.
+    """
+    size = {r["_label"]: r["n"] for r in ids.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(1.0)
+    for label, n in sorted(size.items()):
+        if n > 4 * per_label:
+            share = F.when(F.col("_label") == F.lit(label), F.lit(4.0 * per_label / n)).otherwise(share)
+    return ids.filter((F.shiftrightunsigned(F.xxhash64("_id"), 11) / float(1 << 53)) < share) if size else ids
+
+
 def letters(text: str) -> str:
     """The text in lower case, with everything between letters as one space."""
     return _OTHER.sub(" ", text.lower()).strip()
@@ -40,8 +53,8 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """A dictionary for each label, from a bounded sample: docs_per_language documents in the order of a hash of the id, and
     from each the middle chars_per_doc letters of text. The sample is chosen over ids and labels alone; only its texts are read.
     """
-    ranked = rows.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    first = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
+    ranked = thinned(rows.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")), docs_per_language)
+    first = Window.partitionBy("_label").orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 11), "_id")
     chosen = ranked.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= docs_per_language).select("_id").distinct()
     ids = [r[0] for r in chosen.collect()]
     piece = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor(F.length(text_col) / 2).cast("int") - chars_per_doc), F.lit(2 * chars_per_doc))

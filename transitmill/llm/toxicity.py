@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .langid import learned_rows
+from .langid import learned_rows, thinned
 
 #: Bits of a term's hash.
 BITS = 24
@@ -125,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & learned_rows(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     size = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_class).select("_id", "_label")
+    first = Window.partitionBy("_label").orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 11), "_id")
+    chosen = thinned(known, per_class).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_class).select("_id", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
