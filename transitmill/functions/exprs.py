@@ -73,18 +73,28 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.sort_array(values), F.greatest(at, F.lit(1))))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once: a chain of such steps stays small where nested expressions would double."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def easter(year: str | Column) -> Column:
-    """Easter Sunday of a Gregorian year, by Gauss's closed form as completed for the Gregorian calendar."""
-    y = col(year).cast("int")
+    """Easter Sunday of a Gregorian year, by the completed Gaussian form: the full moon by the golden number, then the Sunday after."""
     div = lambda a, b: F.floor(a / b).cast("int")
-    century = div(y, F.lit(100))
-    golden = y % 19
-    epact = (century - div(century, F.lit(4)) - div(8 * century + 13, F.lit(25)) + 19 * golden + 15) % 30
-    moon = epact - div(epact, F.lit(28)) * (1 - div(F.lit(29), epact + 1) * div(21 - golden, F.lit(11)))
-    weekday = (y + div(y, F.lit(4)) + moon + 2 - century + div(century, F.lit(4))) % 7
-    offset = moon - weekday
-    month = 3 + div(offset + 40, F.lit(44))
-    return F.make_date(y, month, offset + 28 - 31 * div(month, F.lit(4)))
+
+    def sunday(y: Column, century: Column, moon: Column) -> Column:
+        weekday = (y + div(y, F.lit(4)) + moon + 2 - century + div(century, F.lit(4))) % 7
+        return F.date_add(F.make_date(y, F.lit(3), F.lit(1)), moon - weekday + 27)
+
+    def moon(y: Column, century: Column, epact: Column) -> Column:
+        late = 1 - div(F.lit(29), epact + 1) * div(21 - y % 19, F.lit(11))
+        return let(epact - div(epact, F.lit(28)) * late, lambda m: sunday(y, century, m))
+
+    def epact(y: Column, century: Column) -> Column:
+        days = (century - div(century, F.lit(4)) - div(8 * century + 13, F.lit(25)) + 19 * (y % 19) + 15) % 30
+        return let(days, lambda e: moon(y, century, e))
+
+    return let(col(year).cast("int"), lambda y: let(div(y, F.lit(100)), lambda c: epact(y, c)))
 
 
 def title_case(name: str | Column) -> Column:

@@ -19,12 +19,12 @@ def order_days(spark, d) -> DataFrame:
 
 @query("""WITH t AS (SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT // 86400 AS a, max(epoch(l_shipdate)::BIGINT // 86400) AS b, o_totalprice AS km FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 x AS (SELECT *, unnest(range(a // 30, CASE WHEN b > a THEN (b - 1) // 30 ELSE a // 30 END + 1)) AS hour FROM t)
-SELECT id, hour, round(km * CASE WHEN b > a THEN (least(b, (hour + 1) * 30) - greatest(a, hour * 30))::DOUBLE / (b - a) ELSE 1 END, 9) AS km, (hour = a // 30)::INT AS trips FROM x""")
+SELECT hour, round(sum(km * CASE WHEN b > a THEN (least(b, (hour + 1) * 30) - greatest(a, hour * 30))::DOUBLE / (b - a) ELSE 1 END), 2) AS km, sum((hour = a // 30)::INT)::BIGINT AS trips FROM x GROUP BY ALL""")
 def trip_hours(spark, d):
     day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
     last = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(day("l_shipdate")).alias("end_s"))
     t = table(spark, d, "orders").join(last, "o_orderkey").select(F.col("o_orderkey").alias("id"), day("o_orderdate").alias("start_s"), "end_s", F.col("o_totalprice").alias("km"))
-    return rounded(timetable.trip_hours(t, unit=30).select("id", "hour", "km", "trips"), 9)
+    return rounded(timetable.trip_hours(t, unit=30).groupBy("hour").agg(F.sum("km").alias("km"), F.sum("trips").alias("trips")), 2)
 
 
 CAL = """WITH cal AS (SELECT n_nationkey::VARCHAR AS service_id, DATE '2024-01-01' + n_regionkey * 7 AS a, DATE '2024-02-15' + n_nationkey AS b, n_nationkey AS k FROM nation),
