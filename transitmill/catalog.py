@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import answers, feed
+from .plans import answers, feed, streams
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["answers", "feed", "oracle_sql", "queries"]
+__all__ = ["answers", "feed", "streams", "oracle_sql", "queries"]
 
 
 def queries() -> dict:

@@ -372,3 +372,52 @@ def title_names(spark, d):
     from ..functions.exprs import title_case
 
     return table(spark, d, "part").select("p_name", title_case(F.upper("p_name")).alias("title")).distinct()
+
+
+@query(E + """, i AS (SELECT DISTINCT service_date, 'f' || (day(service_date) // 4 % 2) AS sha FROM e), n AS (SELECT *, (sha IS DISTINCT FROM lag(sha) OVER (ORDER BY service_date))::INT AS nw FROM i), r AS (SELECT *, sum(nw) OVER (ORDER BY service_date) AS r FROM n)
+SELECT sha, min(service_date) AS first, max(service_date) AS last, count(*) AS n_days FROM r GROUP BY r, sha""")
+def feed_runs(spark, d):
+    i = events(spark, d).select("service_date", F.concat(F.lit("f"), (F.floor(F.day("service_date") / 4) % 2).cast("string")).alias("sha")).distinct()
+    return routes.feed_runs(i)
+
+
+@query("""WITH s AS (SELECT l_orderkey AS trip, l_linenumber AS q, min(l_suppkey % 20) AS st FROM lineitem GROUP BY ALL), t AS (SELECT o_orderstatus AS line, l.trip, string_agg(st::VARCHAR, '>' ORDER BY q) AS stops FROM s l JOIN orders ON o_orderkey = l.trip GROUP BY ALL)
+SELECT line, count(*) AS trips, count(DISTINCT stops) AS patterns FROM t GROUP BY ALL""")
+def trip_patterns(spark, d):
+    st = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence")).agg(F.min(F.col("l_suppkey") % 20).cast("string").alias("stop_id"))
+    tr = table(spark, d, "orders").select(F.col("o_orderstatus").alias("line"), F.lit(0).alias("direction_id"), F.col("o_orderkey").alias("trip_id"))
+    return routes.patterns(st, tr).groupBy("line").agg(F.count(F.lit(1)).alias("trips"), F.count_distinct("pattern_uid").alias("patterns"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS trip, l_linenumber AS q, min(l_suppkey % 20) AS st FROM lineitem GROUP BY ALL), x AS (SELECT DISTINCT string_agg(st::VARCHAR, '>' ORDER BY q) AS stops FROM s JOIN orders ON o_orderkey = s.trip GROUP BY trip),
+l AS (SELECT string_split(stops, '>') AS v FROM x), p AS (SELECT v, unnest(range(1, len(v))) AS i FROM l) SELECT v[i] || '>' || v[i + 1] || '~0' AS link_key, count(*) AS n FROM p GROUP BY ALL""")
+def pattern_links(spark, d):
+    st = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence")).agg(F.min(F.col("l_suppkey") % 20).cast("string").alias("stop_id"))
+    tr = table(spark, d, "orders").select(F.lit("x").alias("line"), F.lit(0).alias("direction_id"), F.col("o_orderkey").alias("trip_id"))
+    return routes.pattern_links(routes.patterns(st, tr)).groupBy("link_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH i AS (SELECT o_orderkey AS date, o_totalprice AS w FROM orders), d AS (SELECT o_orderkey AS date, o_totalprice - (o_custkey % 3 - 1) AS p FROM orders WHERE o_custkey % 5 <> 0) SELECT i.date, w AS written_at FROM i LEFT JOIN d USING (date) WHERE p IS NULL OR w > p")
+def stale_days(spark, d):
+    o = table(spark, d, "orders")
+    done = o.filter("o_custkey % 5 <> 0").select(F.col("o_orderkey").alias("date"), (F.col("o_totalprice") - (F.col("o_custkey") % 3 - 1)).alias("placed_at"))
+    return routes.stale_days(o.select(F.col("o_orderkey").alias("date"), F.col("o_totalprice").alias("written_at")), done)
+
+
+@query("""WITH g AS (SELECT o_custkey % 200 AS k, left(o_orderstatus, 1) AS st, list_sort(list(DISTINCT left(o_orderpriority, 1))) AS s, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT k, arg_max(s, (n, st)) AS rs, arg_max(st, (n, st)) AS f FROM g GROUP BY ALL)
+SELECT k, st, array_to_string(list_sort(list_filter(rs, lambda x: NOT list_contains(s, x))), ',') AS removed, array_to_string(list_sort(list_filter(s, lambda x: NOT list_contains(rs, x))), ',') AS added FROM g JOIN r USING (k) WHERE st <> f""")
+def stop_changes(spark, d):
+    o = table(spark, d, "orders").groupBy((F.col("o_custkey") % 200).alias("k"), F.col("o_orderstatus").alias("st")).agg(F.collect_set(F.substring("o_orderpriority", 1, 1)).alias("stops"), F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("k").orderBy(F.col("n").desc(), F.col("st").desc())
+    x = routes.stop_changes(o.withColumn("ref", F.row_number().over(best) == 1), ["k"])
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return x.filter("not ref").select("k", "st", joined("removed"), joined("added"))
+
+
+@query(E + """, f AS (SELECT event_type AS source, floor(value)::INT % 10 * 10 AS dist, hour % 4 AS k FROM e), l AS (SELECT k, 100.0 + k * 20 AS len_m FROM (VALUES (0), (1), (2), (3)) v(k))
+SELECT source, k, count(*) AS n, round(avg(least(len_m, dist * CASE WHEN k < 3 THEN len_m / 80.0 ELSE 1 END)), 4) AS pos FROM f JOIN l USING (k) GROUP BY ALL""")
+def placed_fixes(spark, d):
+    e = events(spark, d).select(F.col("event_type").alias("source"), (F.floor("value").cast("int") % 10 * 10).alias("dist"), (F.col("hour") % 4).alias("k"))
+    size = e.select("k").distinct().withColumn("len_m", 100.0 + F.col("k") * 20)
+    x = analysis.placed(e, size, size.filter("k < 3").withColumn("flen", F.lit(80.0)), ["k"])
+    return rounded(x.groupBy("source", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("pos_m").alias("pos")))

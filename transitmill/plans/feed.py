@@ -285,3 +285,18 @@ def shard_rows(spark, d):
 def json_polls(spark, d):
     e = events(spark, d).select(F.col("event_id").alias("ts"), F.to_json(F.struct(F.array(F.struct(F.col("user_id").cast("string").alias("lineId"), F.col("event_type").alias("directionId"), F.lit("p").alias("pointId"), F.floor("value").cast("int").alias("distanceFromPoint"))).alias("results"))).alias("payload"))
     return ingest.rows_from_json(e)
+
+
+@query(E + """, x AS (SELECT service_date, hour, count(*) AS n FROM e GROUP BY ALL), f AS (SELECT (service_date - DATE '2024-01-01') * 24 + hour AS ts, n, row_number() OVER (ORDER BY service_date, hour) - 1 AS i, count(*) OVER () AS c FROM x),
+p AS (SELECT *, greatest(1, c // 7) AS st FROM f), q AS (SELECT * FROM p WHERE i % st = st - 1 OR st = 1 ORDER BY ts LIMIT 6)
+SELECT count(*) AS sampled, count(*) FILTER (WHERE n > 1.05 * (n - 4 * (ts % 2)) + 3) AS short, count(*) FILTER (WHERE n > 1.05 * (n - 4 * (ts % 2)) + 3) >= least(2, count(*)) AS incomplete FROM q""")
+def bulk_check(spark, d):
+    ts = F.datediff("service_date", F.lit("2024-01-01").cast("date")) * 24 + F.col("hour")
+    full = events(spark, d).groupBy(ts.alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    return ingest.short_samples(full, full.withColumn("n", F.col("n") - 4 * (F.col("ts") % 2)))
+
+
+@query(E + ", x AS (SELECT event_id % 5000 AS ts, CASE WHEN event_id < 5000 THEN 0 ELSE 1 END AS p, event_type = 'error' AND event_id % 2 = 0 AS frozen FROM e) SELECT ts, arg_min(frozen, p) AS frozen FROM x GROUP BY ALL")
+def snapshot_union(spark, d):
+    e = events(spark, d).select((F.col("event_id") % 5000).alias("ts"), "event_id", ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)).alias("frozen"))
+    return ingest.snapshots([e.filter("event_id < 5000").drop("event_id"), e.filter("event_id >= 5000").drop("event_id")]).select("ts", "frozen")
