@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from transitmill.llm import bpe, langid, lines, mixing, simhash
 from transitmill.llm.common import table
 from transitmill.llm.queries import tokenizer_path
+from transitmill.sources.shared import shared_folder
 
 #: Language models and the tokenizer aren't SQL.
 ORACLE_SQL = None
@@ -63,8 +64,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    from transitmill.llm.common import shared_folder
-
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -108,5 +108,24 @@ SELECT doc_id, o.n_lines::BIGINT AS n_lines, o.n_removed::BIGINT AS n_removed, s
 """
 
 
+_OP7 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM k, (VALUES (0), (1), (2)) v(o) WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+             coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+             len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS lettered,
+             len(list_filter(list_transform(w, lambda x: regexp_replace(x, '[^\p{L}]', '', 'g')), lambda x: length(x) > 1 AND x = upper(x))) AS shouted
+      FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols / greatest(n_words, 1) > 0.2 OR 10 * n_dup_lines > n_words OR word_chars / greatest(n_words, 1) NOT BETWEEN 2 AND 20
+            OR lettered < 0.6 * n_words OR shouted > 0.5 * n_words) AS kept FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _OP5, "op9_line_spread": _OP9}
+    return {"op5_mixing": _OP5, "op7_rules": _OP7, "op9_line_spread": _OP9}
