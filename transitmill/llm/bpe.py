@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Pieces between white space (and as many words) whose result is kept, and the longest that is.
-CACHE_PIECES, CACHE_LENGTH = 100_000, 64
+CACHE_PIECES, CACHE_LENGTH = 160_000, 64
 #: Characters of a text that are taken at a time.
 BLOCK = 1 << 16
 #: Characters on which the library's Unicode tables and Python's may differ: texts that hold one go to the library's own normalizer and splitter.
