@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Pieces between white space (and as many words) whose result is kept, and the longest that is.
-CACHE_PIECES, CACHE_LENGTH = 160_000, 64
+CACHE_PIECES, CACHE_LENGTH = 120_000, 64
 #: Characters of a text that are taken at a time.
 BLOCK = 1 << 16
 #: Characters on which the library's Unicode tables and Python's may differ: texts that hold one go to the library's own normalizer and splitter.
@@ -236,6 +236,10 @@ class Kept(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Utf8Machine:
     """Bytes to text, a byte at a time: the state is how many continuation bytes are due, and the code point so far.
@@ -342,6 +346,9 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
             found = [digests(tokenizer, t) for t in b.column(len(own)).to_pylist()]
             cols = [b.column(i) for i in range(len(own))] + [pa.array([x[k] for x in found], kind) for k, kind in enumerate(new.values())]
             yield pa.RecordBatch.from_arrays(cols, names=[*own, *new])
+        # the worker lives on, beside whatever its executor does next
+        tokenizer.pieces.forget()
+        tokenizer.known.forget()
 
     return docs.select(*[F.col(f"`{c}`") for c in own], F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
 
