@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitmill.functions import exprs
-from transitmill.operators import analysis, coverage, cube, ingest, network, ranking, regularity, routes, stretches, timetable, windows, zones
+from transitmill.operators import analysis, coverage, cube, ingest, network, pages, ranking, regularity, routes, stretches, timetable, windows, zones
 
 D = dt.date(2025, 3, 3)
 day = lambda n: D + dt.timedelta(n)
@@ -303,3 +303,62 @@ def test_expressions(spark):
     assert out.x is None and out.t == "Arts-Loi Gare Du Midi" and out.q == 8
     z = spark.createDataFrame([(dt.date(2025, 3, 30),)], "d date").select(*[c.alias(n) for n, c in zip("ab", exprs.service_window("d", "Europe/Brussels"), strict=True)], exprs.local_midnight("d", "Europe/Brussels").alias("m")).first()
     assert z.b - z.a == 23 * 3600 and z.a - z.m == 3 * 3600
+
+
+def test_regularity_scopes(spark):
+    cols = "line string, direction_id int, stop_id string, service_date string, hour int, n long, m long, nc long, bunch long, gap long, r1 double, r2 double, s1 double, s2 double"
+    row = lambda stop, hour, n: ("1", 0, stop, "2024-01-01", hour, n, n, n, 0, 0, 600.0 * n, 360000.0 * n, 600.0 * n, 360000.0 * n)
+    hw = spark.createDataFrame([row("a", 8, 2), row("a", 22, 3), row("b", 9, 1), row("c", 23, 5)], cols)
+    got = {(r.scope, r.hour, r.stop_id): r.n for r in pages.regularity_scopes(hw, (6, 21)).collect()}
+    assert got == {("total", None, None): 3, ("hour", 8, None): 2, ("hour", 22, None): 3, ("hour", 9, None): 1, ("hour", 23, None): 5, ("stop", None, "a"): 2, ("stop", None, "b"): 1}
+    assert pages.regularity_scopes(hw.limit(0)).count() == 0
+
+
+def test_route_stops(spark):
+    stops = spark.createDataFrame([("1", 0, s) for s in "abcd"], "line string, direction_id int, stop_id string")
+    off = spark.createDataFrame([("1", 0, "a", 0.0, 10), ("1", 0, "b", 100.0, 6), ("1", 0, "b", 20.0, 2), ("1", 0, "c", 50.0, 4), ("1", 0, "z", 1.0, 90)], "line string, direction_id int, stop_id string, off_s double, days long")
+    got = [(r.stop_id, r.off_s, r.days, r.place) for r in pages.route_stops(stops, off).orderBy("place").collect()]
+    assert got == [("a", 0.0, 10, 1), ("b", 80.0, 8, 2)]
+
+
+def test_windows_months_and_lines(spark):
+    d = lambda text: dt.date.fromisoformat(text)
+    months = spark.createDataFrame([(d("2024-01-01"),), (d("2024-02-01"),), (d("2024-03-01"),)], "month date")
+    seen = spark.createDataFrame([(d("2024-01-02"),), (d("2024-03-30"),)], "date date")
+    assert tuple(pages.default_window(months, seen).first()) == (d("2024-02-01"), d("2024-02-29"))
+    assert tuple(pages.default_window(months.limit(0), seen).first()) == (None, None)
+    days = spark.sql("select explode(sequence(date'2024-01-30', date'2024-03-02')) as date")
+    got = [tuple(r) for r in pages.month_days(days, d("2024-01-01"), d("2024-03-01")).orderBy("month").collect()]
+    assert got == [(d("2024-01-01"), 2, 2, 31, False), (d("2024-02-01"), 21, 29, 29, True), (d("2024-03-01"), 1, 1, 31, False)]
+    routes = spark.createDataFrame([("1", "bus", 1), ("1", "tram", 2), ("T7", "bus", 1)], "line string, mode string, since int")
+    assert {tuple(r) for r in pages.newest_lines(routes).collect()} == {("1", "tram", 2, False), ("T7", "bus", 1, True)}
+    out = spark.createDataFrame([(d("2024-01-31"), "holiday"), (d("2024-02-03"), "holiday"), (d("2025-01-01"), "holiday")], "date date, reason string")
+    assert [tuple(r) for r in pages.excluded_days(out, days).collect()] == [("holiday", 1)]
+
+
+def test_ranked_lists(spark):
+    x = spark.createDataFrame([("1", "k", 3600.0, 10.0, None), ("2", "k", 3600.0, 20.0, None), ("1", "m", 100.0, 1.0, "holding"), ("1", "n", -5.0, 1.0, None), ("1", "o", -5.0, 1.0, "terminus")], "line string, link_key string, veh_s_day double, passages_day double, reason string")
+    got = {(r.list, r.rank, r.link_key): (r.veh_h_day, r.veh_h_year, r.s_per_passage, r.reasons) for r in pages.ranked_lists(x, 261).collect()}
+    assert got[("kept", 1, "k")] == (2.0, 522.0, 240.0, "")
+    assert set(got) == {("kept", 1, "k"), ("flagged", 1, "m")} and got[("flagged", 1, "m")][3] == "holding"
+
+
+def test_segment_excess_and_lengths(spark):
+    cube = spark.createDataFrame([("k", 0, 8, 6), ("k", 0, 20, 1), ("k", 1, 8, 2), ("z", 0, 8, 9)], "link_key string, seg int, hour int, n long")
+    passages = spark.createDataFrame([("k", 8, 2), ("k", 21, 1), ("z", 8, 3)], "link_key string, hour int, n long")
+    got = {r.seg: (r.s_passage, r.ref_s, r.excess_s) for r in pages.segment_excess(cube, passages, (6, 20)).collect()}
+    assert got == {0: (60.0, 20.0, 40.0), 1: (20.0, 0.0, 20.0)}
+    links = spark.createDataFrame([("k", 100.0)], "link_key string, len_m double")
+    fixes = spark.createDataFrame([("k", float(i)) for i in range(100) if i < 50 or i % 10 == 0], "link_key string, pos_m double")
+    got = {r.length: (r.segments, r.fixes, r.sparse, r.recommended) for r in pages.segment_lengths(fixes, links, [10.0, 50.0, 100.0]).collect()}
+    assert got == {10.0: (10, 5.5, 0.5, False), 50.0: (2, 27.5, 0.0, True), 100.0: (1, 55.0, 0.0, False)}
+
+
+def test_period_differences(spark):
+    sums = lambda r2: spark.createDataFrame([("a", 10.0, r2, 10.0, 100.0), ("b", 0.0, 0.0, 10.0, 100.0)], "stop_id string, r1 double, r2 double, s1 double, s2 double")
+    assert [tuple(r) for r in pages.wait_change(sums(200.0), sums(300.0), ["stop_id"]).collect()] == [("a", 5.0, 10.0, 5.0)]
+    daily = spark.sql("select 'k' as k, date_add(date'2024-01-01', cast(id as int)) as service_date, 100.0 + id % 3 as v, 10.0 as w from range(30)")
+    lower = daily.withColumn("v", F.col("v") / 2)
+    got = analysis.bootstrap_difference(daily, lower, ["k"], "v", "w", rounds=50).first()
+    assert got.lo <= got.est <= got.hi and got.sure and abs(got.est - 5.05) < 1e-9
+    assert not analysis.bootstrap_difference(daily, daily, ["k"], "v", "w", rounds=50).first().sure

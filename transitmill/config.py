@@ -27,3 +27,5 @@ LOOK_BACK_DAYS, LASTING_DAYS = 365, 7
 SPAN_LIMIT_DAYS = 400
 MAP_MIN_PER_DAY, MAP_MAX_KMH = 1.0, 70.0
 EARTH_KM = 6371.0088
+MIN_STOP_DAYS = 0.5
+MIN_FIXES, SPARSE_SHARE = 5, 0.1

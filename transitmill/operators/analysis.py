@@ -55,11 +55,11 @@ def compared(a: DataFrame, b: DataFrame, key: str = "link_key", least: float = 5
     return x.select(key, (F.col("_va") - F.col("_vb")).alias("dv"), ds.alias("ds"), (ds * F.col("_pa") / 3600).alias("dh"))
 
 
-def bootstrap(daily: DataFrame, keys: list[str], value: str, weight: str, rounds: int = 200, seed: int = 1, date: str = "service_date", level: float = 0.9) -> DataFrame:
-    """(keys, est, lo, hi): ratio of sums of value and weight, with an interval from resampled days.
+def resampled(daily: DataFrame, keys: list[str], value: str, weight: str, rounds: int, seed: int = 1, date: str = "service_date") -> DataFrame:
+    """(keys, _b, _r): the ratio of sums of value and weight in each round of resampled days.
 
     Each round draws how often each day counts, Poisson with mean 1, from a hash of seed, round and day: the same for all keys, and
-    the same at every run. Days are few; each day's rows are multiplied by the rounds and summed at once.
+    the same at every run. Rows are first added up by key and day; each day's sums are multiplied by the rounds and summed at once.
     """
     # cumulative probabilities of a Poisson variable of mean 1
     steps, p = [], 0.36787944117144233
@@ -70,12 +70,31 @@ def bootstrap(daily: DataFrame, keys: list[str], value: str, weight: str, rounds
         acc += term
     draw = F.pmod(F.xxhash64(F.lit(seed), "_b", date), F.lit(1 << 30)) / float(1 << 30)
     count = sum((F.when(draw >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    rounds_of = daily.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", count)
-    each = rounds_of.groupBy(*keys, "_b").agg(ratio(total(F.col(value) * F.col("_k")), total(F.col(weight) * F.col("_k"))).alias("_r"))
+    days = daily.groupBy(*keys, date).agg(total(value).alias("_v"), total(weight).alias("_w"))
+    rounds_of = days.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", count)
+    return rounds_of.groupBy(*keys, "_b").agg(ratio(total(F.col("_v") * F.col("_k")), total(F.col("_w") * F.col("_k"))).alias("_r"))
+
+
+def interval(each: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """(keys, lo, hi): the middle `level` of _r over the rounds."""
     tail = (1 - level) / 2
-    lim = each.groupBy(*keys).agg(F.percentile("_r", F.lit(tail)).alias("lo"), F.percentile("_r", F.lit(1 - tail)).alias("hi"))
+    return each.groupBy(*keys).agg(F.percentile("_r", F.lit(tail)).alias("lo"), F.percentile("_r", F.lit(1 - tail)).alias("hi"))
+
+
+def bootstrap(daily: DataFrame, keys: list[str], value: str, weight: str, rounds: int = 200, seed: int = 1, date: str = "service_date", level: float = 0.9) -> DataFrame:
+    """(keys, est, lo, hi): ratio of sums of value and weight, with an interval from resampled days."""
     est = daily.groupBy(*keys).agg(ratio(total(value), total(weight)).alias("est"))
-    return est.join(lim, keys)
+    return est.join(interval(resampled(daily, keys, value, weight, rounds, seed, date), keys, level), keys)
+
+
+def bootstrap_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str, weight: str, rounds: int = 100, seed: int = 1, date: str = "service_date", level: float = 0.9) -> DataFrame:
+    """(keys, est, lo, hi, sure): the ratio of period a less that of period b for keys of both, with an interval from days that are
+    resampled in each period by itself; `sure` if the interval leaves zero out."""
+    est = lambda x, name: x.groupBy(*keys).agg(ratio(total(value), total(weight)).alias(name))
+    both = est(a, "_a").join(est(b, "_c"), keys).select(*keys, (F.col("_a") - F.col("_c")).alias("est"))
+    draws = resampled(a, keys, value, weight, rounds, seed, date).join(resampled(b, keys, value, weight, rounds, seed + 1, date).withColumnRenamed("_r", "_c"), [*keys, "_b"])
+    lim = interval(draws.withColumn("_r", F.col("_r") - F.col("_c")), keys, level)
+    return both.join(lim, keys).withColumn("sure", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
 def month_delta(df: DataFrame, keys: list[str], month: str, value: str) -> DataFrame:
