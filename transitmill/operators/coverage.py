@@ -73,9 +73,9 @@ def usable_hours(coverage: DataFrame, keys: list[str] | None = None, band: tuple
     return judged.filter("_ok").join(days, on, "left_semi").select(*on, "hour"), days
 
 
-def report_weight(coverage: DataFrame) -> DataFrame:
-    """(service_date, hour, w): seconds that a poll stands for, in ticks."""
-    return coverage.select(*CELL, F.when(F.col("n_snapshots") > 0, F.col("covered_s") / F.col("n_snapshots") / TICK_S).otherwise(F.lit(1.0)).alias("w"))
+def report_weight(coverage: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, service_date, hour, w): seconds that a poll stands for, in ticks."""
+    return coverage.select(*(keys or []), *CELL, F.when(F.col("n_snapshots") > 0, F.col("covered_s") / F.col("n_snapshots") / TICK_S).otherwise(F.lit(1.0)).alias("w"))
 
 
 def feed_coverage(snaps: DataFrame, cap_s: int = 60, keys: list[str] | None = None) -> DataFrame:

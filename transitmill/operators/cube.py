@@ -26,9 +26,9 @@ def band_passages(passages: DataFrame, keys: list[str], n: str = "n") -> DataFra
     return passages.groupBy(*keys).agg(*[total(n, in_band("hour", hours)).alias(f"p_{band}") for band, hours in BANDS.items()])
 
 
-def cube(fixes: DataFrame, passages: DataFrame, hours: DataFrame, keys: list[str]) -> DataFrame:
-    """band_sums and band_passages of usable hours, side by side."""
-    both = band_sums(fixes, keys).join(band_passages(passages.join(hours, CELL, "left_semi"), keys), keys, "full")
+def cube(fixes: DataFrame, passages: DataFrame, hours: DataFrame, keys: list[str], scope: list[str] | None = None) -> DataFrame:
+    """band_sums and band_passages of usable hours, side by side. `scope` names what the hours are usable for, such as the line."""
+    both = band_sums(fixes, keys).join(band_passages(passages.join(hours, [*(scope or []), *CELL], "left_semi"), keys), keys, "full")
     return both.fillna(0.0, [c for c in both.columns if c[:2] in ("o_", "l_", "p_")])
 
 
@@ -46,18 +46,19 @@ def hourly(fixes: DataFrame, passages: DataFrame, hours: DataFrame, keys: list[s
     return x.withColumn("spd_ok", F.col("ok") & (F.sum("_f").over(whole) >= MIN_FEED_SHARE * F.sum("n").over(whole))).drop("_f")
 
 
-def line_hours(h: DataFrame, links: DataFrame, head: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+def line_hours(h: DataFrame, links: DataFrame, head: DataFrame | None = None, keys: list[str] | None = None, scope: list[str] | None = None) -> DataFrame:
     """Per (date, hour): km over all links; metres and seconds of usable hours over whole links (d_s, t_s) and between stop zones
     (d_r, t_r), without a main route's first and last links, links of unknown role and those where vehicles wait."""
-    x = h.join(links.select("link_key", "len_m", "term", "reg", "reg_r"), "link_key", "left")
+    on = [*(scope or []), "link_key"]
+    x = h.join(links.select(*on, "len_m", "term", "reg", "reg_r"), on, "left")
     if head is not None:
-        x = x.join(head, "link_key", "left")
+        x = x.join(head, on, "left")
     else:
         x = x.withColumn("head_m", F.lit(None).cast("double"))
     between = F.greatest(F.col("len_m") - F.coalesce("head_m", F.lit(float(DEFAULT_HEAD_M))) - APPROACH_M, F.lit(0.0))
     use = F.col("spd_ok") & (F.col("term") != 1)
     whole, inner = use & ~F.coalesce("reg", F.lit(False)), use & ~F.coalesce("reg_r", F.lit(False))
-    return x.groupBy(*(keys or CELL)).agg(
+    return x.groupBy(*(keys or [*(scope or []), *CELL])).agg(
         (total(F.col("n") * F.col("len_m")) / 1000).alias("km"), total(F.col("n") * F.col("len_m"), whole).alias("d_s"), total((F.col("o_r") + F.col("o_s")) * TICK_S, whole).alias("t_s"),
         total(F.col("n") * between, inner).alias("d_r"), total(F.col("o_r") * TICK_S, inner).alias("t_r"),
     )
@@ -76,21 +77,22 @@ def both_sources(feed: DataFrame, events: DataFrame, keys: list[str]) -> DataFra
     return both.withColumn("n", F.greatest("n_feed", "n_events"))
 
 
-def link_roles(links: DataFrame, patterns: DataFrame, pattern_days: DataFrame | None = None) -> DataFrame:
-    """(link_key, from_name, to_name, len_m, term): term 1 for the first and last links of main patterns, 2 for links that touch
+def link_roles(links: DataFrame, patterns: DataFrame, pattern_days: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
+    """(scope, link_key, from_name, to_name, len_m, term): term 1 for the first and last links of main patterns, 2 for links that touch
     a stop where any pattern ends, else 0; the median length; names of the least pattern and index."""
-    w = Window.partitionBy("pattern_uid")
+    own = scope or []
+    w = Window.partitionBy(*own, "pattern_uid")
     x = links.withColumn("_m", F.max("link_idx").over(w))
     if pattern_days is not None:
         x = x.join(pattern_days.filter("is_main").select("pattern_uid").distinct().withColumn("_main", F.lit(True)), "pattern_uid", "left").fillna(False, ["_main"])
     else:
         x = x.withColumn("_main", F.lit(True))
-    ends = patterns.select(F.explode(F.array(F.element_at("stop_ids", 1), F.element_at("stop_ids", -1))).alias("_stop")).distinct()
-    x = x.join(ends.select(F.col("_stop").alias("from_stop"), F.lit(True).alias("_a")), "from_stop", "left").join(ends.select(F.col("_stop").alias("to_stop"), F.lit(True).alias("_b")), "to_stop", "left")
+    ends = patterns.select(*own, F.explode(F.array(F.element_at("stop_ids", 1), F.element_at("stop_ids", -1))).alias("_stop")).distinct()
+    x = x.join(ends.select(*own, F.col("_stop").alias("from_stop"), F.lit(True).alias("_a")), [*own, "from_stop"], "left").join(ends.select(*own, F.col("_stop").alias("to_stop"), F.lit(True).alias("_b")), [*own, "to_stop"], "left")
     terminal = F.bool_or(F.col("_main") & ((F.col("link_idx") == 0) | (F.col("link_idx") == F.col("_m"))))
     touches = F.bool_or(F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False)))
     least = F.struct("pattern_uid", "link_idx")
-    return x.groupBy("link_key").agg(F.min_by("from_name", least).alias("from_name"), F.min_by("to_name", least).alias("to_name"), F.median("len_m").alias("len_m"), F.when(terminal, 1).when(touches, 2).otherwise(0).alias("term"))
+    return x.groupBy(*own, "link_key").agg(F.min_by("from_name", least).alias("from_name"), F.min_by("to_name", least).alias("to_name"), F.median("len_m").alias("len_m"), F.when(terminal, 1).when(touches, 2).otherwise(0).alias("term"))
 
 
 def regulated(days: DataFrame, keys: list[str], skip: list | None = None, date: str = "service_date") -> DataFrame:

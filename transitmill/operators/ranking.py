@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import MIN_DAYS, REGULATION_SHARE, TICK_S
-from ..functions.exprs import ratio, total
+from ..config import BANDS, LONG_BANDS, MIN_DAYS, REGULATION_SHARE, TICK_S
+from ..functions.exprs import in_band, ratio, total
 from .windows import first_of, top_n
 
 
@@ -17,6 +17,18 @@ def window_sums(cube: DataFrame, keep, keys: list[str], min_days: int = MIN_DAYS
     return x.filter(F.col("n_days") >= min_days)
 
 
+def hour_cube(hourly: DataFrame, hours: tuple[int, int], keys: list[str]) -> DataFrame:
+    """The cube's columns from an hourly table, with the chosen hours as the day band; the other bands stay what they are. Only hours in
+    which positions hold the line (spd_ok) count. `keys` hold the date, so that days with passages can be counted."""
+    out = []
+    for band, span in (BANDS | {"day": hours}).items():
+        inside = in_band("hour", span)
+        out += [total("o_r", inside).alias(f"o_{band}_r"), total("o_s", inside).alias(f"o_{band}_s"), total("n", inside).alias(f"p_{band}")]
+        if band in LONG_BANDS:
+            out += [total("l_r", inside).alias(f"l_{band}_r"), total("l_s", inside).alias(f"l_{band}_s")]
+    return hourly.filter("spd_ok").groupBy(*keys).agg(*out)
+
+
 def excess(sums: DataFrame, days: str = "D", stops: bool = False, tick: int = TICK_S) -> DataFrame:
     """Seconds that a passage loses over the evening (ex; between stops, at stops, in long stands, in the two peaks), passages a
     day and vehicle seconds lost a day. Links need passages by day and in the evening; a peak without passages is null."""

@@ -33,22 +33,25 @@ def heads(marked: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys).agg((F.ceil(F.max("mark_m")) + 1).cast("double").alias("head_m"))
 
 
-def with_zone(fixes: DataFrame, lengths: DataFrame, head: DataFrame) -> DataFrame:
+def with_zone(fixes: DataFrame, lengths: DataFrame, head: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """fixes with `stop`: within the zone after a link's start or the one before its end."""
-    x = fixes.join(lengths.select("pattern_uid", "link_idx", F.col("len_m").alias("_len")), ["pattern_uid", "link_idx"], "left").join(head, "link_key", "left")
+    own = scope or []
+    x = fixes.join(lengths.select(*own, "pattern_uid", "link_idx", F.col("len_m").alias("_len")), [*own, "pattern_uid", "link_idx"], "left").join(head, [*own, "link_key"], "left")
     near = (F.col("pos_m") <= F.coalesce("head_m", F.lit(float(DEFAULT_HEAD_M)))) | (F.col("pos_m") > F.col("_len") - APPROACH_M)
     return x.withColumn("stop", F.coalesce(near, F.lit(False))).drop("_len", "head_m")
 
 
-def prepared(fixes: DataFrame, marked: DataFrame, head: DataFrame) -> DataFrame:
+def prepared(fixes: DataFrame, marked: DataFrame, head: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Fixes that sit on a mark are moved to half a metre before the zone's end if they lie beyond it; s_m moves along."""
-    on = marked.select("link_key", F.col("mark_m").alias("raw_dist_m"), F.lit(True).alias("_on")).distinct()
-    x = fixes.join(on, ["link_key", "raw_dist_m"], "left").join(head, "link_key", "left")
+    own = scope or []
+    on = marked.select(*own, "link_key", F.col("mark_m").alias("raw_dist_m"), F.lit(True).alias("_on")).distinct()
+    x = fixes.join(on, [*own, "link_key", "raw_dist_m"], "left").join(head, [*own, "link_key"], "left")
     end = F.coalesce("head_m", F.lit(float(DEFAULT_HEAD_M))) - 0.5
     pos = F.when(F.col("_on") & (F.col("pos_m") > end), end).otherwise(F.col("pos_m"))
     return x.withColumn("s_m", F.col("s_m") + pos - F.col("pos_m")).withColumn("pos_m", pos).drop("_on", "head_m")
 
 
-def usable_fixes(fixes: DataFrame, hours: DataFrame, weight: DataFrame) -> DataFrame:
+def usable_fixes(fixes: DataFrame, hours: DataFrame, weight: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Fixes of usable hours with their weight, 1 where it isn't known."""
-    return fixes.join(hours, ["service_date", "hour"]).join(weight, ["service_date", "hour"], "left").fillna(1.0, ["w"])
+    cell = [*(scope or []), "service_date", "hour"]
+    return fixes.join(hours, cell).join(weight, cell, "left").fillna(1.0, ["w"])

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BANDS
-from ..operators import analysis, pages, regularity, timetable
+from ..operators import analysis, pages, ranking, regularity, timetable
 from .answers import DAYS, RK, RT, order_days, rank_links
-from .feed import H, T, hw, times
+from .feed import H, HL, T, hourly, hw, times
 from .registry import E, events, query, rounded, table
 
 _SUMS = "sum(n)::BIGINT AS n, sum(m)::BIGINT AS m, sum(nc)::BIGINT AS nc, sum(bunch)::BIGINT AS bunch, sum(gap)::BIGINT AS gap, sum(r1) AS r1, sum(r2) AS r2, sum(s1) AS s1, sum(s2) AS s2"
@@ -115,3 +115,14 @@ def compared_estimates(spark, d):
     cut = F.lit(dt.date(2024, 1, 15))
     x = analysis.bootstrap_difference(e.filter(F.col("service_date") < cut), e.filter(F.col("service_date") >= cut), ["event_type"], "value", "hour", rounds=20)
     return rounded(x.select("event_type", "est"))
+
+
+_HOURS = {"day": (9, 17)} | {b: x for b, x in BANDS.items() if b != "day"}
+
+
+@query(HL + ", k AS (SELECT link_key, service_date, " + ", ".join(f"coalesce(sum({c}) FILTER (WHERE hour >= {a} AND hour < {z}), 0) AS {n}" for b, (a, z) in _HOURS.items() for c, n in [("o_r", f"o_{b}_r"), ("o_s", f"o_{b}_s"), ("n", f"p_{b}"), *([("l_r", f"l_{b}_r"), ("l_s", f"l_{b}_s")] if b in ("day", "eve") else [])]) + """ FROM h WHERE spd_ok GROUP BY ALL),
+g AS (SELECT link_key, count(*) FILTER (WHERE p_day > 0) AS n_days, sum(o_day_r + o_day_s) AS od, sum(o_eve_r + o_eve_s) AS oe, sum(p_day) AS pd, sum(p_eve) AS pe, sum(l_day_r + l_day_s) AS ld, sum(l_eve_r + l_eve_s) AS le FROM k GROUP BY ALL HAVING count(*) FILTER (WHERE p_day > 0) >= 2)
+SELECT link_key, n_days, round((od / pd - oe / pe) * 20, 4) AS ex, round((ld / pd - le / pe) * 20, 4) AS ex_long FROM g WHERE pd > 0 AND pe > 0""")
+def ranking_hours(spark, d):
+    own = ranking.hour_cube(hourly(spark, d), (9, 17), ["link_key", "service_date"])
+    return rounded(ranking.excess(ranking.window_sums(own, F.lit(True), ["link_key"], 2).withColumn("D", F.lit(1.0)), stops=True).select("link_key", "n_days", "ex", "ex_long"))

@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def session(app: str = "transitmill", **conf: str) -> SparkSession:
@@ -14,8 +15,8 @@ def session(app: str = "transitmill", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=base | conf).getOrCreate()
 
 
-def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
+def empty(spark: SparkSession, schema: str | StructType) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
 
 _shipped: set[str] = set()

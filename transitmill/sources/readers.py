@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import empty
 
@@ -17,13 +18,13 @@ def read(spark: SparkSession, path: str | list[str], columns: list[str] | None =
     return df.select(*columns) if columns else df
 
 
-def read_optional(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The table, or an empty one of that schema where there is none."""
+def read_optional(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The table, or an empty one of that schema where there is none, or none but empty folders."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return empty(spark, ddl)
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return empty(spark, schema)
         raise
 
 
