@@ -362,3 +362,11 @@ def test_period_differences(spark):
     got = analysis.bootstrap_difference(daily, lower, ["k"], "v", "w", rounds=50).first()
     assert got.lo <= got.est <= got.hi and got.sure and abs(got.est - 5.05) < 1e-9
     assert not analysis.bootstrap_difference(daily, daily, ["k"], "v", "w", rounds=50).first().sure
+
+
+def test_two_sided_and_line_order(spark):
+    x = spark.createDataFrame([("a", 3.0), ("b", -1.0), ("c", 3.0), ("d", 0.0), ("e", -4.0), ("f", 1.0), ("g", None)], "link_key string, dv double")
+    got = {(r.side, r.rank): r.link_key for r in pages.two_sided(x, "dv", 2).collect()}
+    assert got == {("up", 1): "a", ("up", 2): "c", ("down", 1): "e", ("down", 2): "b"}
+    lines = spark.createDataFrame([("10",), ("9",), ("T7",), ("1",)], "line string")
+    assert [r.line for r in pages.in_line_order(lines).orderBy("place").collect()] == ["1", "9", "10", "T7"]

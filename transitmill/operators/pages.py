@@ -122,3 +122,14 @@ def segment_lengths(fixes: DataFrame, links: DataFrame, lengths: Sequence[float]
     x = x.select("length", "segments", ratio("_n", "segments").alias("fixes"), (1 - ratio("_full", "segments")).alias("sparse"))
     best = F.min(F.when(F.col("sparse") <= SPARSE_SHARE, F.col("length"))).over(Window.partitionBy(F.lit(0)))
     return x.withColumn("recommended", F.coalesce(F.col("length") == best, F.lit(False)))
+
+
+def two_sided(x: DataFrame, value: str, n: int, tie: str = "link_key") -> DataFrame:
+    """The n rows of greatest positive value (side "up") and of least negative value ("down"), each with its rank."""
+    side = lambda keep, order, name: top_n(x.filter(keep), [order, tie], n).withColumn("side", F.lit(name))
+    return side(F.col(value) > 0, F.col(value).desc(), "up").unionByName(side(F.col(value) < 0, F.col(value).asc(), "down"))
+
+
+def in_line_order(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Adds `place` to a list of lines: shorter names first, so that 9 stands before 10, then by text."""
+    return lines.withColumn("place", F.row_number().over(Window.orderBy(F.length(line), line)))

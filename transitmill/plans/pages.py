@@ -126,3 +126,18 @@ SELECT link_key, n_days, round((od / pd - oe / pe) * 20, 4) AS ex, round((ld / p
 def ranking_hours(spark, d):
     own = ranking.hour_cube(hourly(spark, d), (9, 17), ["link_key", "service_date"])
     return rounded(ranking.excess(ranking.window_sums(own, F.lit(True), ["link_key"], 2).withColumn("D", F.lit(1.0)), stops=True).select("link_key", "n_days", "ex", "ex_long"))
+
+
+_DIFF = "WITH v AS (SELECT l_partkey AS link_key, sum(CASE WHEN l_shipdate < TIMESTAMP '1995-06-17' THEN l_quantity ELSE -l_quantity END) AS dv FROM lineitem GROUP BY ALL)"
+
+
+@query(_DIFF + ", u AS (SELECT link_key, dv, row_number() OVER (ORDER BY dv DESC, link_key) AS rank, 'up' AS side FROM v WHERE dv > 0 UNION ALL SELECT link_key, dv, row_number() OVER (ORDER BY dv, link_key), 'down' FROM v WHERE dv < 0) SELECT * FROM u WHERE rank <= 12")
+def two_sided(spark, d):
+    early = F.col("l_shipdate") < F.lit("1995-06-17").cast("timestamp_ntz")
+    v = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("link_key")).agg(F.sum(F.when(early, F.col("l_quantity")).otherwise(-F.col("l_quantity"))).alias("dv"))
+    return pages.two_sided(v, "dv", 12)
+
+
+@query("SELECT line, row_number() OVER (ORDER BY length(line), line)::INT AS place FROM (SELECT DISTINCT (c_custkey % 130)::VARCHAR AS line FROM customer)")
+def line_order(spark, d):
+    return pages.in_line_order(table(spark, d, "customer").select((F.col("c_custkey") % 130).cast("string").alias("line")).distinct())
