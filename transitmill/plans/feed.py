@@ -249,9 +249,17 @@ def partial_sources(spark, d):
 IV = "WITH iv AS (SELECT o_orderkey AS k, o_custkey % 50 AS g, epoch(o_orderdate)::BIGINT // 86400 AS start, epoch(o_orderdate)::BIGINT // 86400 + (o_custkey % 7) AS fin FROM orders WHERE o_orderkey % 20 = 0)"
 
 
+#: The same of every order.
+IV_ALL = IV.replace(" WHERE o_orderkey % 20 = 0", "")
+
+
 def intervals(spark, d) -> DataFrame:
+    return every_interval(table(spark, d, "orders").filter("o_orderkey % 20 = 0"))
+
+
+def every_interval(orders: DataFrame) -> DataFrame:
     day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
-    return table(spark, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("g"), day.alias("start"), (day + F.col("o_custkey") % 7).alias("end"))
+    return orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("g"), day.alias("start"), (day + F.col("o_custkey") % 7).alias("end"))
 
 
 @query(IV + " SELECT g, start, fin AS \"end\" FROM iv a WHERE NOT EXISTS (SELECT 1 FROM iv b WHERE b.g = a.g AND b.k <> a.k AND b.start <= a.start AND b.fin >= a.fin AND (b.start < a.start OR b.fin > a.fin OR b.k < a.k))")
@@ -265,6 +273,12 @@ def uncovered_polls(spark, d):
     return ingest.uncovered(pt, intervals(spark, d), ["g"], "day").groupBy("g", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(IV_ALL + ", r AS (SELECT *, max(fin) OVER (PARTITION BY g ORDER BY start, fin DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv) SELECT g, start, fin AS \"end\" FROM r WHERE reach IS NULL OR fin > reach")
+def chosen_parts_all(spark, d):
+    """chosen_parts over every order."""
+    return ingest.chosen_parts(every_interval(table(spark, d, "orders")), keys=["g"]).select("g", "start", "end")
+
+
 @query("WITH s AS (SELECT event_type AS k, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT k, n, row_number() OVER (ORDER BY k) AS r FROM s) SELECT k, n, pack FROM (WITH RECURSIVE w AS (SELECT k, n, r, 0 AS pack, n AS held FROM f WHERE r = 1 UNION ALL SELECT f.k, f.n, f.r, w.pack + (w.held > 0 AND w.held + f.n > (SELECT sum(n) FROM f) * 0.5)::INT, CASE WHEN w.held > 0 AND w.held + f.n > (SELECT sum(n) FROM f) * 0.5 THEN f.n ELSE w.held + f.n END FROM w JOIN f ON f.r = w.r + 1) SELECT k, n, pack::BIGINT AS pack FROM w)")
 def bin_pack(spark, d):
     s = events(spark, d).groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
