@@ -279,6 +279,13 @@ def chosen_parts_all(spark, d):
     return ingest.chosen_parts(every_interval(table(spark, d, "orders")), keys=["g"]).select("g", "start", "end")
 
 
+@query(IV_ALL + ", s AS (SELECT g, start AS day, 0 AS side, fin FROM iv UNION ALL SELECT l_suppkey % 50, epoch(l_shipdate)::BIGINT // 86400, 1, NULL FROM lineitem), r AS (SELECT *, max(fin) OVER (PARTITION BY g ORDER BY day, side ROWS UNBOUNDED PRECEDING) AS reach FROM s) SELECT g, day, count(*) AS n FROM r WHERE side = 1 AND (reach IS NULL OR reach < day) GROUP BY ALL")
+def uncovered_polls_all(spark, d):
+    """uncovered_polls over every lineitem and order."""
+    pt = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("g"), F.floor(F.unix_timestamp("l_shipdate") / 86400).alias("day"))
+    return ingest.uncovered(pt, every_interval(table(spark, d, "orders")), ["g"], "day").groupBy("g", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("WITH s AS (SELECT event_type AS k, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT k, n, row_number() OVER (ORDER BY k) AS r FROM s) SELECT k, n, pack FROM (WITH RECURSIVE w AS (SELECT k, n, r, 0 AS pack, n AS held FROM f WHERE r = 1 UNION ALL SELECT f.k, f.n, f.r, w.pack + (w.held > 0 AND w.held + f.n > (SELECT sum(n) FROM f) * 0.5)::INT, CASE WHEN w.held > 0 AND w.held + f.n > (SELECT sum(n) FROM f) * 0.5 THEN f.n ELSE w.held + f.n END FROM w JOIN f ON f.r = w.r + 1) SELECT k, n, pack::BIGINT AS pack FROM w)")
 def bin_pack(spark, d):
     s = events(spark, d).groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
