@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitmill.llm import bpe, langid, lines, mixing, simhash
+from transitmill.llm import bpe, copies, langid, lines, mixing, simhash  # noqa: F401
 from transitmill.llm.common import table
 from transitmill.llm.queries import tokenizer_path
 from transitmill.sources.shared import shared_folder
@@ -34,8 +34,8 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more, every pair."""
+    return copies.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,6 +212,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     held = near_duplicates(docs, id_col, text_col, radius)
     stay = held.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key"))
+    return kept_rows(docs, stay, id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and hash of the text are in stay (_id, _key); those that agree in both come once."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("bigint").alias("_i"), F.xxhash64(F.col(text_col)).alias("_k"))
     kept = rows.join(stay, rows["_i"].eqNullSafe(stay["_id"]) & rows["_k"].eqNullSafe(stay["_key"]), "left_semi")
     return kept.dropDuplicates(["_i", "_k"]).select("_row.*")
