@@ -138,6 +138,23 @@ def test_widespread_lines_stay_once(spark):
     assert sum(r.n_removed for r in got) > 50
 
 
+def test_lines_on_either_side_of_the_threshold(spark):
+    """Lines on 1 to 30 sites with a threshold of 12: sure ones by the sketch, near ones by an exact count."""
+    rows = [(100 * n + k, f"line on {n} sites\nown {n} {k}\neverywhere", f"site{k % n}") for n in range(1, 31) for k in range(40)]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    got = {r.row.doc_id: r.n_removed for r in lines.without_boilerplate(table(spark, rows), min_sites=12).collect()}
+    for n in range(1, 31):
+        for k in range(40):
+            assert got[100 * n + k] == (n >= 12 and k > 0) + (100 * n + k != 100)
+
+
+def test_hot_lines_join_as_the_others_do(spark):
+    rows = [(i, "hot line\n" * 3 + f"own {i}", f"s{i % 15}") for i in range(3000)]
+    got = lines.without_boilerplate(table(spark, rows)).collect()
+    assert sum(r.n_removed for r in got) == 2999 * 3 and all(r.clean == f"own {r.row.doc_id}" for r in got if r.row.doc_id)
+
+
 def test_lines_of_nothing(empty):
     assert lines.without_boilerplate(empty).count() == 0
 
@@ -216,19 +233,33 @@ def test_measures_against_brute_force(docs, rows):
 
 
 def test_cascade_order_never_changes_the_verdict(docs):
-    m = rules.measured(docs)
     std = rules.standard_rules()
-    verdicts = [sorted((str(r.row), r.f is None) for r in rules.cascade(m, order, "f").collect()) for order in (std, std[::-1])]
-    assert verdicts[0] == verdicts[1]
+    verdicts = []
+    for base in (rules.BASE, ()):
+        m = rules.opened(docs, base=base)
+        verdicts += [sorted((str(r.row), r.f is None) for r in rules.cascade(m, order, "f").collect()) for order in (std, std[::-1])]
+    assert all(v == verdicts[0] for v in verdicts)
 
 
 def test_rules_prefer_rejection_per_cost(docs):
-    m = rules.measured(docs).cache()
+    m = rules.opened(docs).cache()
     m.count()
     ordered = rules.order_rules(m, rules.standard_rules())
     rates = [share / seconds for _, seconds, share in ordered]
     assert rates == sorted(rates, reverse=True)
 
 
+@pytest.mark.parametrize("bits", [0, 2, 6, 64])
+def test_windows_that_share_a_hash_are_told_apart(docs, rows, bits):
+    got = rules.opened(docs.filter("n_chars < 5000")).select("row.doc_id", rules.n_repeat_words(F.col("words"), bits).alias("n")).collect()
+    assert Counter(map(tuple, got)) == Counter((i, measures(t or "")[4]) for i, t, _ in rows if len(t or "") < 5000)
+
+
+def test_the_sample_of_rules_comes_from_all_over(spark):
+    docs = spark.range(0, 4000, 1, 4).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    got = sorted(int(r.words[1]) for r in rules.sampled(docs, rows=400).collect())
+    assert 300 < len(got) < 500 and got[0] < 200 and got[-1] > 3800 and 150 < sum(x < 2000 for x in got) < 250
+
+
 def test_rules_of_nothing(empty):
     assert rules.judged(empty).count() == 0

@@ -28,12 +28,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before a Python operator: Arrow batches of few rows, as one text may be very long, and this package on the executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Before a Python operator: Arrow batches bounded by bytes, as one text may be very long, and this package on the executors.
+
+    The bound is a setting of the session that is read when a plan runs; it changes how rows are handed over, never a result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     ship(spark)
 
 
+def hot_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """big joined with small by key, `weight` dropped: small has one row a key and the number of big's rows that bear it, of
+    `total` in all.
+
+    The rows of a key that holds over 1/share of all don't meet in one task: there are fewer than `share` such keys, so they
+    are broadcast. The others join by a shuffle. Null keys join nothing.
+    """
+    hot = small.filter(F.col(weight) * share > total)
+    few = F.broadcast(hot.drop(weight))
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(weight) * share <= total).drop(weight), key)
+    return big.join(few, key).unionByName(rest)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of other characters than SPACE; empty for null or blank texts."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
