@@ -279,7 +279,7 @@ def test_ids_and_decoding_equal_the_library(tokenizer):
         ids = tokenizer.library.encode(t, add_special_tokens=False).ids
         assert list(tokenizer.encode(t)) == ids, t[:80]
         shown = tokenizer.library.decode(ids, skip_special_tokens=False)
-        assert "".join(bpe.decode_tokens(tokenizer, ids)) == shown
+        assert "".join(bpe.decode_tokens(tokenizer, [ids[:2], ids[2:]] if len(ids) > 2 else [ids])) == shown
         assert bpe.digests(tokenizer, t) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
 
 
@@ -339,3 +339,45 @@ def test_encoded_rows(spark, tokenizer, empty):
     ids = bpe.token_ids(docs, tokenizer_path()).filter(F.col("_id") == 13).first().ids
     assert ids == list(tokenizer.encode(ODD[3]))
     assert bpe.encoded(empty, tokenizer_path()).count() == 0
+
+
+def test_every_word_goes_through_the_transducer_and_every_id_through_the_decoder(monkeypatch):
+    own, calls = bpe.Tokenizer(tokenizer_path()), Counter()
+    transduce, feed = own.transduce, bpe.Utf8Machine.feed
+
+    def counted(symbols):
+        calls["words"] += 1
+        for t in transduce(symbols):
+            calls["emitted"] += 1
+            yield t
+
+    def fed(machine, data):
+        calls["bytes"] += len(data)
+        return feed(machine, data)
+
+    monkeypatch.setattr(own, "transduce", counted)
+    monkeypatch.setattr(bpe.Utf8Machine, "feed", fed)
+    text = " ".join(prose(random.Random(4), "aa", 300).split()) + " " + "q" * 700
+    words = {m for m in text.split()}
+    n, ids, decoded = bpe.digests(own, text)
+    want = own.library.encode(text, add_special_tokens=False).ids
+    shown = own.library.decode(want, skip_special_tokens=False)
+    assert n == len(want) and ids == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest() and decoded == hashlib.sha256(shown.encode()).hexdigest()
+    assert calls["words"] == len(words) and calls["bytes"] == len(shown.encode())
+    assert calls["emitted"] == sum(len(own.library.encode(w, add_special_tokens=False).ids) for w in words)
+
+
+def test_a_long_word_is_encoded_in_constant_memory(tokenizer):
+    import tracemalloc
+
+    rng = random.Random(2)
+    word = "".join(rng.choice("aeinrst") for _ in range(60_000))
+    assert list(tokenizer.encode(word)) == tokenizer.library.encode(word, add_special_tokens=False).ids
+    peaks = []
+    for n in (5, 40):
+        text = word * n
+        tracemalloc.start()
+        bpe.digests(tokenizer, text)
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(text))
+        tracemalloc.stop()
+    assert peaks[1] < 8 and peaks[1] * 40 * 60_000 < 20e6

@@ -9,6 +9,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +19,8 @@ from .common import small_batches
 
 #: Pieces between white space (and as many words) whose result is kept, and the longest that is.
 CACHE_PIECES, CACHE_LENGTH = 120_000, 64
-#: Characters of a text that are taken at a time.
-BLOCK = 1 << 16
+#: Characters of a text that are taken at a time, and ids of a long piece.
+BLOCK, PART = 1 << 16, 1 << 13
 #: Characters on which the library's Unicode tables and Python's may differ: texts that hold one go to the library's own normalizer and splitter.
 _UNSURE = re.compile("[^\x00-\x1b\x20-՗ -⁯぀-ヿ一-鿿가-힣]")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -78,9 +79,10 @@ class Tokenizer:
         one = lambda t: t.removesuffix(self.end) if self.end and t.endswith(self.end) else t
         self.lookahead = lookahead([(one(a), one(b)) for a, b in pairs])
         self.window = max(CACHE_LENGTH, self.lookahead)
-        self.id_text = {t: str(i) for t, i in self.vocab.items()}
-        self.known = Kept(self.word_texts)
-        self.pieces = Kept(self.piece_texts)
+        self.id_text = {i: str(i) for i in self.tokens}
+        self.token_bytes = {i: t.encode() for i, t in self.tokens.items()}
+        self.known = Kept(self.word_ids)
+        self.pieces = Kept(self.piece_ids)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The tokens of symbols: the pair of least rank, leftmost first, until none is left."""
@@ -172,22 +174,19 @@ class Tokenizer:
             return (piece[:-1], piece[-1])
         return (m.group() for m in self.pattern.finditer(piece))
 
-    def word_tokens(self, word: str) -> Iterable[str]:
-        """Tokens of a word, streamed if it is long."""
-        return self.merge(self.symbols(word)) if len(word) <= CACHE_LENGTH else self.transduce(self.symbols(word))
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        """Ids of a short word, from the transducer."""
+        return tuple(map(self.vocab.__getitem__, self.transduce(self.symbols(word))))
 
-    def word_texts(self, word: str) -> tuple[str, str]:
-        """(ids, tokens) of a word, each joined by spaces."""
-        own = list(self.word_tokens(word))
-        return " ".join(map(self.id_text.__getitem__, own)), " ".join(own)
-
-    def piece_texts(self, piece: str) -> tuple[str, str]:
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        """Ids of a short piece."""
         found = [self.known[w] for w in self.words(piece)]
-        return found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
 
-    def piece_tokens(self, piece: str) -> Iterator[str]:
+    def long_ids(self, piece: str) -> Iterator[int]:
+        """Ids of a long piece as the transducer emits them; nothing of it is remembered."""
         for word in self.words(piece):
-            yield from self.word_tokens(word)
+            yield from map(self.vocab.__getitem__, self.transduce(self.symbols(word)))
 
     def blocks(self, text: str) -> Iterator[list[str] | int]:
         """A text as the ids of special tokens in it and, between them, lists of pieces without white space."""
@@ -207,15 +206,25 @@ class Tokenizer:
                 yield [p for p in split(part[lo:hi]) if p]
                 lo = hi
 
-    def encode(self, text: str) -> Iterator[int]:
-        """The ids of a text, as its pieces come."""
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text in lists, each as soon as its part of the text is encoded: a block's pieces, or up to PART ids of a long piece."""
         for block in self.blocks(text):
             if isinstance(block, int):
-                yield block
+                yield [block]
+            elif max(map(len, block), default=0) <= CACHE_LENGTH:
+                yield list(chain.from_iterable(map(self.pieces.__getitem__, block)))
             else:
                 for piece in block:
-                    for t in self.piece_tokens(piece):
-                        yield self.vocab[t]
+                    if len(piece) <= CACHE_LENGTH:
+                        yield list(self.pieces[piece])
+                        continue
+                    ids = self.long_ids(piece)
+                    while part := list(islice(ids, PART)):
+                        yield part
+
+    def encode(self, text: str) -> Iterator[int]:
+        """The ids of a text, as its pieces come."""
+        return chain.from_iterable(self.parts(text))
 
 
 class Kept(dict):
@@ -225,7 +234,7 @@ class Kept(dict):
         super().__init__()
         self.make, self.old = make, {}
 
-    def __missing__(self, key: str) -> tuple[str, str]:
+    def __missing__(self, key: str) -> tuple[int, ...]:
         if (found := self.old.get(key)) is None:
             found = self.make(key)
             if len(key) > CACHE_LENGTH:
@@ -251,9 +260,13 @@ class Utf8Machine:
         self.due, self.code, self.low, self.high = 0, 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
+        if not self.due:
+            # no sequence is open: bytes that are whole and valid leave the machine in the same state
+            try:
+                return data.decode()
+            except UnicodeDecodeError:
+                pass
         out = []
-        if not self.due and data.isascii():
-            return data.decode("ascii")
         for b in data:
             if self.due:
                 if self.low <= b <= self.high:
@@ -295,12 +308,12 @@ def decode_words(tokenizer: Tokenizer, ids: Iterable[int]) -> Iterator[str]:
     yield machine.end()
 
 
-def decode_tokens(tokenizer: Tokenizer, ids: Iterable[int]) -> Iterator[str]:
-    """What the library's decode gives for a file without a decoder: the token strings, joined by one space."""
-    machine, first = Utf8Machine(), True
-    for i in ids:
-        yield machine.feed((b"" if first else b" ") + tokenizer.tokens[i].encode())
-        first = False
+def decode_tokens(tokenizer: Tokenizer, parts: Iterable[list[int]]) -> Iterator[str]:
+    """What the library's decode gives for a file without a decoder, in parts: the token strings of lists of ids, joined by one space."""
+    machine, lead = Utf8Machine(), b""
+    for ids in filter(None, parts):
+        yield machine.feed(lead + b" ".join(map(tokenizer.token_bytes.__getitem__, ids)))
+        lead = b" "
     yield machine.end()
 
 
@@ -310,30 +323,32 @@ def load(path: str) -> Tokenizer:
 
 
 def digests(tokenizer: Tokenizer, text: str | None) -> tuple[int, str, str]:
-    """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), kept in constant memory besides the text."""
+    """(number of ids, SHA-256 of the ids, SHA-256 of the text that they decode to).
+
+    Every part goes out of the transducer, into the first hash, and through the decoder into the second, before the next one
+    is begun. Beside the text there are copies of a block or of its longest piece without white space, and no list of tokens.
+    """
     ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-    get = tokenizer.pieces.__getitem__
-    for block in tokenizer.blocks(text or ""):
-        if isinstance(block, int):
-            a, b = str(block), tokenizer.tokens[block]
-        else:
-            if not block:
-                continue
-            found = [get(piece) for piece in block]
-            a, b = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-        if n:
-            ids.update(b" ")
-            decoded.update(b" ")
-        ids.update(a.encode())
-        decoded.update(b.encode())
-        n += a.count(" ") + 1
+
+    def passed() -> Iterator[list[int]]:
+        nonlocal n
+        for part in tokenizer.parts(text or ""):
+            if part:
+                ids.update(((" " if n else "") + " ".join(map(tokenizer.id_text.__getitem__, part))).encode())
+                n += len(part)
+                yield part
+
+    for shown in decode_tokens(tokenizer, passed()):
+        decoded.update(shown.encode())
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns named by keep) with n_tokens, ids_sha256 and decoded_sha256 of each whole text; null counts as empty.
 
-    `path` is the tokenizer's file, present on every executor. Columns that bear one of the three names are replaced.
+    `path` is the tokenizer's file, present on every executor. Columns that bear one of the three names are replaced, others
+    pass through. Repeated rows get equal answers, an empty table gives no rows, and a very long text or word is encoded in
+    memory that doesn't grow with its number of tokens.
     """
     small_batches(docs.sparkSession)
     new = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
