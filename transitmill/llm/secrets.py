@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,6 +24,7 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\sA-Za-z0-9+/_.\-]")
+_GAP = re.compile(r"\s")
 _NAMES = {"password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "access", "auth", "bearer", "credential", "credentials", "private", "passphrase"}
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -54,6 +57,8 @@ _START = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()])[:-1].tolist(), strict
 WIDTH = sum(GROUPS.values())
 #: Places of the neighbours whose features count, the token itself first; and the features of the whole file.
 PLACES, FILE = (0, -1, -2, -3, 1), 4
+#: Tokens that scores are held for at a time.
+BLOCK = 1 << 15
 
 
 def shape(token: str) -> int:
@@ -86,10 +91,19 @@ def values(token: str) -> tuple[int, ...]:
     return tuple(_START[g] + v for g, v in own.items())
 
 
-def file_values(text: str) -> list[float]:
-    """Of the whole text: names a secret, many digits, many symbols, short."""
-    lower, n = text.lower(), max(len(text), 1)
-    return [float(any(w in lower for w in _ASSIGN_WORDS)), float(sum(map(text.count, "0123456789")) > 0.05 * n), float(sum(map(text.count, "={}<>;$#|")) > 0.03 * n), float(len(text) < 500)]
+Counts = tuple[int, int, int, bool]
+
+
+def file_counts(text: str) -> Counts:
+    """Of a whole text: code points, digits, symbols of code, and whether it names a secret."""
+    lower = text.lower()
+    return len(text), sum(map(text.count, "0123456789")), sum(map(text.count, "={}<>;$#|")), any(w in lower for w in _ASSIGN_WORDS)
+
+
+def file_values(counts: Counts) -> list[float]:
+    """The file's features: names a secret, many digits, many symbols, short."""
+    n, digits, symbols, named = counts
+    return [float(named), float(digits > 0.05 * n), float(symbols > 0.03 * n), float(n < 500)]
 
 
 _SIZES = tuple(GROUPS.values())
@@ -133,68 +147,90 @@ class Model:
     def __reduce__(self) -> tuple:
         return Model, (self.emission, self.file, self.moves, self.start)
 
-    def emissions(self, tokens: list[str], file: list[float], labels: tuple[int, ...] = (OUTSIDE, BEGIN, INSIDE)) -> np.ndarray:
-        """scores[token, label] without moves."""
-        n = len(tokens)
-        own = np.fromiter(map(self.classes.__getitem__, tokens), np.int64, n)
-        add = self.adds[:, :, labels]
-        out = add[0][own] + (np.asarray(file) @ self.file)[list(labels)]
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """The class of each token."""
+        return np.fromiter(map(self.classes.__getitem__, tokens), np.int32, len(tokens))
+
+    def emissions(self, own: np.ndarray, file: list[float], lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """scores[token, label] without moves, of the tokens lo to hi of all whose classes are given."""
+        hi = len(own) if hi is None else hi
+        out = self.adds[0][own[lo:hi]] + np.asarray(file) @ self.file
         for p, off in enumerate(PLACES):
-            if off < 0:
-                out[-off:] += add[p][own[:off]]
-            elif off > 0:
-                out[:-off] += add[p][own[off:]]
+            a, b = max(lo + off, 0), min(hi + off, len(own))
+            if off and a < b:
+                out[a - off - lo : b - off - lo] += self.adds[p][own[a:b]]
         return out
 
 
-def viterbi(model: Model, tokens: list[str], file: list[float]) -> list[tuple[int, int]]:
-    """The secrets in Viterbi's best path, as (first token, last token).
+def viterbi(model: Model, own: np.ndarray, file: list[float], block: int = BLOCK) -> list[tuple[int, int]]:
+    """The secrets in Viterbi's best path over tokens of the given classes, as (first token, last token).
 
     The path is sought over the stretches in which a secret can begin. One opens at a token whose begin score, with all that
     being inside may gain later, beats being outside; it closes once being outside leads by more than any continuation
-    could make up. All other tags are outside, so the result is that of the whole lattice.
+    could make up. All other tags are outside, so the result is that of the whole lattice, whose scores are held for
+    `block` tokens at a time.
     """
-    if not tokens:
-        return []
-    scores = model.emissions(tokens, file)
-    open_at = np.nonzero(scores[:, BEGIN] - scores[:, OUTSIDE] + model.enter + model.lead > 0)[0].tolist()
     out: list[tuple[int, int]] = []
-    moves, n, done = model.moves.tolist(), len(tokens), 0
-    for i in open_at:
-        if i < done:
-            continue
-        e = scores[i].tolist()
-        first = model.start.tolist() if i == 0 else moves[OUTSIDE]
-        score, back, j = [first[OUTSIDE] + e[OUTSIDE], first[BEGIN] + e[BEGIN], -1e9], [[OUTSIDE] * 3], i + 1
-        while j < n and score[OUTSIDE] <= max(score[BEGIN], score[INSIDE]) + model.lead:
-            e, now, came = scores[j].tolist(), [], []
-            for s in range(3):
-                options = [score[r] + moves[r][s] for r in range(3)]
-                r = max(range(3), key=options.__getitem__)
-                came.append(r)
-                now.append(options[r] + e[s])
-            score, j = now, j + 1
-            back.append(came)
-        s, path = max(range(3), key=score.__getitem__), []
-        for k in range(len(back) - 1, -1, -1):
-            path.append(s)
-            s = back[k][s]
-        for k, s in enumerate(reversed(path), i):
-            if s == BEGIN:
-                out.append((k, k))
-            elif s == INSIDE:
-                out[-1] = (out[-1][0], k)
-        done = j
+    moves, start, n, done = model.moves.tolist(), model.start.tolist(), len(own), 0
+    for lo in range(0, n, block):
+        scores = model.emissions(own, file, lo, min(lo + block, n))
+        for i in (lo + np.nonzero(scores[:, BEGIN] - scores[:, OUTSIDE] + model.enter + model.lead > 0)[0]).tolist():
+            if i < done:
+                continue
+            held, base = scores, lo
+            e = held[i - base].tolist()
+            first = start if i == 0 else moves[OUTSIDE]
+            score, back, j = [first[OUTSIDE] + e[OUTSIDE], first[BEGIN] + e[BEGIN], -1e9], [[OUTSIDE] * 3], i + 1
+            while j < n and score[OUTSIDE] <= max(score[BEGIN], score[INSIDE]) + model.lead:
+                if j - base >= len(held):
+                    held, base = model.emissions(own, file, j, min(j + block, n)), j
+                e, now, came = held[j - base].tolist(), [], []
+                for s in range(3):
+                    options = [score[r] + moves[r][s] for r in range(3)]
+                    r = max(range(3), key=options.__getitem__)
+                    came.append(r)
+                    now.append(options[r] + e[s])
+                score, j = now, j + 1
+                back.append(came)
+            s, path = max(range(3), key=score.__getitem__), []
+            for k in range(len(back) - 1, -1, -1):
+                path.append(s)
+                s = back[k][s]
+            for k, s in enumerate(reversed(path), i):
+                if s == BEGIN:
+                    out.append((k, k))
+                elif s == INSIDE:
+                    out[-1] = (out[-1][0], k)
+            done = j
     return out
 
 
 def crf_spans(model: Model, text: str) -> list[Span]:
-    """(start, end, "crf") of the tagged secrets of a whole text."""
-    found = viterbi(model, _TOKEN.findall(text), file_values(text))
-    if not found:
+    """(start, end, "crf") of the tagged secrets of a whole text. Beside the text, 4 bytes a token are held, and the tokens of
+    one block between white space."""
+    cuts, own, lo = [], [], 0
+    while lo < len(text):
+        hi = min(lo + 8 * BLOCK, len(text))
+        if hi < len(text):
+            hi = m.start() if (m := _GAP.search(text, hi)) else len(text)
+        cuts.append(lo)
+        own.append(model.numbers(_TOKEN.findall(text, lo, hi)))
+        lo = hi
+    if not own:
         return []
-    at = list(_TOKEN.finditer(text))
-    return [(at[a].start(), at[b].end(), "crf") for a, b in found]
+    first = np.cumsum([0, *map(len, own)]).tolist()
+    out, at = [], (-1, [])
+
+    def place(k: int) -> tuple[int, int]:
+        nonlocal at
+        b = bisect_right(first, k) - 1
+        if at[0] != b:
+            at = b, [(m.start(), m.end()) for m in _TOKEN.finditer(text, cuts[b], cuts[b + 1] if b + 1 < len(cuts) else len(text))]
+        return at[1][k - first[b]]
+
+    for a, b in viterbi(model, np.concatenate(own), file_values(file_counts(text))):
+        out.append((place(a)[0], place(b)[1], "crf"))
+    return out
 
 
 def scan(model: Model, text: str | None) -> tuple[list[Span], list[Span]]:
@@ -210,8 +246,11 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(sequences: list[tuple[list[str], list[int], list[float]]], steps: int = 150, rate: float = 0.15, l2: float = 1e-3) -> Model:
-    """Maximum likelihood by Adam; gradients from the forward-backward algorithm over all (tokens, labels, file) at once."""
+def train(sequences: list[tuple[list[str], list[int], list[float]]], steps: int = 150, rate: float = 0.15, l2: float = 1e-3, settled: float = 2e-4) -> Model:
+    """Maximum likelihood by Adam; gradients from the forward-backward algorithm over all (tokens, labels, file) at once.
+
+    It ends after `steps`, or once ten of them gain less than `settled` of log-likelihood a sequence.
+    """
     n, length = len(sequences), max(len(s[0]) for s in sequences)
     x, extra = np.zeros((n, length, len(PLACES) * WIDTH), np.float32), np.zeros((n, FILE), np.float32)
     y, mask = np.zeros((n, length), np.int64), np.zeros((n, length), bool)
@@ -230,6 +269,7 @@ def train(sequences: list[tuple[list[str], list[int], list[float]]], steps: int
     first = np.array([0, 0, -1e4])
     gold = np.eye(3)[y] * mask[..., None]
     steps_gold = np.einsum("kti,ktj->ij", gold[:, :-1], gold[:, 1:])
+    gains: list[float] = []
     for step in range(1, steps + 1):
         e = (flat @ theta["w"]).reshape(n, length, 3) + (extra @ theta["f"])[:, None, :]
         moves = theta["m"] + never
@@ -243,6 +283,9 @@ def train(sequences: list[tuple[list[str], list[int], list[float]]], steps: int
             now = _logsumexp(moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
             beta[:, t] = np.where(mask[:, t + 1, None], now, beta[:, t + 1] * 0)
         z = _logsumexp(alpha[:, -1], 1)
+        gains.append(float(((gold * e).sum() + (steps_gold * theta["m"]).sum() + (gold[:, 0] @ theta["s"]).sum() - z.sum()) / n))
+        if step > 30 and gains[-1] - gains[-11] < settled:
+            break
         post = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         pair = np.exp(alpha[:, :-1, :, None] + moves + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
         d = gold - post
@@ -254,17 +297,31 @@ def train(sequences: list[tuple[list[str], list[int], list[float]]], steps: int
     return Model(theta["w"].reshape(len(PLACES), WIDTH, 3), theta["f"], theta["m"] + never, theta["s"] + first)
 
 
-def examples(texts: list[str], count: int = 900, seed: int = 3) -> list[tuple[list[str], list[int], list[float]]]:
-    """Training windows from texts without secrets of their own: into some, a secret is written in one of many ways; others get
-    what only looks like one, such as numbers, names without a value, addresses and long words.
+Piece = tuple[str, str, Counts]
 
-    Nothing but the texts and a seed goes in, so the same texts give the same windows.
+
+def window(text: str, rng: random.Random) -> Piece | None:
+    """A place in a whole text: up to 8 words before it and 6 after it (200 characters at most each), and the text's counts.
+    None if the text has secrets by the fixed patterns."""
+    if base_spans(text):
+        return None
+    at = rng.randrange(len(text) + 1)
+    before, after = text[max(0, at - 200) : at].split(), text[at : at + 200].split()
+    return " ".join(before[-8:]), " ".join(after[:6]), file_counts(text)
+
+
+def examples(pieces: list[Piece], count: int = 900, seed: int = 3) -> list[tuple[list[str], list[int], list[float]]]:
+    """Training windows from places in texts without secrets of their own: into some, a secret is written in one of many ways;
+    others get what only looks like one, such as numbers, names without a value, addresses and long words.
+
+    The file's features are those of the place's whole text with what is written into it; every fourth window is a
+    file by itself. Nothing but the places and a seed goes in, so the same ones give the same windows.
     """
     rng = random.Random(seed)
     pools = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
     draw = lambda pool, lo, hi: "".join(rng.choice(pools[pool]) for _ in range(rng.randint(lo, hi)))
     digits = lambda lo, hi: "".join(rng.choice("0123456789") for _ in range(rng.randint(lo, hi)))
-    clean = [t for t in texts if t and not base_spans(t)] or ["a few plain words stand here"]
+    pieces = pieces or [("a few plain", "words stand here", (28, 0, 0, False))]
 
     def secret() -> tuple[str, str]:
         kind = rng.random()
@@ -279,17 +336,16 @@ def examples(texts: list[str], count: int = 900, seed: int = 3) -> list[tuple[li
 
     out = []
     for k in range(count):
-        words = rng.choice(clean).split(" ")
-        at = rng.randrange(len(words))
-        before, after = " ".join(words[max(0, at - 8) : at]), " ".join(words[at : at + 6])
+        before, after, counts = rng.choice(pieces)
         if k % 2:
             lead, value = secret()
             own, quote = value.split("\0")
-            text = f"{before} {lead}{own}{quote} {after}"
+            put = f" {lead}{own}{quote} "
             lo = len(before) + 1 + len(lead)
             hi = lo + len(own)
         else:
-            text, lo, hi = f"{before} {decoy() if k % 4 else ''} {after}", -1, -1
+            put, lo, hi = f" {decoy() if k % 4 else ''} ", -1, -1
+        text = before + put + after
         found = list(_TOKEN.finditer(text))[:40]
         if not found:
             continue
@@ -298,22 +354,47 @@ def examples(texts: list[str], count: int = 900, seed: int = 3) -> list[tuple[li
             inside = lo <= m.start() < hi
             labels.append((INSIDE if begun else BEGIN) if inside else OUTSIDE)
             begun = inside
-        out.append(([m.group() for m in found], labels, file_values(text)))
+        more = file_counts(text if rng.random() < 0.25 else put)
+        counts = more if more[0] == len(text) else (*[a + b for a, b in zip(counts[:3], more[:3], strict=True)], counts[3] or more[3])
+        out.append(([m.group() for m in found], labels, file_values(counts)))
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 400, chars: int = 2000) -> Model:
-    """Learns from windows that are made of at most sample_docs documents, those of least hash of the id; no labels are needed."""
-    ids = [r[0] for r in docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs).collect()]
-    rows = docs.filter(F.col(id_col).isin(ids) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.substring(text_col, 1, chars).alias("t")).collect()
-    return train(examples([r["t"] for r in sorted(rows, key=lambda r: (r["i"], r["t"]))]))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 400, windows: int = 900) -> Model:
+    """Learns from `windows` windows, made of one place in each of at most sample_docs documents: those of least hash among the
+    distinct ids. No labels are needed. Places are chosen, and whole texts counted, on the executors.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_i"))
+    order = F.pmod(F.xxhash64("_i"), F.lit(1 << 40))
+    share = min(1.0, 8 * sample_docs / max(ids.count(), 1))
+    few = ids.filter(order < int(share * (1 << 40))).distinct().orderBy(order, "_i").limit(sample_docs)
+    chosen = [r[0] for r in few.collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [window(t, random.Random(zlib.crc32(t.encode()))) for t in b.column(1).to_pylist()]
+            rows = [(k, *x[:2], *x[2]) for k, x in enumerate(found) if x]
+            held = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([held, *[pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds)]], names=["i", "before", "after", "n", "digits", "symbols", "named"])
+
+    rows = docs.filter(F.col(id_col).isin(chosen) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    kind = rows.schema["i"].dataType.simpleString()
+    places = rows.mapInArrow(run, f"i {kind}, before string, after string, n bigint, digits bigint, symbols bigint, named boolean")
+    # one place an id, however many rows share it
+    one = places.groupBy("i").agg(F.min(F.struct("before", "after", "n", "digits", "symbols", "named")).alias("p")).collect()
+    held = [(r.p.before, r.p.after, (r.p.n, r.p.digits, r.p.symbols, r.p.named)) for r in sorted(one, key=lambda r: r.i)]
+    return train(examples(held, windows))
 
 
 def find(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns named by keep) with n_assign, n_access, n_hex, base_sha256 and spans of each whole text.
 
-    Null texts count as empty: no spans, the hash of an empty string. Repeated rows get equal answers; own columns of
-    those names are replaced.
+    Null texts count as empty: no spans, the hash of an empty string. Repeated rows get equal answers; of paths of equal score
+    the one with fewer secrets' tokens is taken. Own columns of those names are replaced, others pass through. An empty
+    table gives no rows. A very long text is scanned whole, in blocks; beside it 4 bytes a token are held.
     """
     small_batches(docs.sparkSession)
     new = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string()}
