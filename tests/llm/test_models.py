@@ -170,12 +170,64 @@ def test_machine_learns_a_pair_that_no_single_term_shows():
         docs.append(np.array([10 + a, 20 + b, *rng.choice(np.arange(100, 130), 4, replace=False)]))
         y.append(int(a == b))
     y = np.array(y)
-    model = toxicity.train(docs, y, np.ones(len(y)), min_z=0.0, epochs=30)
+    model = toxicity.train(docs, y, np.ones(len(y)), epochs=30)
     row = {int(t): i for i, t in enumerate(model.terms)}
     guess = np.array([model.score(np.array([row[int(t)] for t in d])) for d in docs])
     assert ((guess > 0.5) == y).mean() > 0.95
 
 
+def insults(rng, n):
+    """Texts with insults, names of groups, both or neither; toxic if both are there."""
+    bad, groups = ["grumble", "sneer", "scoff"], ["northerners", "bakers", "cyclists"]
+    out = []
+    for _ in range(n):
+        words, a, b = prose(rng, "aa", rng.randint(10, 60)).split(" "), rng.random() < 0.4, rng.random() < 0.4
+        for group, there in ((bad, a), (groups, b)):
+            if there:
+                words.insert(rng.randrange(len(words)), rng.choice(group))
+        out.append((" ".join(words), int(a and b)))
+    return out
+
+
+def test_pairs_beat_a_linear_model_where_it_takes_two():
+    rng = random.Random(7)
+    rows, held = insults(rng, 4000), insults(rng, 1500)
+    docs, y = [np.array(toxicity.hashed_terms(t)) for t, _ in rows], np.array([x for _, x in rows])
+    right = {}
+    for factors in (0, 4):
+        model = toxicity.train(docs, y, np.ones(len(y)), factors)
+        row = {int(t): i for i, t in enumerate(model.terms)}
+        score = np.array([model.score(np.array([row[h] for h in toxicity.hashed_terms(t) if h in row], dtype=np.int64)) for t, _ in held])
+        caught, alarms = [np.mean((score >= 0.3)[np.array([x for _, x in held]) == k]) for k in (1, 0)]
+        right[factors] = caught - alarms
+    print(right)
+    assert right[4] > 0.95 and right[4] > right[0] + 0.05
+
+
+def test_machine_equals_the_sum_over_all_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(np.arange(30), rng.normal(size=30), rng.normal(size=(30, 4)), -0.3)
+    for n in (0, 1, 2, 9):
+        rows = rng.choice(30, n, replace=False)
+        z = model.bias + sum(model.w[i] for i in rows) + sum(float(model.v[i] @ model.v[j]) for i in rows for j in rows if i < j)
+        assert model.score(rows) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_telling_terms_against_counts(spark):
+    rng = random.Random(3)
+    rows = [(int(rng.random() < 0.3), sorted(rng.sample(range(60), 12))) for _ in range(400)]
+    rows = [(y, sorted({*t, *([100] if y else [])})) for y, t in rows]
+    lists = spark.createDataFrame(rows, "_label int, terms array<int>")
+    n_pos = sum(y for y, _ in rows)
+    z = {}
+    for term in range(101):
+        p, q = [sum(term in t for y, t in rows if y == k) for k in (1, 0)]
+        if p + q >= 4:
+            z[term] = abs(np.log((p + 0.5) / (n_pos + 1)) - np.log((q + 0.5) / (len(rows) - n_pos + 1))) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+    want = sorted(sorted((t for t in z if z[t] >= 1.0), key=lambda t: (-z[t], t))[:5])
+    assert toxicity.telling_terms(lists, n_pos, len(rows) - n_pos, 5, 1.0).tolist() == want and 100 in want
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rng = random.Random(6)
     rows, labels = [], []

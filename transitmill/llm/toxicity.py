@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 from .langid import learned_rows, thinned
 
 #: Bits of a term's hash.
@@ -68,30 +68,15 @@ class Rows(dict):
         return found
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, factors: int = 4, max_terms: int = 20_000, min_z: float = 3.0, epochs: int = 25, rate: float = 0.08, l2: float = 2e-5, seed: int = 5) -> Model:
-    """Fits the machine by minibatch AdaGrad on the weighted logistic loss.
-
-    Terms are those whose log-odds between the classes lie min_z standard errors from zero, max_terms at most; the rest are
-    noise to a text of thousands of words.
-    """
+def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, factors: int = 4, epochs: int = 25, rate: float = 0.08, l2: float = 2e-5, l2_pairs: float = 2e-5, seed: int = 5) -> Model:
+    """Fits the machine over all terms in docs by minibatch AdaGrad on the weighted logistic loss. Without factors it is a linear model."""
     rng = np.random.default_rng(seed)
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     prior = float(np.clip((labels * weights).sum() / max(weights.sum(), 1e-9), 1e-4, 1 - 1e-4)) if len(labels) else 0.01
     bias = float(np.log(prior / (1 - prior)))
-    uniq, inverse = np.unique(flat, return_inverse=True)
-    pos = np.bincount(inverse, weights=labels[owner].astype(float), minlength=len(uniq))
-    neg = np.bincount(inverse, minlength=len(uniq)) - pos
-    n_pos, n_neg = max(labels.sum(), 1), max(len(labels) - labels.sum(), 1)
-    z = (np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = np.nonzero((np.abs(z) >= min_z) & (pos + neg >= 4))[0]
-    good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:max_terms]])
-    place = np.full(len(uniq), -1)
-    place[good] = np.arange(len(good))
-    row, keep = place[inverse], place[inverse] >= 0
-    row, owner = row[keep], owner[keep]
-    start = np.searchsorted(owner, np.arange(len(docs) + 1))
-    m = len(good)
+    terms, row = np.unique(flat, return_inverse=True)
+    start = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+    m = len(terms)
     w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
     scale = weights / weights.mean() if len(weights) else weights
@@ -102,50 +87,79 @@ def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, facto
             lengths = start[batch + 1] - start[batch]
             at = np.concatenate([np.arange(start[i], start[i + 1]) for i in batch]) if lengths.sum() else np.zeros(0, np.int64)
             own, r = np.repeat(np.arange(len(batch)), lengths), row[at]
-            vr = v[r]
-            total = np.stack([np.bincount(own, weights=vr[:, f], minlength=len(batch)) for f in range(factors)], axis=1)
-            square = np.bincount(own, weights=(vr * vr).sum(axis=1), minlength=len(batch))
-            out = bias + np.bincount(own, weights=w[r], minlength=len(batch)) + 0.5 * ((total * total).sum(axis=1) - square)
+            out = bias + np.bincount(own, weights=w[r], minlength=len(batch))
+            vr, total = v[r], np.zeros((len(batch), factors))
+            for f in range(factors):
+                total[:, f] = np.bincount(own, weights=vr[:, f], minlength=len(batch))
+            out = out + 0.5 * ((total * total).sum(axis=1) - np.bincount(own, weights=(vr * vr).sum(axis=1), minlength=len(batch)))
             err = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[batch]) * scale[batch] / len(batch)
             touched, back = np.unique(r, return_inverse=True)
             dw = np.bincount(back, weights=err[own], minlength=len(touched)) + l2 * w[touched]
-            dv = np.stack([np.bincount(back, weights=err[own] * (total[own, f] - vr[:, f]), minlength=len(touched)) for f in range(factors)], axis=1) + l2 * v[touched]
+            dv = l2_pairs * v[touched]
+            for f in range(factors):
+                dv[:, f] += np.bincount(back, weights=err[own] * (total[own, f] - vr[:, f]), minlength=len(touched))
             gw[touched] += dw * dw
             w[touched] -= rate * dw / np.sqrt(gw[touched])
             gv[touched] += dv * dv
             v[touched] -= 0.3 * rate * dv / np.sqrt(gv[touched])
             gb += err.sum() ** 2
             bias -= rate * err.sum() / np.sqrt(gb)
-    return Model(uniq[good].astype(np.int64), w.astype(np.float32), v.astype(np.float32), bias)
+    return Model(terms.astype(np.int64), w.astype(np.float32), v.astype(np.float32), bias)
+
 
+def telling_terms(lists: DataFrame, n_pos: int, n_neg: int, max_terms: int, min_z: float) -> np.ndarray:
+    """The terms of lists (_label, terms), ascending, whose log-odds between the classes lie min_z standard errors or more from
+    zero, max_terms at most, those furthest from it; the rest are noise to a text of thousands of words."""
+    counts = lists.select("_label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("_label").alias("pos"), F.count(F.lit(1)).alias("n"))
+    p, q = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
+    z = F.abs(F.log(p / (max(n_pos, 1) + 1)) - F.log(q / (max(n_neg, 1) + 1))) / F.sqrt(1 / p + 1 / q)
+    best = counts.filter(F.col("n") >= 4).select("term", z.alias("z")).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms)
+    return np.sort(np.array([r[0] for r in best.select("term").collect()], dtype=np.int64))
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, max_terms: int = 20_000, min_z: float = 3.0, factors: int = 4) -> Model:
     """Learns from at most per_class labelled documents of each class, those of least hash of the id among the rows to learn
-    from; their class weights restore the share that each class has among all labelled rows."""
-    small_batches(docs.sparkSession)
+    from; their class weights restore the share that each class has among all labelled rows.
+
+    Terms are counted by class on the executors. The telling ones, max_terms at most, and where they stand in the sampled
+    documents are all that reaches the driver.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.filter(F.col(label_col).isin(0, 1) & learned_rows(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     size = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     first = Window.partitionBy("_label").orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 11), "_id")
     chosen = thinned(known, per_class).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_class).select("_id", "_label")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashed_terms(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["_key", "_label", "terms"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_key"), "_label", "_t")
+    # rows that share an id and a label are one example, so that an id on many rows weighs no more than others
+    lists = cut(rows.mapInArrow(listed, "_key bigint, _label int, terms array<int>").groupBy("_key", "_label").agg(F.min("terms").alias("terms")))
+    read = {r["_label"]: r["n"] for r in lists.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    terms = telling_terms(lists, read.get(1, 0), read.get(0, 0), max_terms, min_z)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashed_terms(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["_id", "_label", "terms"])
+            found = [np.intersect1d(np.asarray(x.values, dtype=np.int64), terms, assume_unique=True).astype(np.int32) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_key", "_label", "terms"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select(F.col("_id").cast("bigint"), "_label", "_t")
-    table = rows.mapInArrow(run, "_id bigint, _label int, terms array<int>").toArrow().sort_by([("_id", "ascending"), ("_label", "ascending")])
-    lists = table.column("terms").combine_chunks()
-    flat, offsets = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    table = lists.mapInArrow(kept, "_key bigint, _label int, terms array<int>").toArrow().sort_by([("_key", "ascending"), ("_label", "ascending")])
+    held = table.column("terms").combine_chunks()
+    flat, offsets = np.asarray(held.flatten()), np.concatenate([[0], np.cumsum([len(x) for x in held])])
     own = np.asarray(table.column("_label"), dtype=np.int64)
     weight = {k: n / max(int((own == k).sum()), 1) for k, n in size.items()}
-    return train([flat[offsets[i] : offsets[i + 1]] for i in range(len(own))], own, np.array([weight[int(k)] for k in own]))
+    return train([flat[offsets[i] : offsets[i + 1]] for i in range(len(own))], own, np.array([weight[int(k)] for k in own]), factors)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns named by keep) with `score` (0 to 1) of each whole text.
 
-    Null and empty texts have no terms and score as the bias says. Repeated rows get equal scores. An own column of that name
-    is replaced, other columns pass through.
+    Null and empty texts have no terms and score as the bias says. Repeated rows, and texts of equal terms, get equal scores.
+    A very long text counts by its distinct terms, all of them. An empty table gives no rows. An own column of that name is
+    replaced, other columns pass through.
     """
     spark = docs.sparkSession
     small_batches(spark)
