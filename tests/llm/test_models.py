@@ -343,6 +343,63 @@ def test_dense_groups_in_a_shard():
     assert root.tolist() == want
 
 
+def test_full_shards_split_again_and_dense_clusters_stay_whole():
+    rng = np.random.default_rng(5)
+    center = np.uint64(0x0123456789ABCDEF)
+    ball = np.unique(np.concatenate([[center ^ np.uint64(1 << i) for i in range(64)], [center ^ np.uint64(1 << i) ^ np.uint64(1 << j) for i in range(64) for j in range(i)]])).astype(np.uint64)
+    fps = np.unique(np.concatenate([ball, rng.integers(0, 2**64, 2500, dtype=np.uint64)]))
+    fps = np.unique(np.concatenate([fps, fps[-900:] ^ np.uint64(3)]))
+    a, b = simhash.shard_links(fps, 2, shard_rows=200)
+    place = {int(x): i for i, x in enumerate(fps)}
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = find(place[x]), find(place[y])
+        root[max(i, j)] = min(i, j)
+    x, y = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
+    want = list(range(len(fps)))
+
+    def top(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        i, j = top(i), top(j)
+        want[max(i, j)] = min(i, j)
+    assert [find(i) for i in range(len(fps))] == [top(i) for i in range(len(fps))]
+    assert len(a) < 4 * len(fps)
+
+
+def test_components_of_stars_chains_and_hubs(spark):
+    rng = random.Random(2)
+    edges = [(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(2000, 2100)] + [(5000 + rng.randrange(50), 5000 + rng.randrange(50)) for _ in range(20)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for x, y in edges:
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    assert got == {i: find(i) for i in root if find(i) != i}
+
+
+def test_simhash_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    long = prose(rng, "aa", 150_000)
+    got = {r["_id"]: r for r in simhash.near_duplicates(table(spark, [(3, long, None), (9, long + " end", None), (12, "something else", None)])).collect()}
+    assert got[3].component_id == got[9].component_id == 3 and got[12].component_id == 12 and got[3].fp % 2**64 == slow_fingerprint(long)
+
+
 # --- BPE ---
 
 

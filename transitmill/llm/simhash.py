@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, hot_join, small_batches
 
 RADIUS, WIDTH = 2, 3
-#: Fingerprints that the tree is fitted on, at most; those that a shard should hold; and the deepest tree.
-TREE_SAMPLE, SHARD_ROWS, MAX_DEPTH = 60_000, 3000, 16
+#: Fingerprints that a tree is fitted on, about; those that a shard should hold; and the deepest tree that routes rows to tasks.
+TREE_SAMPLE, SHARD_ROWS, MAX_DEPTH = 8000, 3000, 16
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -137,16 +137,41 @@ def near_links(fps: np.ndarray, radius: int = RADIUS, block: int = 512) -> np.nd
     return root
 
 
+def shard_links(fps: np.ndarray, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links among distinct fingerprints that connect all pairs within the radius; a spanning forest of each part.
+
+    More than shard_rows are split by a tree of their own, again and again, as long as that makes the largest part smaller
+    by a tenth. What no vantage point splits is one dense group, which near_links takes apart in whole components.
+    """
+    if len(fps) > shard_rows:
+        depth = max(1, math.ceil(math.log(len(fps) / shard_rows) / math.log(1 / 0.6)))
+        rng = np.random.default_rng(seed)
+        tree = VantageTree(fps if len(fps) <= TREE_SAMPLE else rng.choice(fps, TREE_SAMPLE, replace=False), min(depth, 10), radius, seed)
+        at, shard = tree.route(fps)
+        order = np.argsort(shard, kind="stable")
+        at, cuts = at[order], np.nonzero(np.diff(shard[order]))[0] + 1
+        parts = np.split(at, cuts)
+        if max(map(len, parts)) <= 0.9 * len(fps):
+            found = [shard_links(np.sort(fps[p]), radius, shard_rows, seed + 1) for p in parts if len(p) > 1]
+            return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    root = near_links(fps, radius)
+    own = root != np.arange(len(fps))
+    return fps[own], fps[root[own]]
+
+
 def links(distinct: DataFrame, rows: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links that connect every pair of fingerprints in `distinct` (column fp, `rows` of them) within the radius.
 
-    The tree is fitted on a bounded sample, the fingerprints of least hash; it only decides the routes, and any tree
-    gives the same pairs. Its size is bounded by MAX_DEPTH. A shard returns a spanning forest, no more rows than it read.
+    The tree that deals fingerprints to tasks is fitted on about TREE_SAMPLE of them, chosen by a hash; it only decides the
+    routes, and any tree gives the same components. A task splits a shard that is too large further (shard_links) and
+    returns no more links than rows that it compared.
     """
-    share = min(1.0, TREE_SAMPLE / max(rows, 1))
-    picked = distinct.filter((F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))) if share < 1 else F.lit(True)).limit(2 * TREE_SAMPLE)
-    sample = np.sort(np.array([r[0] for r in picked.collect()], dtype=np.int64)).view(np.uint64)
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log(max(rows, 1) / shard_rows) / math.log(1 / 0.6)))) if rows > shard_rows else 0
+    sample = np.zeros(0, np.uint64)
+    if depth:
+        share = min(1.0, TREE_SAMPLE / rows)
+        picked = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(share * (1 << 40))).select("fp")
+        sample = np.sort(np.array([r[0] for r in picked.collect()], dtype=np.int64)).view(np.uint64)
     tree = VantageTree(sample, depth, radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,38 +181,34 @@ def links(distinct: DataFrame, rows: int, radius: int = RADIUS, shard_rows: int
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[at].view(np.int64))], names=["shard", "fp"])
 
     def forest(t: pa.Table) -> pa.Table:
-        fps = np.sort(t.column("fp").to_numpy().view(np.uint64))
-        root = near_links(fps, radius)
-        own = root != np.arange(len(fps))
-        return pa.table({"a": fps[own].view(np.int64), "b": fps[root[own]].view(np.int64)})
+        a, b = shard_links(np.sort(t.column("fp").to_numpy().view(np.uint64)), radius, shard_rows)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return distinct.select("fp").mapInArrow(route, "shard bigint, fp bigint").groupBy("shard").applyInArrow(forest, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that each node of the links reaches, for nodes with a link.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of the links reaches, for all but those least nodes themselves.
 
     Alternating stars: every node hands its larger neighbours to the least node around it, then the smaller ones, until
-    the links are stars. Both steps keep what is connected connected; each round's links are checkpointed.
+    the links are stars, which takes a logarithmic number of rounds. Both steps keep what is connected connected; each round's
+    links are checkpointed, and the neighbours of a node that has very many are joined with it by a broadcast.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     if not now.take(1):
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    last = None
-    for _ in range(rounds):
+    last, total = None, now.count()
+    while True:
         both = now.union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least2.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+        large = hot_join(both.filter("v > u"), least, "u", "_n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = hot_join(large, least2, "u", "_n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least2.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         now = cut(small)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        last, total = state, state[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
@@ -195,22 +216,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the least id among all documents that links reach. Equal fingerprints are linked, those of texts without
     words (null included) among them. Rows of null id take part and count for no least id. Repeated rows come back as often.
+    A very long text counts whole. An empty table gives no rows, other columns of docs are ignored.
     """
     own = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(own.groupBy("fp").agg(F.min("_id").alias("least")))
-    roots = components(links(distinct, distinct.count(), radius))
-    held = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = held.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = held.select("fp", "root").join(least, "root")
-    return own.join(classes, "fp").select("_id", "_key", "fp", "root", "component_id")
+    distinct = cut(own.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("_n")))
+    size = distinct.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    roots = components(links(distinct, size["fps"], radius))
+    held = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "_n", F.coalesce("root", "fp").alias("root")))
+    total = held.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_m"))
+    classes = hot_join(held, total, "root", "_m", size["fps"])
+    return hot_join(own, classes, "fp", "_n", size["rows"]).select("_id", "_key", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """The rows of docs that stay if one document of each component does: that of least id, then least hash of the text.
 
     Rows that agree in id and text count as one. Null ids come first. All columns pass through.
     """
-    held = near_duplicates(docs, id_col, text_col, radius)
+    held = near_duplicates(docs, id_col, text_col, radius, width)
     stay = held.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key"))
     return kept_rows(docs, stay, id_col, text_col)
 
