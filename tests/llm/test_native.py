@@ -186,6 +186,22 @@ def test_fingerprints_against_exact_sets(docs, rows):
         assert any(r.near_next == pytest.approx(jaccard(shingles(r["_text"]), shingles(t))) for t in fits)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 40])
+def test_null_and_equal_ids_are_split_over_ranges(spark, parts):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (1 + i % 5), "a") for i in range(300)]
+    held = bottomk.beside_next(table(spark, rows), parts=parts)
+    got = held.select("_bucket", "_id", "_tie", "_tail", F.spark_partition_id().alias("p")).collect()
+    own = sorted(((r["_id"] is not None, r["_id"] or 0, r["_tie"]), r["_bucket"]) for r in got if not r["_tail"])
+    assert len(own) == 300 and [b for _, b in own] == sorted(b for _, b in own)
+    assert len({b for _, b in own}) == parts and max(Counter(b for _, b in own).values()) <= 3 * 300 / parts
+    # one partition a range, and each range ends with the first row of the next one
+    assert len({(r.p, r["_bucket"]) for r in got}) == len({r.p for r in got}) == parts
+    firsts = {}
+    for key, b in own:
+        firsts.setdefault(b, key)
+    assert sorted(((r["_id"] is not None, r["_id"] or 0, r["_tie"]), r["_bucket"]) for r in got if r["_tail"]) == sorted((firsts[(b + 1) % parts], b) for b in firsts)
+
+
 def test_sketches_estimate(spark):
     rng = random.Random(9)
     base = [str(rng.random()) for _ in range(6000)]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, words
+from .common import cut, running, shuffle_parts, words
 
 #: Hashes kept in a sketch, and words in a shingle.
 K, WIDTH = 256, 5
 _SPAN = float(2**64)
+#: Bytes of text in a range of ids, about, and ranges at most.
+RANGE_BYTES, MAX_RANGES = 64 << 20, 20_000
 
 
 def shingle_hashes(word_hashes: Column, width: int = WIDTH) -> Column:
@@ -75,38 +79,54 @@ def merge_groups(df: DataFrame, group_cols: list[str], sketch_col: str, k: int =
 
 
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """(_id, _text, _bucket, _tail): every document in an id range of its own, with `_tail` false, and the first one of each
+    """(_id, _text, _tie, _bucket, _tail): every document in a range of its own, with `_tail` false, and the first one of each
     range again in the range before it, with `_tail` true. So each document's successor lies in its own range.
 
-    Ranges are cut at quantiles of the ids; the least id of each, one row a range, is all that reaches the driver. The text
-    moves once. The successor of the last document is the first one; null ids come first; null texts are empty.
+    Ranges are runs of (id, hash of the text) of equal bytes, cut by global prefix sums over a narrow table; their number grows
+    with the data, up to MAX_RANGES. The first document's id and hash, one row a range, are all that reaches the driver. Each
+    range is one partition, and the text moves once. The successor of the last document is the first one; null ids come
+    first, and rows of equal id are split like others; null texts are empty.
     """
-    n = parts or 3 * shuffle_parts(docs.sparkSession)
-    ids = docs.select(F.col(id_col).cast("bigint").alias("_id"))
-    marks = sorted(set(ids.select(F.percentile_approx("_id", [(i + 1) / (n + 1) for i in range(n)], 10000)).first()[0] or []))
-    bucket = in_range(F.col("_id"), marks)
-    least = {r["_bucket"]: r["_least"] for r in ids.groupBy(bucket.alias("_bucket")).agg(F.when(F.count(F.lit(1)) == F.count("_id"), F.min("_id")).alias("_least")).collect()}
-    order = sorted(least)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    span = range(max(order, default=0) + 1)
-    least_of = F.array(*[F.lit(least.get(b)).cast("bigint") for b in span])
-    before_of = F.array(*[F.lit(before.get(b)).cast("int") for b in span])
-    own = F.struct(F.col("_bucket"), F.lit(False).alias("_tail"))
-    places = F.when(F.col("_id").eqNullSafe(F.get(least_of, F.col("_bucket"))), F.array(own, F.struct(F.get(before_of, F.col("_bucket")).alias("_bucket"), F.lit(True).alias("_tail")))).otherwise(F.array(own))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_bucket", bucket)
-    return rows.select("_id", "_text", F.explode(places).alias("_place")).select("_id", "_text", "_place.*").repartition(n, "_bucket")
-
-
-def in_range(value: Column, marks: list[int]) -> Column:
-    """How many of the ascending marks are at most the value (null: none), looked up in two steps of about sqrt(n) each."""
-    if not marks:
-        return F.lit(0)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text).alias("_tie")]
+    narrow = cut(docs.select(*own, F.octet_length(text).cast("long").alias("_size")).withColumn("_size", F.col("_size") + 64))
+    total = narrow.agg(F.sum("_size")).first()[0] or 1
+    n = parts or min(MAX_RANGES, max(3 * shuffle_parts(docs.sparkSession), -(-total // RANGE_BYTES)))
+    placed = running(narrow, [F.col("_id").asc_nulls_first(), F.col("_tie")], {"_before": "_size"})
+    firsts = placed.groupBy(F.expr(f"_before * {n} div {total}").alias("_b")).agg(F.min(F.struct("_id", "_tie")).alias("_m"))
+    marks = [(r["_m"]["_id"], r["_m"]["_tie"]) for r in firsts.orderBy("_b").collect()]
+    # equal marks, of many equal rows, are one range
+    marks = [m for k, m in enumerate(marks) if not k or m != marks[k - 1]]
+    rows = docs.select(*own, text.alias("_text")).withColumn("_at", F.struct("_id", "_tie")).withColumn("_bucket", in_range(F.col("_at"), marks))
+    here, before = F.struct(F.col("_bucket"), F.lit(False).alias("_tail")), F.struct(F.pmod(F.col("_bucket") - 1, F.lit(max(len(marks), 1))).alias("_bucket"), F.lit(True).alias("_tail"))
+    places = F.when(F.col("_at") == mark(marks, F.col("_bucket")), F.array(here, before)).otherwise(F.array(here))
+    return rows.select("_id", "_tie", "_text", F.explode(places).alias("_place")).select("_id", "_tie", "_text", "_place.*").repartitionById(max(len(marks), 1), F.col("_bucket"))
+
+
+def blocks(marks: list[tuple]) -> tuple[Column, int]:
+    """The marks as one literal of blocks of about sqrt(n) each, and a block's size."""
     step = max(1, int(len(marks) ** 0.5))
+    held = [[{"_id": i, "_tie": t} for i, t in marks[k : k + step]] for k in range(0, len(marks), step)]
+    return F.from_json(F.lit(json.dumps(held)), "array<array<struct<_id:bigint,_tie:bigint>>>"), step
+
+
+def in_range(value: Column, marks: list[tuple]) -> Column:
+    """The number of the range that a struct (_id, _tie) lies in: how many of the ascending marks after the first are at most
+    the value, looked up in two steps of about sqrt(n) each."""
+    if len(marks) < 2:
+        return F.lit(0)
+    held, step = blocks(marks)
     at_most = lambda xs: F.size(F.filter(xs, lambda m: m <= value))
-    ints = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
-    coarse = at_most(ints(marks[::step]))
-    fine = F.array(*[ints(marks[i : i + step]) for i in range(0, len(marks), step)])
-    return F.when(value.isNull() | (value < marks[0]), F.lit(0)).otherwise((coarse - 1) * step + at_most(F.get(fine, coarse - 1)))
+    block = F.greatest(at_most(F.transform(held, lambda x: F.get(x, 0))) - 1, F.lit(0))
+    return F.greatest(block * step + at_most(F.get(held, block)) - 1, F.lit(0))
+
+
+def mark(marks: list[tuple], at: Column) -> Column:
+    """The at-th mark."""
+    if not marks:
+        return F.lit(None)
+    held, step = blocks(marks)
+    return F.get(F.get(held, F.floor(at / step).cast("int")), (at % step).cast("int"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K) -> DataFrame:
@@ -116,7 +136,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in ascending id. Equal ids are ordered by a hash of the text. A text of fewer than `width` words is one shingle; one
     without words has an empty sketch, which is alike only to another empty one. An empty table gives no rows.
     """
-    own = with_sketch(beside_next(docs, id_col, text_col).withColumn("_tie", F.xxhash64("_text")), F.col("_text"), "_sketch", width, k)
+    own = with_sketch(beside_next(docs, id_col, text_col), F.col("_text"), "_sketch", width, k)
     order = Window.partitionBy("_bucket").orderBy("_tail", F.col("_id").asc_nulls_first(), "_tie")
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
