@@ -3,7 +3,8 @@
 import random
 from collections import Counter
 
-import corpus_pipeline as cp
+import pytest
+
 from transitmill.llm import copies
 
 SYLLABLES = ["ka", "lo", "mi", "tu", "re", "so", "ne", "pa"]
@@ -14,7 +15,8 @@ def jaccard(x, y):
     return len(a & b) / len(a | b)
 
 
-def test_edited_copies(spark):
+@pytest.mark.parametrize("large", [copies.LARGE, 1])
+def test_edited_copies(spark, large):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(3))
     passage = [word() for _ in range(30)]
@@ -50,7 +52,7 @@ def test_edited_copies(spark):
         groups.setdefault(find(i), []).append(r[0])
     want = Counter(min((-1 if x is None else x) for x in g) for g in groups.values())
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    got = cp.drop_near_copies(spark, docs, "").collect()
+    got = copies.one_of_each(docs, large=large).collect()
     assert Counter(-1 if r.doc_id is None else r.doc_id for r in got) == want
     assert sum(1000 <= r.doc_id < 1007 for r in got if r.doc_id is not None) == 1
 

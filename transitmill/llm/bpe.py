@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, widened
 
 #: Pieces between white space (and as many words) whose result is kept, and the longest that is.
 CACHE_PIECES, CACHE_LENGTH = 120_000, 64
@@ -351,21 +351,21 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
     memory that doesn't grow with its number of tokens.
     """
     small_batches(docs.sparkSession)
-    new = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    new = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     own = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"])
+    given, at, schema = widened(docs, own, new, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for b in batches:
-            found = [digests(tokenizer, t) for t in b.column(len(own)).to_pylist()]
-            cols = [b.column(i) for i in range(len(own))] + [pa.array([x[k] for x in found], kind) for k, kind in enumerate(new.values())]
+            found = [digests(tokenizer, t) for t in b.column(at).to_pylist()]
+            cols = [b.column(i) for i in range(len(own))] + [pa.array([x[k] for x in found], pa.string() if k else pa.int64()) for k in range(len(new))]
             yield pa.RecordBatch.from_arrays(cols, names=[*own, *new])
         # the worker lives on, beside whatever its executor does next
         tokenizer.pieces.forget()
         tokenizer.known.forget()
 
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

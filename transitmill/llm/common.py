@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship
 from ..sources.shared import shared_folder
@@ -38,6 +39,16 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
     ship(spark)
 
 
+def widened(docs: DataFrame, own: list[str], new: dict[str, str], text_col: str) -> tuple[DataFrame, int, StructType]:
+    """What a Python operator that adds the columns `new` (name: type) reads: the columns `own` of docs, and the text, which comes
+    last if it isn't one of them; the text's place; and the schema of what it returns, own columns first."""
+    cols = [F.col(f"`{c}`") for c in own]
+    at = own.index(text_col) if text_col in own else len(own)
+    given = docs.select(*cols) if at < len(own) else docs.select(*cols, F.col(f"`{text_col}`").alias("_text_in"))
+    kinds = StructType.fromDDL(", ".join(f"{n} {t}" for n, t in new.items()))
+    return given, at, StructType([*[docs.schema[c] for c in own], *kinds])
+
+
 def hot_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
     """big joined with small by key, `weight` dropped: small has one row a key and the number of big's rows that bear it, of
     `total` in all.

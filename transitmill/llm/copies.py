@@ -1,44 +1,40 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found through the shingles that any such pair must share."""
+"""Near copies by the exact Jaccard similarity of word shingles: candidates from SimHash classes, and from the shingles that any
+such pair must share."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
-from .simhash import _LOWER, _WORD, components, kept_rows
+from . import simhash
+from .common import cut, hot_join, small_batches
+from .simhash import components, kept_rows
 
 #: Words of a shingle, and the similarity from which texts are near copies, in hundredths.
 WIDTH, SIMILARITY = 5, 80
-#: Documents whose shingles are counted, about; the count there from which a shingle is common; and common ones, at most.
-SAMPLE, COMMON, MOST = 4000, 3, 100_000
+#: One document in so many has its shingles counted; the count there from which one is common; and common ones, at most.
+SAMPLE, COMMON, MOST = 16, 3, 100_000
+#: Rows of a bucket from which on its pairs must share a second shingle.
+LARGE = 300
 #: Up to so many candidates their ids are broadcast, so that only their texts are moved.
 BROADCAST = 1_000_000
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of the text's shingles in ascending order; a shorter text is one shingle, and one without words has none."""
-    import xxhash
-
-    text = text or ""
-    own = _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
-    if not own:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(" ".join(own[i : i + width]), 42) for i in range(max(1, len(own) - width + 1))], dtype=np.uint64))
+def prefix(n: Column, similarity: int) -> Column:
+    """How many of a set's n shingles, the first in the common order, must hold one that any set of the similarity shares."""
+    return n + 1 - F.floor((n * similarity + 99) / 100)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: int | None, last: np.ndarray | None = None) -> DataFrame:
-    """(_id, _key, set_key, n, held) for every row: hash of the set of shingles, its size, and its first ones, in an order
-    with the shingles of `last` (sorted) after all others.
+    """(_id, _key, set_key, n, fp, held) for every row: hash of the set of shingles, its size, the SimHash fingerprint, and the
+    set's first shingles, in an order with those of `last` (sorted) after all others.
 
-    Two sets of that similarity share so many shingles that one of them is among the held ones of both, whatever the
-    order. Without a similarity the whole set is held.
+    Of two sets of that similarity, the prefix() of both shares a shingle, and with one shingle more (which is held too) two.
+    Without a similarity the whole set is held.
     """
     import xxhash
 
@@ -52,35 +48,49 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, simila
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, width) for t in b.column(2).to_pylist()]
+            every = [simhash.shingle_hashes(t, width) for t in b.column(2).to_pylist()]
+            fps = np.array([simhash.vote(x) for x in every], dtype=np.uint64).view(np.int64)
+            found = [np.unique(x) for x in every]
             key = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in found], dtype=np.uint64).view(np.int64)
-            held = [x if similarity is None or not len(x) else ordered(x)[: len(x) + 1 + -len(x) * similarity // 100] for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array([len(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], names=["_id", "_key", "set_key", "n", "held"])
+            held = [x if similarity is None or not len(x) else ordered(x)[: len(x) + 2 + -len(x) * similarity // 100] for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array([len(x) for x in found], pa.int64()), pa.array(fps), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], names=["_id", "_key", "set_key", "n", "fp", "held"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(run, "_id bigint, _key bigint, set_key bigint, n bigint, held array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _key bigint, set_key bigint, n bigint, fp bigint, held array<bigint>")
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarray:
-    """Shingles of passages that many texts share, from a bounded sample of documents. They only decide the order."""
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
-    picked = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    """Shingles of passages that many texts share, from one document in SAMPLE. They only decide the order, so the result is
+    the same with any."""
+    picked = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0)
     counts = shingle_sets(picked, id_col, text_col, width, None).select(F.explode("held").alias("token")).groupBy("token").count()
     most = counts.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST)
     return np.sort(np.array([r[0] for r in most.collect()], dtype=np.int64).view(np.uint64))
 
 
-def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int) -> DataFrame:
+def simhash_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): each set and the least one of its SimHash class: fingerprints within the radius of the operator, through its tree."""
+    fps = cut(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")))
+    size = fps.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("_n"), F.lit(0)).alias("sets")).first()
+    roots = components(simhash.links(fps, size["fps"]))
+    own = cut(hot_join(distinct.select("set_key", "fp"), fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "_n", F.coalesce("root", "fp").alias("root")), "fp", "_n", size["sets"]))
+    least = own.groupBy("root").agg(F.min("set_key").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return hot_join(own.select("root", F.col("set_key").alias("b")), least, "root", "_n", size["sets"]).filter("a < b").select("a", "b")
+
+
+def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int, large: int = LARGE) -> DataFrame:
     """(a, b): links between the set keys of `distinct` that connect the same ones as all pairs of the similarity do.
 
-    First each set is compared with the least one in each of its buckets (the sets that hold a shingle). Then all pairs of a
-    bucket are compared that this left in different components: a large group of near copies is one by then. A pair is
-    compared only if it shares enough held shingles: in the common order, the set whose held part ends first shares no
-    more than these and all that it doesn't hold.
+    First each set is compared with the least one of its SimHash class and with the least one in each of its buckets (the
+    sets that have a shingle in their prefix). Then all pairs of a bucket are compared that this left in different
+    components: a large group of near copies is one by then. A bucket of more than `large` rows is dealt by a second shingle
+    that its pairs share as well. A pair is compared only if it shares enough held shingles: in the common order, the set
+    whose held part ends first shares no more than these and all that it doesn't hold.
     """
-    w = Window.partitionBy("token")
-    tokens = distinct.select("set_key", "n", F.explode("held").alias("token"))
-    members = cut(tokens.withColumn("lo", F.min(F.struct("set_key", "n")).over(w)).withColumn("hi", F.max("set_key").over(w)).filter("lo.set_key < hi").drop("hi"))
+    tokens = distinct.select("set_key", "n", F.posexplode("held").alias("at", "token")).filter(F.col("at") < prefix(F.col("n"), similarity)).drop("at")
+    shared = cut(tokens.groupBy("token").agg(F.min(F.struct("set_key", "n")).alias("lo"), F.max("set_key").alias("hi"), F.count(F.lit(1)).alias("_k")).filter("lo.set_key < hi").drop("hi"))
+    total = shared.agg(F.coalesce(F.sum("_k"), F.lit(0))).first()[0]
+    members = cut(hot_join(tokens, shared, "token", "_k", total))
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * similarity)
     rest = lambda n: F.floor((n * similarity + 99) / 100) - 1
     most = F.col("shared") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
@@ -88,37 +98,48 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
 
     def verified(pairs: DataFrame) -> DataFrame:
         own = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-        reps = distinct.join(own, "set_key", "left_semi").select(F.col("least._id").alias("_i"), F.col("least._key").alias("_k"))
-        reps = cut(reps)
+        reps = cut(distinct.join(own, "set_key", "left_semi").select(F.col("least._id").alias("_i"), F.col("least._key").alias("_k")))
         reps = F.broadcast(reps) if reps.count() <= BROADCAST else reps
         rows = docs.select(F.col(id_col), F.col(text_col), F.col(id_col).cast("bigint").alias("_i2"), F.xxhash64(F.col(text_col)).alias("_k2"))
         chosen = rows.join(reps, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_k") == F.col("_k2")), "left_semi")
-        sets = cut(shingle_sets(chosen, id_col, text_col, width, None).select("set_key", "held"))
-        x, y = sets.select(F.col("set_key").alias("a"), F.col("held").alias("sa")), sets.select(F.col("set_key").alias("b"), F.col("held").alias("sb"))
+        sets = cut(shingle_sets(chosen, id_col, text_col, width, None).select("set_key", "held").dropDuplicates(["set_key"]))
+        sized = pairs.join(sets.select(F.col("set_key").alias("a"), F.size("held").alias("na")), "a")
+        # a set that very many others are compared with is broadcast
+        count = cut(sized.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
+        x, y = sets.select(F.col("set_key").alias("a"), F.col("held").alias("sa")).join(count, "a"), sets.select(F.col("set_key").alias("b"), F.col("held").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
-        held = pairs.join(y, "b").join(x, "a").filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * similarity)
+        held = hot_join(pairs.join(y, "b"), x, "a", "_n", pairs.count()).filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * similarity)
         return cut(held.select("a", "b").distinct())
 
-    first = cut(likely(members.filter((F.col("lo.set_key") < F.col("set_key")) & close(F.col("lo.n"), F.col("n"))).select(F.col("lo.set_key").alias("a"), F.col("set_key").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"))))
+    first = cut(likely(members.filter((F.col("lo.set_key") < F.col("set_key")) & close(F.col("lo.n"), F.col("n"))).select(F.col("lo.set_key").alias("a"), F.col("set_key").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"))).union(simhash_pairs(distinct)).distinct())
     star = verified(first)
     roots = components(star)
-    now = members.select("token", "set_key", "n").join(roots, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node")
-    mixed = cut(now.withColumn("_lo", F.min("root").over(w)).withColumn("_hi", F.max("root").over(w)).filter("_lo < _hi").drop("_lo", "_hi"))
-    x, y = mixed.select("token", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), mixed.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    second = likely(x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb")))).join(first, ["a", "b"], "left_anti")
+    now = cut(members.select("token", "set_key", "n").join(roots, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node"))
+    buckets = cut(now.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_k")).filter("_lo < _hi").select("token", "_k", F.col("_k").alias("size")))
+    mixed = cut(hot_join(now, buckets, "token", "_k", now.count()))
+    # a second shingle, of all that are held, for the pairs of large buckets
+    more = distinct.select("set_key", F.explode("held").alias("also"))
+    dealt = mixed.filter(F.col("size") > large).join(more, "set_key").filter("also <> token").select("token", "also", "set_key", "n", "root")
+    dealt = dealt.unionByName(mixed.filter(F.col("size") <= large).select("token", F.lit(None).cast("bigint").alias("also"), "set_key", "n", "root"))
+    side = lambda k: dealt.select("token", "also", F.col("set_key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"))
+    x, y = side("a").alias("x"), side("b").alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.col("x.also").eqNullSafe(F.col("y.also")))
+    pairs = met.filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select(F.col("x.token").alias("token"), "a", "b", "na", "nb").distinct()
+    second = likely(pairs).join(first, ["a", "b"], "left_anti")
     return star.union(verified(cut(second)))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, large: int = LARGE) -> DataFrame:
     """The rows of docs that stay if one document of each group of near copies does: that of least id, then least hash of the text.
 
     Documents are in one group if a chain of pairs of the similarity joins them; texts without words (null included) are one
     group. Every pair is found, and its similarity is computed from both whole sets. Shingles and sets are told apart by
-    64-bit hashes. Rows that agree in id and text count as one. Null ids come first. All columns pass through.
+    64-bit hashes. Rows that agree in id and text count as one. Null ids come first. All columns pass through. A very long
+    text counts whole, and an empty table gives no rows.
     """
     sets = shingle_sets(docs, id_col, text_col, width, similarity, common_shingles(docs, id_col, text_col, width))
-    distinct = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.first("held").alias("held"), F.min(F.struct("_id", "_key")).alias("least")))
-    roots = components(links(docs, distinct, id_col, text_col, width, similarity))
+    distinct = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("held").alias("held"), F.min(F.struct("_id", "_key")).alias("least")))
+    roots = components(links(docs, distinct, id_col, text_col, width, similarity, large))
     held = distinct.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left")
     stay = held.groupBy(F.coalesce("root", "set_key").alias("root")).agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key"))
     return kept_rows(docs, stay, id_col, text_col)

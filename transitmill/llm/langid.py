@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, widened
 
 UNKNOWN = "und"
 #: Letters that are compressed at once. A dictionary saves little beyond them, so the lead's share of a whole long text would shrink with its length.
@@ -104,17 +104,18 @@ def identify(text: str | None, model: Model) -> tuple[str, float, bool]:
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns named by keep) with lang_pred, score and rejected, from the whole text alone.
 
-    A null text, or one without a letter, is `und`, has score 0 and is rejected; so is a tie. Repeated rows get the same
-    answer. Other columns pass through, unless they bear one of the three names: those are replaced.
+    A null text, or one without a letter, is `und`, has score 0 and is rejected; a tie is rejected too. Repeated rows get the
+    same answer, a very long text is compressed window by window, an empty table gives no rows. Other columns pass through, unless they bear one of the three names: those are replaced.
     """
     small_batches(docs.sparkSession)
-    own = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema] + ["lang_pred string", "score double", "rejected boolean"])
+    new = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+    own = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    given, at, schema = widened(docs, own, new, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [identify(t, model) for t in b.column(b.num_columns - 1).to_pylist()]
+            found = [identify(t, model) for t in b.column(at).to_pylist()]
             cols = [b.column(i) for i in range(len(own))] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*own, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*own, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)

@@ -35,19 +35,21 @@ def targets(totals: DataFrame, source_col: str = "source", weights: tuple[int, .
     return filled.select(source_col, "source_size", F.least(F.col("_cap"), F.col("_weight") * F.lit(float(level))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1", tie: Column | None = None) -> DataFrame:
     """One row per document: size (words), source_size, target and taken (words that the mix takes, repeats counted).
 
     Inside a source the documents stand in the order of a hash of seed and id. A budget of e whole epochs and a rest
     takes every document e times, and once more from the front until the rest is used up; the document at the cut gives
-    just the words that are left. Rows that share an id are ordered by size; null ids, null sources (one source, last)
+    just the words that are left. Rows that share an id are ordered by size, then by `tie`, which comes back as `_tie` if it is
+    given; null ids, null sources (one source, last)
     and null texts (no words) are taken as such; other columns are ignored; an empty table gives no rows. The order is a
     function of the rows alone, so reruns agree.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     # cut, so that sampling the ranges doesn't read the texts a second time
-    narrow = cut(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"), key.alias("_key")))
-    placed = running(narrow, [F.col(source_col).asc_nulls_last(), F.col("_key"), F.col("size")], {"_before": "size"})
+    more = [] if tie is None else ["_tie"]
+    narrow = cut(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"), key.alias("_key"), *([] if tie is None else [tie.alias("_tie")])))
+    placed = running(narrow, [F.col(source_col).asc_nulls_last(), F.col("_key"), F.col("size"), *[F.col(c) for c in more]], {"_before": "size"})
     per_source = placed.groupBy(source_col).agg(F.sum("size").alias("source_size"), F.min("_before").alias("_start"))
     budget = targets(per_source.select(source_col, "source_size"), source_col, weights, max_epochs).withColumnRenamed(source_col, "_source")
     start = per_source.select(F.col(source_col).alias("_source"), "_start")
@@ -59,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
     rest = words - epochs * F.col("source_size") - (F.col("_before") - F.col("_start"))
     taken = epochs * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
-    return out.select(id_col, source_col, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select(id_col, source_col, "size", "source_size", "target", taken.cast("long").alias("taken"), *more)
 
 
 def copies(taken: Column, size: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, widened
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile("(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -397,18 +397,18 @@ def find(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     table gives no rows. A very long text is scanned whole, in blocks; beside it 4 bytes a token are held.
     """
     small_batches(docs.sparkSession)
-    new = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string()}
+    new = {"n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"}
     own = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema] + ["n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"])
+    given, at, schema = widened(docs, own, new, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b.column(len(own)).to_pylist():
+            for t in b.column(at).to_pylist():
                 base, every = scan(model, t)
                 kinds = Counter(s[2] for s in base)
                 out.append((kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(told(base).encode()).hexdigest(), told(every)))
-            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(new.values())]
+            cols = [pa.array([x[k] for x in out], pa.int64() if k < 3 else pa.string()) for k in range(len(new))]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(own))], *cols], names=[*own, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)

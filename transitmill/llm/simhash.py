@@ -20,29 +20,36 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """A bit is set if it is set in over half of the shingles' XXH64 (seed 42); 0 without words."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `width` words, repeats included; of the whole sequence if it is shorter, none without words."""
     import xxhash
 
     text = text or ""
     own = _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     n = len(own) - width + 1
     digest = xxhash.xxh64_intdigest
     if n < 1:
-        hashes = [digest(" ".join(own), 42)]
-    elif width == 3:
-        hashes = [digest(f"{a} {b} {c}", 42) for a, b, c in zip(own, own[1:], own[2:], strict=False)]
-    else:
-        hashes = [digest(" ".join(own[i : i + width]), 42) for i in range(n)]
+        return np.array([digest(" ".join(own), 42)], np.uint64)
+    if width == 3:
+        return np.fromiter((digest(f"{a} {b} {c}", 42) for a, b, c in zip(own, own[1:], own[2:], strict=False)), np.uint64, n)
+    return np.fromiter((digest(" ".join(own[i : i + width]), 42) for i in range(n)), np.uint64, n)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is set if it is set in over half of them; 0 for none."""
     total, rows = np.zeros(64, np.int64), 8192
     for i in range(0, len(hashes), rows):
-        block = np.array(hashes[i : i + rows], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        block = hashes[i : i + rows].astype("<u8").view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    return vote(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(_id, _key, fp): id, hash of the text (null for null) and fingerprint as a signed long, for every row."""
     small_batches(docs.sparkSession)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, widened
 from .langid import learned_rows, thinned
 
 #: Bits of a term's hash.
@@ -163,8 +163,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema] + ["score double"])
+    new = {"score": "double"}
+    own = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    given, at, schema = widened(docs, own, new, text_col)
     shared = spark.sparkContext.broadcast(model)  # max_terms rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +173,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         rows = Rows(held.terms)
         for b in batches:
             out = []
-            for t in b.column(len(own)).to_pylist():
+            for t in b.column(at).to_pylist():
                 met: set[int] = set()
                 for w in set(_WORD.findall((t or "").lower())):
                     if found := rows[w]:
                         met.update(found)
                 out.append(held.score(np.array(sorted(met), dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(own))], pa.array(out, pa.float64())], names=[*own, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(own))], pa.array(out, pa.float64())], names=[*own, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
