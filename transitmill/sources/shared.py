@@ -20,3 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="transitmill-")
     return _local[app]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data, in whichever file system it lies."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
