@@ -67,3 +67,14 @@ def test_held_shingles_meet(spark):
             held = lambda s: set(s[: len(s) + 1 + -len(s) * copies.SIMILARITY // 100])
             if 5 * len(y) >= 4 * len(x):
                 assert held(x) & held(y)
+
+
+def test_shared_tokens_keep_all_that_two_sets_share(spark):
+    rng = random.Random(8)
+    rows = [(i, n := rng.randint(1, 60), sorted(rng.sample(range(-400, 400), n))[: n + 2 - -(-n * 80 // 100)]) for i in range(80)]
+    distinct = spark.createDataFrame(rows, "set_key bigint, n bigint, held array<bigint>")
+    base = [(t, i, n) for i, n, held in rows for t in held[: n + 1 - -(-n * 80 // 100)]]
+    count = Counter(t for t, _, _ in base)
+    for bits in (15, 20):
+        got = Counter(map(tuple, copies.shared_tokens(distinct, 80, bits).collect()))
+        assert got == Counter(x for x in base if count[x[0]] > 1)

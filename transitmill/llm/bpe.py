@@ -124,16 +124,17 @@ class Tokenizer:
         """Tokens of one word's symbols, each emitted once no further symbol can change it; holds about twice `window`.
 
         Tokens that end `lookahead` symbols before the end of what has come are stable, and the rest of the word merges by
-        itself from the border of any stable token on.
+        itself from the border of any stable token on. A word that ends before the window is full is emitted at its end.
         """
-        limit = 2 * self.window + 64
-        if isinstance(symbols, list) and len(symbols) < limit:
-            yield from self.merge(symbols)
-            return
+        if isinstance(symbols, list) and len(symbols) < 2 * self.window + 64:
+            return iter(self.merge(symbols))
+        return self._stream(symbols)
+
+    def _stream(self, symbols: Iterable[str]) -> Iterator[str]:
         held: list[str] = []
         for s in symbols:
             held.append(s)
-            if len(held) >= limit:
+            if len(held) >= 2 * self.window + 64:
                 used, sure = 0, len(held) - self.lookahead
                 for t in self.merge(held):
                     if used + len(t) > sure:

@@ -12,6 +12,8 @@ from ..sources.shared import shared_folder
 #: White space of the contracts, `[\\x20\\x09-\\x0D]`, as it stands in a pattern and as plain characters.
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
+#: Rows that any task can take, whatever their keys.
+FEW_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +56,10 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int
     `total` in all.
 
     The rows of a key that holds over 1/share of all don't meet in one task: there are fewer than `share` such keys, so they
-    are broadcast. The others join by a shuffle. Null keys join nothing.
+    are broadcast. The others join by a shuffle, and so do all if the rows are few. Null keys join nothing.
     """
+    if total < FEW_ROWS:
+        return big.join(small.drop(weight), key)
     hot = small.filter(F.col(weight) * share > total)
     few = F.broadcast(hot.drop(weight))
     rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(weight) * share <= total).drop(weight), key)

@@ -20,6 +20,8 @@ WIDTH, SIMILARITY = 5, 80
 SAMPLE, COMMON, MOST = 16, 3, 100_000
 #: Rows of a bucket from which on its pairs must share a second shingle.
 LARGE = 300
+#: log2 of the bits of the bitmap that keeps out shingles which only one set has: 8 MB, whatever the size of the data.
+SLOT_BITS = 26
 #: Up to so many candidates their ids are broadcast, so that only their texts are moved.
 BROADCAST = 1_000_000
 
@@ -65,7 +67,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) ->
     picked = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0)
     counts = shingle_sets(picked, id_col, text_col, width, None).select(F.explode("held").alias("token")).groupBy("token").count()
     most = counts.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST)
-    return np.sort(np.array([r[0] for r in most.collect()], dtype=np.int64).view(np.uint64))
+    return np.sort(most.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def simhash_pairs(distinct: DataFrame) -> DataFrame:
@@ -78,6 +80,38 @@ def simhash_pairs(distinct: DataFrame) -> DataFrame:
     return hot_join(own.select("root", F.col("set_key").alias("b")), least, "root", "_n", size["sets"]).filter("a < b").select("a", "b")
 
 
+def shared_slots(tokens: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
+    """A bitmap of 2**bits slots, packed as bytes: those that a token falls into which more than one row bears. Its size is fixed."""
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    slot = F.pmod(F.col("token"), F.lit(1 << bits)) + 1  # these functions count from 1
+    rows = shared.groupBy(F.call_function("bitmap_bucket_number", slot).alias("b")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", slot)).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        at = (r["b"] - 1) * len(r["bits"])
+        out[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def shared_tokens(distinct: DataFrame, similarity: int, bits: int = SLOT_BITS) -> DataFrame:
+    """(token, set_key, n) of the prefixes, without most tokens that only one set has: those in a slot without a shared token."""
+    tokens = distinct.select(F.explode(F.slice("held", 1, F.greatest(prefix(F.col("n"), similarity), F.lit(0)).cast("int"))).alias("token"))
+    slots = shared_slots(tokens, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            length = np.diff(np.asarray(lists.offsets))
+            flat, n = lists.flatten().to_numpy(), b.column(1).to_numpy()
+            owner = np.repeat(np.arange(b.num_rows), length)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+            own = n[owner]
+            slot = flat % (1 << bits)
+            good = np.nonzero((place < own + 1 - (own * similarity + 99) // 100) & (slots[slot >> 3] >> (slot & 7) & 1).astype(bool))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[good]), b.column(0).take(pa.array(owner[good])), pa.array(own[good])], names=["token", "set_key", "n"])
+
+    return distinct.select("set_key", "n", "held").mapInArrow(run, "token bigint, set_key bigint, n bigint")
+
+
 def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int, large: int = LARGE) -> DataFrame:
     """(a, b): links between the set keys of `distinct` that connect the same ones as all pairs of the similarity do.
 
@@ -87,7 +121,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
     that its pairs share as well. A pair is compared only if it shares enough held shingles: in the common order, the set
     whose held part ends first shares no more than these and all that it doesn't hold.
     """
-    tokens = distinct.select("set_key", "n", F.posexplode("held").alias("at", "token")).filter(F.col("at") < prefix(F.col("n"), similarity)).drop("at")
+    tokens = cut(shared_tokens(distinct, similarity))
     shared = cut(tokens.groupBy("token").agg(F.min(F.struct("set_key", "n")).alias("lo"), F.max("set_key").alias("hi"), F.count(F.lit(1)).alias("_k")).filter("lo.set_key < hi").drop("hi"))
     total = shared.agg(F.coalesce(F.sum("_k"), F.lit(0))).first()[0]
     members = cut(hot_join(tokens, shared, "token", "_k", total))
@@ -103,9 +137,8 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
         rows = docs.select(F.col(id_col), F.col(text_col), F.col(id_col).cast("bigint").alias("_i2"), F.xxhash64(F.col(text_col)).alias("_k2"))
         chosen = rows.join(reps, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_k") == F.col("_k2")), "left_semi")
         sets = cut(shingle_sets(chosen, id_col, text_col, width, None).select("set_key", "held").dropDuplicates(["set_key"]))
-        sized = pairs.join(sets.select(F.col("set_key").alias("a"), F.size("held").alias("na")), "a")
         # a set that very many others are compared with is broadcast
-        count = cut(sized.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
+        count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
         x, y = sets.select(F.col("set_key").alias("a"), F.col("held").alias("sa")).join(count, "a"), sets.select(F.col("set_key").alias("b"), F.col("held").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         held = hot_join(pairs.join(y, "b"), x, "a", "_n", pairs.count()).filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * similarity)

@@ -16,6 +16,8 @@ from .common import cut, hot_join, small_batches
 RADIUS, WIDTH = 2, 3
 #: Fingerprints that a tree is fitted on, about; those that a shard should hold; and the deepest tree that routes rows to tasks.
 TREE_SAMPLE, SHARD_ROWS, MAX_DEPTH = 8000, 3000, 16
+#: Rows of ids and hashes up to which a list of documents is broadcast (16 MB).
+BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -246,7 +248,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs whose id and hash of the text are in stay (_id, _key); those that agree in both come once."""
+    """The rows of docs whose id and hash of the text are in stay (_id, _key); those that agree in both come once.
+
+    Rows that go, and those that come more than once, are found in a narrow table. Where they are BROADCAST_ROWS at most, they
+    are broadcast, so that the texts aren't moved.
+    """
+    narrow = cut(docs.select(F.col(id_col).cast("bigint").alias("_i"), F.xxhash64(F.col(text_col)).alias("_k")).groupBy("_i", "_k").agg(F.count(F.lit(1)).alias("_n")))
+    same = lambda x: F.col("_i").eqNullSafe(x["_i2"]) & (F.col("_k") == x["_k2"])
+    named = lambda df: df.select(F.col(df.columns[0]).alias("_i2"), F.col(df.columns[1]).alias("_k2"))
+    good = named(stay)
+    gone, twice = cut(named(narrow.join(good, same(good), "left_anti"))), cut(named(narrow.filter("_n > 1").join(good, same(good), "left_semi")))
+    few = gone.count() + twice.count() <= BROADCAST_ROWS
+    held = lambda df: F.broadcast(df) if few else df
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("bigint").alias("_i"), F.xxhash64(F.col(text_col)).alias("_k"))
-    kept = rows.join(stay, rows["_i"].eqNullSafe(stay["_id"]) & rows["_k"].eqNullSafe(stay["_key"]), "left_semi")
-    return kept.dropDuplicates(["_i", "_k"]).select("_row.*")
+    once = rows.join(held(gone.union(twice)), same(gone), "left_anti")
+    more = rows.join(held(twice), same(twice), "left_semi").dropDuplicates(["_i", "_k"])
+    return once.union(more).select("_row.*")
