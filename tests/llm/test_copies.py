@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from transitmill.llm import copies
@@ -15,8 +16,8 @@ def jaccard(x, y):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("large", [copies.LARGE, 1])
-def test_edited_copies(spark, large):
+@pytest.mark.parametrize("small", [copies.SMALL, 1])
+def test_edited_copies(spark, small):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(3))
     passage = [word() for _ in range(30)]
@@ -52,29 +53,52 @@ def test_edited_copies(spark, large):
         groups.setdefault(find(i), []).append(r[0])
     want = Counter(min((-1 if x is None else x) for x in g) for g in groups.values())
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    got = copies.one_of_each(docs, large=large).collect()
+    got = copies.one_of_each(docs, small=small).collect()
     assert Counter(-1 if r.doc_id is None else r.doc_id for r in got) == want
     assert sum(1000 <= r.doc_id < 1007 for r in got if r.doc_id is not None) == 1
 
 
-def test_held_shingles_meet(spark):
-    """Of two sets at the similarity or above it, the held parts share one."""
-    rng = random.Random(6)
-    for n in [*range(1, 30), 100, 333]:
-        for gone in range(n // 5 + 1):
-            x = sorted(rng.sample(range(10**6), n))
-            y = sorted(set(x) - set(rng.sample(x, gone)))
-            held = lambda s: set(s[: len(s) + 1 + -len(s) * copies.SIMILARITY // 100])
-            if 5 * len(y) >= 4 * len(x):
-                assert held(x) & held(y)
+def test_bands_agree_as_the_similarity_says():
+    rng = np.random.default_rng(4)
+    odd, met, want, lost = copies.multipliers(), 0, 0, 0
+    for s in (0.3, 0.6, 0.8, 0.9):
+        for _ in range(60):
+            n = int(rng.integers(20, 400))
+            both = round(2 * n * s / (1 + s))
+            x = rng.integers(0, 2**64, n, dtype=np.uint64)
+            y = np.concatenate([x[:both], rng.integers(0, 2**64, n - both, dtype=np.uint64)])
+            same = (copies.band_keys(x, odd) == copies.band_keys(np.sort(y), odd)).sum()
+            exact = both / (2 * n - both)
+            met, want = met + same, want + copies.BANDS * exact**copies.ROWS
+            lost += exact >= 0.8 and not same
+    assert not lost and abs(met / want - 1) < 0.1
+    assert len(copies.band_keys(np.zeros(0, np.uint64), odd)) == 0
+
+
+def test_a_large_group_around_one_text(spark):
+    """Copies that are near the text they were made of, and not near each other, next to unlike texts that share a passage."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(4))
+    base, passage = [word() for _ in range(200)], " ".join(word() for _ in range(40))
+    rows = [(5000, " ".join(base))]
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(0, 200, 8), 4):
+            own[at] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, passage + " " + " ".join(word() for _ in range(60))) for i in range(150)]
+    near = sum(jaccard(rows[i][1], rows[i + 1][1]) >= 0.8 for i in range(1, 150))
+    assert near < 15 and all(jaccard(rows[0][1], t) >= 0.8 for _, t in rows[1:151])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(r.doc_id for r in copies.one_of_each(docs).collect())
+    assert got == [0, *range(1000, 1150)]
 
 
 def test_shared_tokens_keep_all_that_two_sets_share(spark):
     rng = random.Random(8)
-    rows = [(i, n := rng.randint(1, 60), sorted(rng.sample(range(-400, 400), n))[: n + 2 - -(-n * 80 // 100)]) for i in range(80)]
+    rows = [(i, 7, rng.sample(range(-400, 400), rng.randint(0, 30))) for i in range(80)]
     distinct = spark.createDataFrame(rows, "set_key bigint, n bigint, held array<bigint>")
-    base = [(t, i, n) for i, n, held in rows for t in held[: n + 1 - -(-n * 80 // 100)]]
-    count = Counter(t for t, _, _ in base)
+    count = Counter(t for _, _, held in rows for t in held)
     for bits in (15, 20):
-        got = Counter(map(tuple, copies.shared_tokens(distinct, 80, bits).collect()))
-        assert got == Counter(x for x in base if count[x[0]] > 1)
+        got = Counter(map(tuple, copies.shared_tokens(distinct, bits).collect()))
+        assert got == Counter((t, i, n) for i, n, held in rows for t in held if count[t] > 1)

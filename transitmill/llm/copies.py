@@ -1,5 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles: candidates from SimHash classes, and from the shingles that any
-such pair must share."""
+"""Near copies by the exact Jaccard similarity of word shingles, among candidates from SimHash classes and from bands of least hashes."""
 
 from __future__ import annotations
 
@@ -7,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -16,62 +15,61 @@ from .simhash import components, kept_rows
 
 #: Words of a shingle, and the similarity from which texts are near copies, in hundredths.
 WIDTH, SIMILARITY = 5, 80
-#: One document in so many has its shingles counted; the count there from which one is common; and common ones, at most.
-SAMPLE, COMMON, MOST = 16, 3, 100_000
-#: Rows of a bucket from which on its pairs must share a second shingle.
-LARGE = 300
-#: log2 of the bits of the bitmap that keeps out shingles which only one set has: 8 MB, whatever the size of the data.
+#: Bands, and least hashes in each: two sets of similarity s share none with a chance of (1 - s^ROWS)^BANDS, 1.4e-7 at 0.8.
+BANDS, ROWS = 30, 4
+#: Sets in a bucket up to which all its pairs are compared at once, and pivots that the rest of a larger one is first compared with.
+SMALL, PIVOTS = 24, 8
+#: log2 of the bits of the bitmap that keeps out bands which only one set has: 8 MB, whatever the size of the data.
 SLOT_BITS = 26
 #: Up to so many candidates their ids are broadcast, so that only their texts are moved.
 BROADCAST = 1_000_000
 
 
-def prefix(n: Column, similarity: int) -> Column:
-    """How many of a set's n shingles, the first in the common order, must hold one that any set of the similarity shares."""
-    return n + 1 - F.floor((n * similarity + 99) / 100)
+def multipliers(n: int = BANDS * ROWS, seed: int = 20) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: int | None, last: np.ndarray | None = None) -> DataFrame:
-    """(_id, _key, set_key, n, fp, held) for every row: hash of the set of shingles, its size, the SimHash fingerprint, and the
-    set's first shingles, in an order with those of `last` (sorted) after all others.
+def band_keys(hashes: np.ndarray, odd: np.ndarray, block: int = 4096) -> np.ndarray:
+    """One key a band for a set of shingle hashes: made of the least values under ROWS multiplications each. None for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), block):
+        np.minimum(least, (hashes[lo : lo + block, None] * odd[None, :]).min(axis=0), out=least)
+    rows = least.reshape(BANDS, -1)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(rows.shape[1]):
+        key = (key ^ (rows[:, k] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + rows[:, k]
+    return key.view(np.int64)
 
-    Of two sets of that similarity, the prefix() of both shares a shingle, and with one shingle more (which is held too) two.
-    Without a similarity the whole set is held.
-    """
-    import xxhash
 
-    def ordered(x: np.ndarray) -> np.ndarray:
-        if last is None or not len(last):
-            return x
-        late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
-        return np.concatenate([x[~late], x[late]])
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool = False) -> DataFrame:
+    """(_id, _key, set_key, n, fp, held) for every row: hash of the set of shingles, its size, the SimHash fingerprint, and the
+    set's band keys, or the whole set."""
+    import xxhash
 
+    odd = multipliers()
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = [simhash.shingle_hashes(t, width) for t in b.column(2).to_pylist()]
-            fps = np.array([simhash.vote(x) for x in every], dtype=np.uint64).view(np.int64)
-            found = [np.unique(x) for x in every]
-            key = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in found], dtype=np.uint64).view(np.int64)
-            held = [x if similarity is None or not len(x) else ordered(x)[: len(x) + 2 + -len(x) * similarity // 100] for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array([len(x) for x in found], pa.int64()), pa.array(fps), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], names=["_id", "_key", "set_key", "n", "fp", "held"])
+            key, n, fps, held = [], [], [], []
+            for t in b.column(2).to_pylist():
+                every = simhash.shingle_hashes(t, width)
+                own = np.unique(every)
+                key.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                n.append(len(own))
+                fps.append(0 if whole else simhash.vote(every))
+                held.append(own.view(np.int64) if whole else band_keys(own, odd))
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(key), pa.array(n, pa.int64()), signed(fps), pa.array(held, pa.list_(pa.int64()))], names=["_id", "_key", "set_key", "n", "fp", "held"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_t"))
     return rows.mapInArrow(run, "_id bigint, _key bigint, set_key bigint, n bigint, fp bigint, held array<bigint>")
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarray:
-    """Shingles of passages that many texts share, from one document in SAMPLE. They only decide the order, so the result is
-    the same with any."""
-    picked = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0)
-    counts = shingle_sets(picked, id_col, text_col, width, None).select(F.explode("held").alias("token")).groupBy("token").count()
-    most = counts.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST)
-    return np.sort(most.select("token").toArrow().column(0).to_numpy().view(np.uint64))
-
-
 def simhash_pairs(distinct: DataFrame) -> DataFrame:
-    """(a, b): each set and the least one of its SimHash class: fingerprints within the radius of the operator, through its tree."""
+    """(a, b): the least set of each SimHash class and every other one: fingerprints within the radius, through the operator's tree."""
     fps = cut(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")))
     size = fps.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("_n"), F.lit(0)).alias("sets")).first()
     roots = components(simhash.links(fps, size["fps"]))
@@ -92,87 +90,100 @@ def shared_slots(tokens: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
     return out
 
 
-def shared_tokens(distinct: DataFrame, similarity: int, bits: int = SLOT_BITS) -> DataFrame:
-    """(token, set_key, n) of the prefixes, without most tokens that only one set has: those in a slot without a shared token."""
-    tokens = distinct.select(F.explode(F.slice("held", 1, F.greatest(prefix(F.col("n"), similarity), F.lit(0)).cast("int"))).alias("token"))
-    slots = shared_slots(tokens, bits)
+def shared_tokens(distinct: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """(token, set_key, n) of the band keys, without most of those that only one set has: those in a slot without a shared one."""
+    slots = shared_slots(distinct.select(F.explode("held").alias("token")), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
-            length = np.diff(np.asarray(lists.offsets))
-            flat, n = lists.flatten().to_numpy(), b.column(1).to_numpy()
-            owner = np.repeat(np.arange(b.num_rows), length)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-            own = n[owner]
+            flat = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
             slot = flat % (1 << bits)
-            good = np.nonzero((place < own + 1 - (own * similarity + 99) // 100) & (slots[slot >> 3] >> (slot & 7) & 1).astype(bool))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[good]), b.column(0).take(pa.array(owner[good])), pa.array(own[good])], names=["token", "set_key", "n"])
+            good = np.nonzero((slots[slot >> 3] >> (slot & 7) & 1).astype(bool))[0]
+            at = pa.array(owner[good])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[good]), b.column(0).take(at), b.column(1).take(at)], names=["token", "set_key", "n"])
 
     return distinct.select("set_key", "n", "held").mapInArrow(run, "token bigint, set_key bigint, n bigint")
 
 
-def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int, large: int = LARGE) -> DataFrame:
-    """(a, b): links between the set keys of `distinct` that connect the same ones as all pairs of the similarity do.
-
-    First each set is compared with the least one of its SimHash class and with the least one in each of its buckets (the
-    sets that have a shingle in their prefix). Then all pairs of a bucket are compared that this left in different
-    components: a large group of near copies is one by then. A bucket of more than `large` rows is dealt by a second shingle
-    that its pairs share as well. A pair is compared only if it shares enough held shingles: in the common order, the set
-    whose held part ends first shares no more than these and all that it doesn't hold.
-    """
-    tokens = cut(shared_tokens(distinct, similarity))
-    shared = cut(tokens.groupBy("token").agg(F.min(F.struct("set_key", "n")).alias("lo"), F.max("set_key").alias("hi"), F.count(F.lit(1)).alias("_k")).filter("lo.set_key < hi").drop("hi"))
-    total = shared.agg(F.coalesce(F.sum("_k"), F.lit(0))).first()[0]
-    members = cut(hot_join(tokens, shared, "token", "_k", total))
-    close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * similarity)
-    rest = lambda n: F.floor((n * similarity + 99) / 100) - 1
-    most = F.col("shared") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
-    likely = lambda pairs: pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(most * 100 >= (F.col("na") + F.col("nb") - most) * similarity).select("a", "b")
+class Verifier:
+    """Keeps of candidate pairs (a, b) those whose whole sets have the similarity. Sets are read once, for all that may come."""
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        own = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-        reps = cut(distinct.join(own, "set_key", "left_semi").select(F.col("least._id").alias("_i"), F.col("least._key").alias("_k")))
+    def __init__(self, docs: DataFrame, distinct: DataFrame, keys: DataFrame, id_col: str, text_col: str, width: int, similarity: int):
+        reps = cut(distinct.join(keys, "set_key", "left_semi").select(F.col("least._id").alias("_i"), F.col("least._key").alias("_k")))
         reps = F.broadcast(reps) if reps.count() <= BROADCAST else reps
         rows = docs.select(F.col(id_col), F.col(text_col), F.col(id_col).cast("bigint").alias("_i2"), F.xxhash64(F.col(text_col)).alias("_k2"))
-        chosen = rows.join(reps, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_k") == F.col("_k2")), "left_semi")
-        sets = cut(shingle_sets(chosen, id_col, text_col, width, None).select("set_key", "held").dropDuplicates(["set_key"]))
+        chosen = rows.join(reps, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_k") == F.col("_k2")), "left_semi").dropDuplicates(["_i2", "_k2"])
+        self.sets, self.similarity = cut(shingle_sets(chosen, id_col, text_col, width, whole=True).select("set_key", "held")), similarity
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
         # a set that very many others are compared with is broadcast
-        count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-        x, y = sets.select(F.col("set_key").alias("a"), F.col("held").alias("sa")).join(count, "a"), sets.select(F.col("set_key").alias("b"), F.col("held").alias("sb"))
+        count = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
+        x, y = self.sets.select(F.col("set_key").alias("a"), F.col("held").alias("sa")).join(count, "a"), self.sets.select(F.col("set_key").alias("b"), F.col("held").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
-        held = hot_join(pairs.join(y, "b"), x, "a", "_n", pairs.count()).filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * similarity)
-        return cut(held.select("a", "b").distinct())
-
-    first = cut(likely(members.filter((F.col("lo.set_key") < F.col("set_key")) & close(F.col("lo.n"), F.col("n"))).select(F.col("lo.set_key").alias("a"), F.col("set_key").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"))).union(simhash_pairs(distinct)).distinct())
-    star = verified(first)
-    roots = components(star)
-    now = cut(members.select("token", "set_key", "n").join(roots, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node"))
-    buckets = cut(now.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_k")).filter("_lo < _hi").select("token", "_k", F.col("_k").alias("size")))
-    mixed = cut(hot_join(now, buckets, "token", "_k", now.count()))
-    # a second shingle, of all that are held, for the pairs of large buckets
-    more = distinct.select("set_key", F.explode("held").alias("also"))
-    dealt = mixed.filter(F.col("size") > large).join(more, "set_key").filter("also <> token").select("token", "also", "set_key", "n", "root")
-    dealt = dealt.unionByName(mixed.filter(F.col("size") <= large).select("token", F.lit(None).cast("bigint").alias("also"), "set_key", "n", "root"))
-    side = lambda k: dealt.select("token", "also", F.col("set_key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"))
-    x, y = side("a").alias("x"), side("b").alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.col("x.also").eqNullSafe(F.col("y.also")))
-    pairs = met.filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select(F.col("x.token").alias("token"), "a", "b", "na", "nb").distinct()
-    second = likely(pairs).join(first, ["a", "b"], "left_anti")
-    return star.union(verified(cut(second)))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, large: int = LARGE) -> DataFrame:
+        total = count.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        held = hot_join(pairs.join(y, "b"), x, "a", "_n", total).filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * self.similarity)
+        return cut(held.select("a", "b"))
+
+
+def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int, small: int = SMALL) -> DataFrame:
+    """(a, b): links between the set keys of `distinct` that connect the same ones as all pairs of the similarity do.
+
+    Candidates are the pairs of a SimHash class, each set with the least one, and those of a bucket (sets that share a band).
+    In each bucket all sets are first compared with the one that shares most bands with others, such as the text that many
+    copies were made of: a large group of near copies becomes one component by that. Pairs that this left in different
+    components are compared too: all of a small bucket at once, those of a large one with more and more pivots, chosen by a
+    hash and twice as many each round, until the bucket is one component, every set was a pivot, or a round (the second at the
+    earliest) finds no link in any large bucket. Comparing very many unlike sets of one bucket pair by pair would grow with
+    its square; what that last rule can miss is a link between two sets of a large bucket neither of which is near any pivot.
+    """
+    tokens = cut(shared_tokens(distinct))
+    shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").withColumn("size", F.col("_k")))
+    total = shared.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("t"), F.coalesce(F.max("_k"), F.lit(0)).alias("m")).first()
+    members = cut(hot_join(tokens, shared, "token", "_k", total["t"]))
+    close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * similarity)
+    degree = members.groupBy("set_key").agg(F.sum("size").alias("d"))
+    best = members.join(degree, "set_key").groupBy("token").agg(F.max(F.struct("d", "set_key", "n")).alias("p"), F.first("size").alias("_k"))
+    star = hot_join(members, best, "token", "_k", total["t"]).filter((F.col("p.set_key") != F.col("set_key")) & close(F.col("p.n"), F.col("n")))
+    tried = cut(star.select(F.col("p.set_key").alias("a"), F.col("set_key").alias("b")).union(simhash_pairs(distinct)).distinct())
+    keys = members.select("set_key").union(tried.select("a")).union(tried.select("b")).distinct()
+    verified = Verifier(docs, distinct, keys, id_col, text_col, width, similarity)
+    found, pivots = verified(tried), PIVOTS
+    while True:
+        held = members.join(components(found), F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node")
+        if pivots > PIVOTS:
+            held = held.filter(F.col("size") > small)
+        held = cut(held)
+        mixed = cut(held.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_k")).filter("_lo < _hi").select("token", "_k"))
+        if not mixed.take(1):
+            return found
+        live = cut(hot_join(held, mixed, "token", "_k", total["t"]))
+        few = F.col("size") <= small
+        chance = F.pmod(F.xxhash64("set_key", F.lit(pivots)), F.lit(1 << 20)) * F.col("size") < pivots * (1 << 20)
+        salt = F.pmod(F.xxhash64("set_key"), F.lit(16))
+        y = live.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "size", salt.alias("salt"))
+        x = live.filter(few | chance).select(F.col("token").alias("token_"), F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt_"))
+        met = x.join(y, (F.col("token_") == F.col("token")) & (F.col("salt_") == F.col("salt")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb")) & ((F.col("a") < F.col("b")) | (F.col("size") > small)))
+        pairs = cut(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        new = verified(pairs)
+        found, tried = found.union(new), tried.union(pairs)
+        if total["m"] <= max(small, pivots) or (pivots > PIVOTS and not new.take(1)):
+            return found
+        pivots *= 2
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, small: int = SMALL) -> DataFrame:
     """The rows of docs that stay if one document of each group of near copies does: that of least id, then least hash of the text.
 
     Documents are in one group if a chain of pairs of the similarity joins them; texts without words (null included) are one
-    group. Every pair is found, and its similarity is computed from both whole sets. Shingles and sets are told apart by
-    64-bit hashes. Rows that agree in id and text count as one. Null ids come first. All columns pass through. A very long
-    text counts whole, and an empty table gives no rows.
+    group. A pair's similarity is computed from both whole sets, and a pair at the threshold is missed with a chance of
+    1.4e-7, less above it. Shingles and sets are told apart by 64-bit hashes. Rows that agree in id and text count as one.
+    Null ids come first. All columns pass through. A very long text counts whole, and an empty table gives no rows.
     """
-    sets = shingle_sets(docs, id_col, text_col, width, similarity, common_shingles(docs, id_col, text_col, width))
+    sets = shingle_sets(docs, id_col, text_col, width)
     distinct = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("held").alias("held"), F.min(F.struct("_id", "_key")).alias("least")))
-    roots = components(links(docs, distinct, id_col, text_col, width, similarity, large))
+    roots = components(links(docs, distinct, id_col, text_col, width, similarity, small))
     held = distinct.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left")
     stay = held.groupBy(F.coalesce("root", "set_key").alias("root")).agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key"))
     return kept_rows(docs, stay, id_col, text_col)
