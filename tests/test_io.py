@@ -62,14 +62,14 @@ def test_requests():
 
 
 def test_stream_of_polls_equals_batch(spark, tmp_path):
-    rows = [("f", 20 * i, 3, c) for i, c in enumerate("aabbbcaa")]
-    schema = "feed string, ts bigint, n_rows bigint, content string"
+    rows = [("f", dt.date(2025, 3, 1 + i // 7), 20 * i, 3, c) for i, c in enumerate("aabbbcaa")]
+    schema = "feed string, day date, ts bigint, n_rows bigint, content string"
     for k in range(2):
         spark.createDataFrame(rows[4 * k : 4 * k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
-    twins.drain(twins.frozen_polls(s), "polls_out", "append", str(tmp_path / "c1"))
-    got = {r.ts: r.frozen for r in spark.sql("select * from polls_out").collect()}
-    assert got == {20 * i: i > 0 and c == "aabbbcaa"[i - 1] for i, c in enumerate("aabbbcaa")}
+    twins.drain(twins.frozen_polls(s), str(tmp_path / "out"), "append")
+    got = {r.ts: r.frozen for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {20 * i: i not in (0, 7) and c == "aabbbcaa"[i - 1] for i, c in enumerate("aabbbcaa")}
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):
@@ -77,12 +77,12 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     ev = spark.createDataFrame([(at + dt.timedelta(hours=h), "k") for h in (1, 5, 23, 27, 29, 60, 200)], "ts timestamp, line string")
     ev.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
-    twins.drain(twins.service_day_counts(s, "ts", ["line"]), "days_out", "complete", str(tmp_path / "c1"))
-    got = {r.service_date: r.n for r in spark.sql("select * from days_out").collect()}
+    twins.drain(twins.service_day_counts(s, "ts", ["line"]), str(tmp_path / "days"), "complete")
+    got = {r.service_date: r.n for r in spark.read.parquet(str(tmp_path / "days")).collect()}
     want = {r.d: r.n for r in ev.groupBy(F.to_date(F.col("ts") - F.expr("interval 4 hours")).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == want
-    twins.drain(twins.inactive_sessions(s, "ts", ["line"], "6 hours"), "sessions_out", "complete", str(tmp_path / "c2"))
-    assert sorted(r.n for r in spark.sql("select * from sessions_out").collect()) == [1, 1, 2, 3]
+    twins.drain(twins.inactive_sessions(s, "ts", ["line"], "6 hours"), str(tmp_path / "sessions"), "complete")
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "sessions")).collect()) == [1, 1, 2, 3]
 
 
 def test_upserts_are_idempotent(spark, tmp_path):

@@ -254,9 +254,9 @@ def test_versions(spark):
 def test_track_changes():
     names = list("ABCDE")
     assert routes.track_changes([100, 100, 100, 100], [100, 100, 100, 100], names) == []
-    assert routes.track_changes([300, 300, 300, 300], [300, 600, 400, 300], names) == [("detour", "B", "D", 400)]
-    assert routes.track_changes([300, 300, 300, 300], [300, 500, 110, 300], names) == [("moved_stop", "B", "D", 200)]
-    assert routes.track_changes([300] * 4, [325] * 4, names) == [("detour", "A", "B", 100)]
+    assert routes.track_changes([300, 300, 300, 300], [300, 600, 400, 300], names) == [("detour", "B", "D", 400, None)]
+    assert routes.track_changes([300, 300, 300, 300], [300, 500, 110, 300], names) == [("moved_stop", "B", "D", 200, "C")]
+    assert routes.track_changes([300] * 4, [325] * 4, names) == [("detour", "A", "B", 100, None)]
 
 
 def test_incremental(spark):

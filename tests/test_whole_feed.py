@@ -26,10 +26,10 @@ def test_chosen_parts_of_every_order(spark, feed):
     top, iv, _ = feed
     inside = lambda a, b: b[1] == a[1] and b[0] != a[0] and b[2] <= a[2] and b[3] >= a[3] and (b[2] < a[2] or b[3] > a[3] or b[0] < a[0])
     want = Counter(a[1:] for a in iv if not any(inside(a, b) for b in iv))
-    assert Counter(map(tuple, catalog.queries()["chosen_parts_all"](spark, top).collect())) == want
+    assert Counter(map(tuple, catalog.queries()["chosen_parts"](spark, top).collect())) == want
 
 
 def test_uncovered_polls_of_every_row(spark, feed):
     top, iv, points = feed
-    want = Counter((g, d) for g, d in points if not any(b[1] == g and b[2] <= d <= b[3] for b in iv))
-    assert {(r.g, r.day): r.n for r in catalog.queries()["uncovered_polls_all"](spark, top).collect()} == want
+    want = Counter((g, d) for g, d in points if not any(b[1] == g and b[2] <= d < b[3] for b in iv))
+    assert {(r.g, r.day): r.n for r in catalog.queries()["uncovered_polls"](spark, top).collect()} == want

@@ -22,8 +22,10 @@ BREAK_S, BUNCH, GAP, STOP_SHARE = 3600, 0.5, 1.5, 0.8
 APPROACH_M, DEFAULT_HEAD_M = 36, 39
 MARK_RANGE, MARK_MIN, MARK_SHARE = (10, 60), 20, 0.1
 OVERLAP_M, OVERLAP_SHARE, DENSIFY_M = 30.0, 0.8, 5.0
+DEGREE_M = (111320.0, 110540.0)
 DETOUR_M, DETOUR_SHARE, DETOUR_TOTAL, DETOUR_RUN_M = 150.0, 0.2, 0.05, 30.0
 LOOK_BACK_DAYS, LASTING_DAYS = 365, 7
+PAD_DAYS = 104
 SPAN_LIMIT_DAYS = 400
 MAP_MIN_PER_DAY, MAP_MAX_KMH = 1.0, 70.0
 EARTH_KM = 6371.0088

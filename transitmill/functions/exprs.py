@@ -100,7 +100,7 @@ def easter(year: str | Column) -> Column:
 def title_case(name: str | Column) -> Column:
     """Every run of letters begins with a capital and goes on in lower case; hyphens and apostrophes part runs."""
     parts = F.split(F.lower(col(name)), "(?<=[\\s'’-])")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
 def route_mode(route_type: str | Column) -> Column:

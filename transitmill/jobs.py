@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .plans import build
-from .plans.requests import RankQuery, parse_dow, parse_hours
+from .plans.requests import RankQuery, parse_dow, parse_hours, parse_periods
 from .session import session
 from .sources import readers, sinks
 
@@ -54,8 +54,15 @@ def regularity(spark: SparkSession, store: str, month: str) -> None:
 
 
 def rank(spark: SparkSession, store: str, q: RankQuery) -> DataFrame:
+    """The ranked lists of a request. Tables that the store doesn't have (modes, daytrips, plan) filter nothing."""
     months = readers.months_between(q.first, q.last)
     held = {n: spark.read.parquet(f"{store}/{n}").filter(F.col("month").isin(months)).drop("month") for n in ("cube", "days", "roles", "hourly")}
+    for name in ("linehours", "plan"):
+        if readers.exists(spark, f"{store}/{name}"):
+            held[name] = spark.read.parquet(f"{store}/{name}").filter(F.col("month").isin(months)).drop("month")
+    for name in ("modes", "daytrips"):
+        if readers.exists(spark, f"{store}/{name}"):
+            held[name] = spark.read.parquet(f"{store}/{name}")
     return build.ranking_answer(held, q)
 
 
@@ -70,6 +77,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--dow", type=parse_dow, default=(0, 1, 2, 3, 4))
     p.add_argument("--hours", type=parse_hours, default=(6, 21))
     p.add_argument("--top", type=int, default=50)
+    p.add_argument("--mode", default="all", choices=("all", "tram", "bus", "metro"))
+    p.add_argument("--exclude", type=parse_periods, default=(), help="D1..D2,D3")
+    for name, default in (("holidays", "exclude"), ("school", "include"), ("reduced", "exclude")):
+        p.add_argument(f"--{name}", default=default, choices=("exclude", "include"))
     p.add_argument("--stops", action="store_true")
     p.add_argument("--terminus", action="store_true")
     p.add_argument("--out", help="folder for the ranking, as CSV")
@@ -83,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.job == "regularity":
         regularity(spark, a.store, a.month)
     else:
-        q = RankQuery(a.first, a.last, a.dow, lines=tuple(a.lines or ()), stops=a.stops, terminus=a.terminus, top=a.top, hours=a.hours)
+        q = RankQuery(a.first, a.last, a.dow, lines=tuple(a.lines or ()), stops=a.stops, terminus=a.terminus, top=a.top, hours=a.hours, mode=a.mode, exclude=a.exclude, holidays=a.holidays, school=a.school, reduced=a.reduced)
         sinks.download(rank(spark, a.store, q), a.out)
 
 

@@ -63,10 +63,11 @@ def chosen_parts(parts: DataFrame, start: str = "start", end: str = "end", keys:
 
 
 def uncovered(points: DataFrame, parts: DataFrame, keys: list[str], at: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Points in no interval of their key: each point is set against the furthest end among intervals that start before it."""
+    """Points in no half-open interval [start, end) of their key: each point is set against the furthest end among intervals that
+    start at it or before."""
     stacked = points.withColumn("_side", F.lit(1)).withColumn("_at", F.col(at)).unionByName(parts.select(*keys, F.col(start).alias("_at"), F.col(end).alias("_end"), F.lit(0).alias("_side")), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return stacked.withColumn("_reach", F.max("_end").over(w)).filter((F.col("_side") == 1) & (F.col("_reach").isNull() | (F.col("_reach") < F.col(at)))).select(*points.columns)
+    return stacked.withColumn("_reach", F.max("_end").over(w)).filter((F.col("_side") == 1) & (F.col("_reach").isNull() | (F.col("_reach") <= F.col(at)))).select(*points.columns)
 
 
 def partial_sources(days: DataFrame, date: str = "date", lines: str = "lines", back: int = 10, span: int = 28, least: int = 3) -> DataFrame:

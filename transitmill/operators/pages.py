@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MIN_FIXES, MIN_STOP_DAYS, SPARSE_SHARE, TICK_S
-from ..functions.exprs import in_band, ratio, total
+from ..functions.exprs import in_band, ratio, title_case, total
+from . import stretches
 from .regularity import COUNTS, SUMS
 from .windows import first_of, top_n
 
@@ -67,6 +68,35 @@ def ranked_lists(x: DataFrame, days_per_year: int, top: int = 50, flagged: int =
     return out[0].unionByName(out[1]).select("list", "rank", key, hours.alias("veh_h_day"), (hours * days_per_year).alias("veh_h_year"), ratio("_v", "_p").alias("s_per_passage"), "reasons")
 
 
+def stretch_sums(x: DataFrame, geometry: DataFrame | None = None, key: str = "link_key") -> DataFrame:
+    """One row a stretch of the rows (line, link) of x: sums, its links, and an entry a line, costliest first.
+
+    With a geometry (key, geometry), links under the same two names that run along each other are one stretch, named by the
+    costliest; else each link is its own.
+    """
+    names = [c for c in ("from_name", "to_name", "len_m") if c in x.columns]
+    if geometry is not None:
+        each = x.groupBy(key).agg(F.sum("veh_s_day").alias("cost"), *[title_case(F.min(c)).alias(c) for c in names[:2]])
+        x = x.join(stretches.merge(each.join(geometry, key, "left"), key), key)
+    else:
+        x = x.withColumn("stretch", F.col(key))
+    cols = ["veh_s_day", "veh_s_day_run", "veh_s_day_stop", "passages_day"]
+    hours = lambda c: (F.col(c) / 3600).alias(c.replace("_s_", "_h_"))
+    entry = F.struct((-F.col("veh_s_day")).alias("_o"), F.col("line"), *map(hours, cols[:3]), "passages_day", "peak", "n_days", "reason", F.col("reg_share").alias("stand_share"))
+    drop_order = lambda e: F.struct(*[e[c].alias(c) for c in ("line", "veh_h_day", "veh_h_day_run", "veh_h_day_stop", "passages_day", "peak", "n_days", "reason", "stand_share")])
+    own = F.col(key) == F.col("stretch")
+    g = x.groupBy("stretch").agg(*[total(c).alias(c) for c in cols], F.array_sort(F.collect_set(key)).alias("link_keys"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.transform(F.array_sort(F.collect_list(entry)), drop_order).alias("lines"), *[F.min(F.when(own, F.col(c))).alias(c) for c in names])
+    return g.withColumns({c: title_case(c) for c in names[:2]})
+
+
+def stretch_rows(sums: DataFrame, n: int, days_per_year: int) -> DataFrame:
+    """The n costliest of stretch_sums() that lose time, as rows of the answer."""
+    best = top_n(sums.filter("veh_s_day > 0"), [F.col("veh_s_day").desc(), "stretch"], n)
+    hours = lambda c: F.col(c) / 3600
+    named = [c for c in ("from_name", "to_name", "len_m") if c in sums.columns]
+    return best.select("rank", F.col("stretch").alias("link_key"), "link_keys", *named, hours("veh_s_day").alias("veh_h_day"), (hours("veh_s_day") * days_per_year).alias("veh_h_year"), hours("veh_s_day_run").alias("veh_h_day_run"), hours("veh_s_day_stop").alias("veh_h_day_stop"), "passages_day", ratio("veh_s_day", "passages_day").alias("s_per_passage"), "reasons", "lines")
+
+
 def excluded_days(excluded: DataFrame, present: DataFrame, weekdays: Sequence[int] = (0, 1, 2, 3, 4), date: str = "date") -> DataFrame:
     """(reason, n): days of the chosen weekdays that have data and are left out, by reason."""
     seen = present.select(date).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DETOUR_M, DETOUR_RUN_M, DETOUR_SHARE, DETOUR_TOTAL, LASTING_DAYS
 from ..session import ship
-from .windows import first_of, runs
+from .windows import runs
 
 
 def feed_dates(index: DataFrame, ahead: int = 7) -> DataFrame:
@@ -49,10 +49,6 @@ def build_mode(days: int, new: int, closed: bool = False, changed: bool = False,
     return "incremental" if new else "current"
 
 
-def unique_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return first_of(df, keys, order)
-
-
 def main_runs(pattern_days: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of the main pattern over days with data."""
     return runs(pattern_days.filter("is_main"), keys, ["service_date"], "pattern_uid", "service_date")
@@ -84,9 +80,9 @@ def lasting_change(back: DataFrame, ref: DataFrame, keys: list[str], route: str
     return last.join(since, keys, "left").select(*keys, "before", last["last"], "since")
 
 
-def track_changes(ref: list[float], own: list[float], names: list[str]) -> list[tuple[str, str, str, int]]:
-    """(kind, from, to, metres) where link lengths differ: neighbouring changes over DETOUR_RUN_M make one run, which is a detour
-    if it is large as a whole, or a moved stop if its largest link is and another link follows it; if no detour is found but the route
+def track_changes(ref: list[float], own: list[float], names: list[str]) -> list[tuple[str, str, str, int, str | None]]:
+    """(kind, from, to, metres, stop) where link lengths differ: neighbouring changes over DETOUR_RUN_M make one run, which is a detour
+    if it is large as a whole, or a moved stop (the one after its largest link) if that link is and another follows it; if no detour is found but the route
     as a whole differs by over DETOUR_TOTAL, its largest change is one."""
     delta = [b - a for a, b in zip(ref, own, strict=True)]
     large = lambda d, base: abs(d) > max(DETOUR_M, DETOUR_SHARE * base)
@@ -96,14 +92,14 @@ def track_changes(ref: list[float], own: list[float], names: list[str]) -> list[
         lo, hi = run.index[0], run.index[-1]
         whole = sum(delta[lo : hi + 1])
         if large(whole, sum(ref[lo : hi + 1])):
-            out.append(("detour", names[lo], names[hi + 1], round(whole)))
+            out.append(("detour", names[lo], names[hi + 1], round(whole), None))
             continue
         top = max(run.index, key=lambda i: abs(delta[i]))
         if top < hi and large(delta[top], ref[top]):
-            out.append(("moved_stop", names[lo], names[hi + 1], round(abs(delta[top]))))
+            out.append(("moved_stop", names[lo], names[hi + 1], round(abs(delta[top])), names[top + 1]))
     if delta and not any(x[0] == "detour" for x in out) and abs(sum(delta)) > DETOUR_TOTAL * sum(ref):
         top = max(range(len(delta)), key=lambda i: abs(delta[i]))
-        out.append(("detour", names[top], names[top + 1], round(sum(delta))))
+        out.append(("detour", names[top], names[top + 1], round(sum(delta)), None))
     return out
 
 
@@ -116,9 +112,9 @@ def route_changes(df: DataFrame, keys: list[str]) -> DataFrame:
     def run(parts):
         for pdf in parts:
             found = [(*[getattr(r, k) for k in keys], *x) for r in pdf.itertuples(index=False) for x in track_changes(list(r.ref), list(r.own), list(r.names))]
-            yield pd.DataFrame(found, columns=[*keys, "kind", "from_stop", "to_stop", "delta_m"])
+            yield pd.DataFrame(found, columns=[*keys, "kind", "from_stop", "to_stop", "delta_m", "stop"])
 
-    return df.mapInPandas(run, f"{kind}, kind string, from_stop string, to_stop string, delta_m bigint")
+    return df.mapInPandas(run, f"{kind}, kind string, from_stop string, to_stop string, delta_m bigint, stop string")
 
 
 def patterns(stop_times: DataFrame, trips: DataFrame) -> DataFrame:

@@ -7,37 +7,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DENSIFY_M, EARTH_KM, OVERLAP_M, OVERLAP_SHARE
+from ..config import DEGREE_M, DENSIFY_M, OVERLAP_M, OVERLAP_SHARE
 from ..session import ship
 
 
 def metres(line: np.ndarray, lat0: float) -> np.ndarray:
-    return np.radians(line) * EARTH_KM * 1000 * np.array([np.cos(np.radians(lat0)), 1.0])
+    """Longitude and latitude as metres on a plane that touches at lat0."""
+    return line * DEGREE_M * np.array([np.cos(np.radians(lat0)), 1.0])
 
 
 def overlap(a, b) -> float:
-    """Share of the shorter polyline (lon, lat), in points every DENSIFY_M metres, that lies within OVERLAP_M of the other."""
-    a, b = np.asarray([list(p) for p in a], float), np.asarray([list(p) for p in b], float)
-    if len(a) < 2 or len(b) < 2:
+    """Share of the shorter polyline (lon, lat) that lies within OVERLAP_M of the other, in points at most about DENSIFY_M metres
+    apart on each of its pieces. The plane touches at the first point of `a`."""
+    a, b = np.asarray([list(p) for p in a], float).reshape(-1, 2), np.asarray([list(p) for p in b], float).reshape(-1, 2)
+    if min(len(a), len(b)) < 2:
         return 0.0
-    lat0 = float(np.concatenate([a, b])[:, 1].mean())
-    a, b = metres(a, lat0), metres(b, lat0)
-    length = lambda x: np.hypot(*np.diff(x, axis=0).T).sum()
-    if length(a) > length(b):
-        a, b = b, a
-    steps = np.hypot(*np.diff(a, axis=0).T)
-    at = np.concatenate([[0], np.cumsum(steps)])
-    where = np.linspace(0, at[-1], max(2, int(at[-1] // DENSIFY_M) + 1))
-    points = np.stack([np.interp(where, at, a[:, k]) for k in (0, 1)], axis=1)
-    start, way = b[:-1], np.diff(b, axis=0)
-    square = np.maximum((way * way).sum(axis=1), 1e-12)
-    along = np.clip(((points[:, None] - start) * way).sum(axis=2) / square, 0, 1)
-    away = np.hypot(*np.moveaxis(points[:, None] - (start + along[..., None] * way), 2, 0)).min(axis=1)
-    return float((away <= OVERLAP_M).mean())
+    length = lambda x: np.hypot(*np.diff(x, axis=0).T)
+    short, long = sorted((metres(x, a[0, 1]) for x in (a, b)), key=lambda x: length(x).sum())
+    pieces = np.maximum(1, length(short) // DENSIFY_M).astype(int)
+    own = np.repeat(np.arange(len(pieces)), pieces)
+    part = (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1) / pieces[own]
+    points = np.concatenate([short[:1], short[own] + part[:, None] * np.diff(short, axis=0)[own]])
+    way = np.diff(long, axis=0)
+    along = ((points[:, None] - long[:-1]) * way).sum(axis=2) / np.maximum((way * way).sum(axis=1), 1e-12)
+    away = points[:, None] - (long[:-1] + np.clip(along, 0, 1)[..., None] * way)
+    return float((np.hypot(away[..., 0], away[..., 1]).min(axis=1) <= OVERLAP_M).mean())
 
 
 def merge(links: DataFrame, key: str = "link_key", names: tuple[str, str] = ("from_name", "to_name"), cost: str = "cost", geometry: str = "geometry") -> DataFrame:
-    """(link_key, stretch): links of equal names that run along each other, named by the costliest.
+    """(link_key, stretch): links of equal names that run along each other, named by the costliest (of equal ones, the least key).
 
     Only links that share both names meet, and those are the few variants of one street.
     """
@@ -46,18 +44,16 @@ def merge(links: DataFrame, key: str = "link_key", names: tuple[str, str] = ("fr
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([cost, key], ascending=[False, True]).reset_index(drop=True)
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for i in range(len(pdf)):
-            for j in range(i):
-                if find(i) != find(j) and overlap(pdf[geometry][i], pdf[geometry][j]) >= OVERLAP_SHARE:
-                    root[max(find(i), find(j))] = min(find(i), find(j))
-        return pd.DataFrame({key: pdf[key], "stretch": [pdf[key][find(i)] for i in range(len(pdf))]})
+        lines, keys = pdf[geometry].tolist(), pdf[key].tolist()
+        along = np.eye(len(pdf), dtype=bool)
+        for i, j in zip(*np.triu_indices(len(pdf), 1), strict=True):
+            x, y = sorted((i, j), key=keys.__getitem__)
+            along[i, j] = along[j, i] = overlap(lines[x], lines[y]) >= OVERLAP_SHARE
+        # each link takes the least place among those it runs along, until that changes nothing
+        top, last = np.arange(len(pdf)), None
+        while last is None or (top != last).any():
+            last, top = top, np.where(along, top, len(pdf)).min(axis=1)
+        return pd.DataFrame({key: keys, "stretch": [keys[k] for k in top]})
 
     kind = links.schema[key].dataType.simpleString()
-    return links.select(key, *names, F.col(cost).cast("double").alias(cost), geometry).groupBy(*names).applyInPandas(run, f"{key} {kind}, stretch {kind}")
+    return links.select(key, *names, F.col(cost).cast("double").alias(cost), F.coalesce(geometry, F.array()).alias(geometry)).groupBy(*names).applyInPandas(run, f"{key} {kind}, stretch {kind}")

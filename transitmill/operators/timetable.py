@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import EARTH_KM, GUARD_SHARE, HOLIDAY_RATIO, MIN_SIDE, REDUCED_RATIO, REF_DAYS, REF_QUANTILE, RUN_DAYS, RUN_DROP
+from ..config import EARTH_KM, GUARD_SHARE, HOLIDAY_RATIO, MIN_SIDE, PAD_DAYS, REDUCED_RATIO, REF_DAYS, REF_QUANTILE, RUN_DAYS, RUN_DROP
 from ..functions.exprs import easter, nearest_rank, total
 from .windows import first_of
 
@@ -132,5 +132,7 @@ def exclusions(days: DataFrame, off: DataFrame, classes: DataFrame, periods: Dat
     return first_of(found.join(days.select("date"), "date", "left_semi"), ["date"], ["_p", "reason"]).drop("_p")
 
 
-def span_ok(first: Column, last: Column, limit: int = 400) -> Column:
-    return (last >= first) & (F.datediff(last, first) <= limit)
+def categories(days: DataFrame, off: DataFrame, first, last, date: str = "date", trips: str = "trips", pad: int = PAD_DAYS) -> DataFrame:
+    """(date, service) of the days from first to last, judged with `pad` days of trips on either side; `off`: public holidays."""
+    near = days.filter(F.col(date).between(F.date_sub(F.lit(first), pad), F.date_add(F.lit(last), pad)))
+    return day_classes(service_ratios(near, off, date, trips), off).filter(F.col("date").between(first, last))

@@ -126,11 +126,11 @@ def rank_cube(spark, d) -> DataFrame:
     """Line items as a cube: status is the line, supplier the link, ship month the day."""
     q, k = F.col("l_quantity"), F.col("l_linenumber")
     col = lambda c, n: F.when(c, q).otherwise(0.0).alias(n)
-    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("line"), F.col("l_suppkey").alias("link_key"), F.to_date("l_shipdate").alias("service_date"), col(k % 2 == 0, "o_day_r"), col(k % 3 == 0, "o_day_s"), col(k % 4 == 1, "o_eve_r"), col(k % 5 == 1, "o_eve_s"), col(k % 6 == 0, "l_day_r"), col(k == 6, "l_day_s"), col(k % 7 == 1, "l_eve_r"), col(k == 8, "l_eve_s"), col(k == 2, "o_am_r"), col(k == 3, "o_am_s"), col(k == 4, "o_pm_r"), col(k == 5, "o_pm_s"), F.when(k <= 4, 1.0).otherwise(0.0).alias("p_day"), F.when(k <= 2, 1.0).otherwise(0.0).alias("p_eve"), F.when(k == 2, 1.0).otherwise(0.0).alias("p_am"), F.when(k == 4, 1.0).otherwise(0.0).alias("p_pm"))
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("line"), F.col("l_suppkey").alias("link_key"), F.to_date("l_shipdate").alias("service_date"), col(k % 2 == 0, "o_day_r"), col(k % 3 == 0, "o_day_s"), col(k % 4 == 1, "o_eve_r"), col(k % 5 == 1, "o_eve_s"), col(k % 6 == 0, "l_day_r"), col(k == 6, "l_day_s"), col(k % 7 == 1, "l_eve_r"), col(k == 8, "l_eve_s"), col(k == 2, "o_am_r"), col(k == 3, "o_am_s"), col(k == 4, "o_pm_r"), col(k == 5, "o_pm_s"), F.when(k <= 4, 1.0).otherwise(0.0).alias("p_day"), F.when(k >= 3, 1.0).otherwise(0.0).alias("p_eve"), F.when(k == 2, 1.0).otherwise(0.0).alias("p_am"), F.when(k == 4, 1.0).otherwise(0.0).alias("p_pm"))
 
 
 _C = {"o_day_r": "k % 2 = 0", "o_day_s": "k % 3 = 0", "o_eve_r": "k % 4 = 1", "o_eve_s": "k % 5 = 1", "l_day_r": "k % 6 = 0", "l_day_s": "k = 6", "l_eve_r": "k % 7 = 1", "l_eve_s": "k = 8", "o_am_r": "k = 2", "o_am_s": "k = 3", "o_pm_r": "k = 4", "o_pm_s": "k = 5"}
-_P = {"p_day": "k <= 4", "p_eve": "k <= 2", "p_am": "k = 2", "p_pm": "k = 4"}
+_P = {"p_day": "k <= 4", "p_eve": "k >= 3", "p_am": "k = 2", "p_pm": "k = 4"}
 RK = "WITH c AS (SELECT l_returnflag AS line, l_suppkey AS link_key, l_quantity AS q, l_linenumber AS k, l_shipdate AS sd FROM lineitem WHERE isodow(l_shipdate) <= 5), s AS (SELECT line, link_key, " + ", ".join(f"coalesce(sum(q) FILTER (WHERE {c}), 0) AS {n}" for n, c in _C.items()) + ", " + ", ".join(f"(count(*) FILTER (WHERE {c}))::DOUBLE AS {n}" for n, c in _P.items()) + """, count(*) FILTER (WHERE k <= 4) AS n_days, 100.0 AS D FROM c GROUP BY ALL HAVING count(*) FILTER (WHERE k <= 4) >= 5),
 x AS (SELECT *, ((o_day_r + o_day_s) / p_day - (o_eve_r + o_eve_s) / p_eve) * 20 AS ex, (o_day_r / p_day - o_eve_r / p_eve) * 20 AS ex_r, ((l_day_r + l_day_s) / p_day - (l_eve_r + l_eve_s) / p_eve) * 20 AS ex_long, ((o_am_r + o_am_s) / nullif(p_am, 0) - (o_eve_r + o_eve_s) / p_eve) * 20 AS ex_am, ((o_pm_r + o_pm_s) / nullif(p_pm, 0) - (o_eve_r + o_eve_s) / p_eve) * 20 AS ex_pm, p_day / D AS passages_day FROM s WHERE p_day > 0 AND p_eve > 0),
 y AS (SELECT *, ex * passages_day AS veh_s_day, ex_r * passages_day AS veh_s_day_run, CASE WHEN ex > 0 THEN ex_long / ex END AS reg_share, link_key % 3 AS term FROM x),
@@ -206,13 +206,13 @@ def map_links(spark, d):
     return rounded(network.map_links(x.select(F.col("l_partkey").alias("link_key"), F.col("l_returnflag").alias("line"), F.col("l_quantity").alias("n"), price.alias("d"), (price * F.col("l_discount") * 2).alias("t"), F.col("l_linenumber").alias("n_days"), F.col("n_name").endswith("A").alias("metro"), (F.col("l_linenumber") == 1).alias("term"), F.col("s_acctbal").alias("len_m"))))
 
 
-@query(E + """, st AS (SELECT event_type AS line, user_id AS stop_id, sum(value) AS r1, sum(value * value) * 50 AS r2, sum(hour)::DOUBLE AS s1, sum(hour * hour)::DOUBLE * 90 AS s2 FROM e WHERE user_id % 9 <> 0 GROUP BY ALL HAVING sum(hour) > 0),
+@query(E + """, st AS (SELECT event_type AS line, user_id AS stop_id, sum(value) AS r1, sum(value * value) * 50 AS r2, sum(hour)::DOUBLE AS s1, sum(hour * hour)::DOUBLE * 90 AS s2 FROM e GROUP BY ALL HAVING sum(hour) > 0),
 lk AS (SELECT DISTINCT event_type AS line, user_id AS a, (user_id * 7 + 3) % 150 AS b, user_id % 40 AS link_key FROM e),
 x AS (SELECT link_key, sb.r1, sb.r2, sb.s1, sb.s2, CASE WHEN sa.r1 IS NOT NULL AND sb.r1 IS NOT NULL THEN 1 ELSE 0 END AS k, sa.r1 AS ar1, sa.r2 AS ar2, sa.s1 AS as1, sa.s2 AS as2 FROM lk LEFT JOIN st sb ON sb.line = lk.line AND sb.stop_id = lk.b LEFT JOIN st sa ON sa.line = lk.line AND sa.stop_id = lk.a)
 SELECT link_key, round(sum(r2) / nullif(sum(r1) * 120, 0) - sum(s2) / nullif(sum(s1) * 120, 0), 2) AS ew, round((sum(r2) FILTER (WHERE k = 1) / nullif(sum(r1) FILTER (WHERE k = 1) * 120, 0) - sum(s2) FILTER (WHERE k = 1) / nullif(sum(s1) FILTER (WHERE k = 1) * 120, 0)) - (sum(ar2) FILTER (WHERE k = 1) / nullif(sum(ar1) FILTER (WHERE k = 1) * 120, 0) - sum(as2) FILTER (WHERE k = 1) / nullif(sum(as1) FILTER (WHERE k = 1) * 120, 0)), 2) AS dew FROM x GROUP BY ALL""")
 def link_regularity(spark, d):
     e = events(spark, d)
-    st = e.filter("user_id % 9 <> 0").groupBy(F.col("event_type").alias("line"), F.col("user_id").alias("stop_id")).agg(F.sum("value").alias("r1"), (F.sum(F.col("value") * F.col("value")) * 50).alias("r2"), F.sum("hour").cast("double").alias("s1"), (F.sum(F.col("hour") * F.col("hour")).cast("double") * 90).alias("s2")).filter("s1 > 0")
+    st = e.groupBy(F.col("event_type").alias("line"), F.col("user_id").alias("stop_id")).agg(F.sum("value").alias("r1"), (F.sum(F.col("value") * F.col("value")) * 50).alias("r2"), F.sum("hour").cast("double").alias("s1"), (F.sum(F.col("hour") * F.col("hour")).cast("double") * 90).alias("s2")).filter("s1 > 0")
     st = st.select("*", *[F.lit(0).alias(c) for c in ("n", "m", "nc", "bunch", "gap")])
     lk = e.select(F.col("event_type").alias("line"), F.col("user_id").alias("from_stop"), ((F.col("user_id") * 7 + 3) % 150).alias("to_stop"), (F.col("user_id") % 40).alias("link_key")).distinct()
     return network.link_regularity(lk, st)
@@ -330,9 +330,9 @@ def incremental_lengths(spark, d):
     return rounded(routes.with_feed_lengths(day, month, ["user_id"], 67))
 
 
-@query("WITH m AS (SELECT c_mktsegment AS seg, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE month(o_orderdate) % 5 <> 0 GROUP BY ALL) SELECT seg, month, n, CASE WHEN lag(month) OVER w + INTERVAL 1 MONTH = month THEN lag(n) OVER w ELSE -1 END AS prev FROM m WINDOW w AS (PARTITION BY seg ORDER BY month)")
+@query("WITH m AS (SELECT c_mktsegment AS seg, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL) SELECT seg, month, n, CASE WHEN lag(month) OVER w + INTERVAL 1 MONTH = month THEN lag(n) OVER w ELSE -1 END AS prev FROM m WINDOW w AS (PARTITION BY seg ORDER BY month)")
 def month_tiles(spark, d):
-    o = table(spark, d, "orders").filter("month(o_orderdate) % 5 <> 0").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return analysis.month_delta(o.groupBy(F.col("c_mktsegment").alias("seg"), F.trunc("o_orderdate", "month").alias("month")).agg(F.count(F.lit(1)).alias("n")), ["seg"], "month", "n").fillna(-1, ["prev"])
 
 

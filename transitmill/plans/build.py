@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BANDS
-from ..functions.exprs import chosen_day
-from ..operators import coverage, cube, pages, ranking, regularity, zones
-from .requests import RankQuery
+from ..functions.exprs import chosen_day, tally, total
+from ..operators import coverage, cube, network, pages, ranking, regularity, timetable, zones
+from ..operators.windows import first_of
+from ..session import empty
+from .requests import Days, RankQuery
 
 LINE, CELL, AT = ["line"], ["line", "service_date", "hour"], ["line", "service_date", "link_key"]
 
@@ -47,16 +49,67 @@ def regularity_tables(events: DataFrame) -> dict[str, DataFrame]:
     return {"headways": hw, "reglines": regularity.summed(hw, ["line", "service_date", "hour"]), "regstops": regularity.stop_offsets(regularity.offsets(seen))}
 
 
-def ranking_answer(tables: dict[str, DataFrame], q: RankQuery, excluded: list | None = None) -> DataFrame:
-    """The ranked lists of a request, from the month tables: the cube, or the hourly table for hours other than the whole day."""
-    q.check()
-    keep = F.col("service_date").between(q.first, q.last) & chosen_day("service_date", list(q.dow), excluded)
+def left_out(spark: SparkSession, q: Days, tables: dict[str, DataFrame]) -> DataFrame:
+    """(date, reason): the days that a request leaves out. First what it names (public holidays, the service classes of `daytrips`,
+    its own periods), then days without a feed and, with reduced days out, strikes, found in `linehours` and `plan`.
+
+    Tables that aren't given leave nothing out. A day has one reason; there are no more rows than days asked for.
+    """
+    span = spark.range(1).select(F.explode(F.sequence(F.lit(q.first), F.lit(q.last))).alias("date"))
+    off = timetable.holidays(span.select(F.explode(F.array(F.year("date") - 1, F.year("date"), F.year("date") + 1)).alias("year")).distinct())
+    classes = timetable.categories(tables["daytrips"], off, q.first, q.last) if "daytrips" in tables else empty(spark, "date date, service string")
+    named = tuple(c for c, asked in (("school_holiday", q.school), ("reduced_service", q.reduced)) if asked == "exclude")
+    mine = spark.createDataFrame([list(p) for p in q.exclude], "first date, last date")
+    out = timetable.exclusions(span, off, classes, mine, q.holidays == "exclude", named).withColumn("_p", F.lit(0))
+    if "linehours" in tables and "plan" in tables:
+        inside = F.col("service_date").between(q.first, q.last)
+        found = network.anomalies(tables["linehours"].filter(inside), tables["plan"].filter(inside), classes.filter("service = 'reduced_service'"))
+        found = found.filter(F.col("why").isin(["nofeed", "strike"] if q.reduced == "exclude" else ["nofeed"]))
+        out = out.unionByName(found.select(F.col("service_date").alias("date"), F.col("why").alias("reason"), F.lit(1).alias("_p")))
+    return first_of(out, ["date"], ["_p"]).drop("_p")
+
+
+def asked_lines(q: RankQuery, tables: dict[str, DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the lines of a request: those it lists, else those of its mode."""
     if q.lines:
-        keep = keep & F.col("line").isin(list(q.lines))
-    own = tables["cube"] if q.hours == BANDS["day"] else ranking.hour_cube(tables["hourly"].filter(keep), q.hours, AT)
-    usable = tables["days"].filter(keep).select("line", "service_date").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("D"))
-    sums = ranking.window_sums(own, keep, ["line", "link_key"]).join(F.broadcast(usable), "line")
-    lost = ranking.reasons(ranking.excess(sums, stops=q.stops), ranking.best_role(tables["roles"]).select("line", "link_key", "term"))
-    if q.terminus:
-        lost = lost.withColumn("reason", F.lit(None).cast("string"))
-    return pages.ranked_lists(lost, round(365.25 / 7 * len(set(q.dow))), q.shown)
+        return lambda df: df.filter(F.col("line").isin(list(q.lines)))
+    if q.mode != "all":
+        own = tables["modes"].filter(F.col("mode") == q.mode).select("line").distinct()
+        return lambda df: df.join(F.broadcast(own), "line", "left_semi")
+    return lambda df: df
+
+
+def lost_time(tables: dict[str, DataFrame], q: RankQuery, out: DataFrame | None = None) -> DataFrame:
+    """What each line and link loses in a request's days, hours and lines, with the reason to flag it, from the month tables: the
+    cube, or the hourly table for hours other than the whole day. `out`: days that are left out, by default left_out()."""
+    q.check()
+    out = left_out(tables["days"].sparkSession, q, tables) if out is None else out
+    lines = asked_lines(q, tables)
+    off = F.broadcast(out.select(F.col("date").alias("service_date")))
+    kept = lambda df: lines(df.filter(F.col("service_date").between(q.first, q.last) & chosen_day("service_date", list(q.dow)))).join(off, "service_date", "left_anti")
+    own = kept(tables["cube"]) if q.hours == BANDS["day"] else ranking.hour_cube(kept(tables["hourly"]), q.hours, AT)
+    usable = kept(tables["days"]).select("line", "service_date").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("D"))
+    sums = ranking.window_sums(own, F.lit(True), ["line", "link_key"]).join(F.broadcast(usable), "line")
+    named = [c for c in ("from_name", "to_name", "len_m") if c in tables["roles"].columns]
+    lost = ranking.reasons(ranking.excess(sums, stops=q.stops), ranking.best_role(tables["roles"]).select("line", "link_key", "term", *named))
+    return lost.withColumn("reason", F.lit(None).cast("string")) if q.terminus else lost
+
+
+def ranking_answer(tables: dict[str, DataFrame], q: RankQuery, out: DataFrame | None = None) -> DataFrame:
+    """The ranked lists of a request, by link."""
+    return pages.ranked_lists(lost_time(tables, q, out), round(365.25 / 7 * len(set(q.dow))), q.shown)
+
+
+def ranking_page(tables: dict[str, DataFrame], q: RankQuery, out: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A request's whole answer: `stretches` (kept and flagged, with the entries of their lines), `lines` (what each loses), and
+    `envelope`, one row of totals. Links of equal names that run along each other (by `geometry`, if given) are one stretch."""
+    lost, year = lost_time(tables, q, out), round(365.25 / 7 * len(set(q.dow)))
+    geometry = tables.get("geometry")
+    kept, flagged = lost.filter("reason is null"), lost.filter("reason is not null and veh_s_day > 0")
+    main, other = pages.stretch_sums(kept, geometry), pages.stretch_sums(flagged, geometry)
+    both = [pages.stretch_rows(x, n, year).withColumn("list", F.lit(name)) for x, n, name in ((main, q.shown, "kept"), (other, 10, "flagged"))]
+    per_line = kept.filter("veh_s_day > 0").groupBy("line").agg((F.sum("veh_s_day") / 3600).alias("veh_h_day"))
+    lose = main.withColumn("kept", F.lit(True)).unionByName(other.withColumn("kept", F.lit(False))).filter("veh_s_day > 0")
+    sums = [x for p, here in (("total_", F.col("kept")), ("excluded_", ~F.col("kept"))) for x in (tally(here).alias(f"{p}n"), (total("veh_s_day", here) / 3600).alias(f"{p}veh_h_day"))]
+    top = lose.agg(*sums).withColumns({"lines_used": lost.agg(F.count_distinct("line")).scalar(), "days_per_year": F.lit(year)})
+    return {"stretches": both[0].unionByName(both[1]), "lines": per_line, "envelope": top}

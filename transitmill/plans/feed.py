@@ -81,6 +81,14 @@ def service_hours(spark, d):
     return cube.on_service_day(p, ["user_id"])
 
 
+#: Hours of a day with events enough to be usable.
+UP = ", up AS (SELECT service_date, hour FROM e GROUP BY ALL HAVING count(*) >= 12)"
+
+
+def busy(spark, d) -> DataFrame:
+    return events(spark, d).groupBy("service_date", "hour").agg(F.count(F.lit(1)).alias("n")).filter("n >= 12").select("service_date", "hour")
+
+
 def fixes(spark, d) -> DataFrame:
     return events(spark, d).select("service_date", "hour", F.col("user_id").alias("link_key"), F.col("value").alias("w"), (F.col("event_type") == "error").alias("stop"), (F.col("value") > 100).alias("long"))
 
@@ -95,20 +103,19 @@ def passages(spark, d) -> DataFrame:
     return events(spark, d).groupBy("service_date", "hour", F.col("user_id").alias("link_key")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("event_type") != "view").cast("double").alias("n_feed"))
 
 
-@query(FX + f", o AS (SELECT service_date, link_key, {_SUMS} FROM fx GROUP BY ALL), p AS (SELECT service_date, link_key, {_PASS} FROM ps WHERE hour % 5 <> 0 GROUP BY ALL) SELECT service_date, link_key, {_FILLED} FROM o FULL JOIN p USING (service_date, link_key)")
+@query(FX + UP + f", o AS (SELECT service_date, link_key, {_SUMS} FROM fx GROUP BY ALL), p AS (SELECT service_date, link_key, {_PASS} FROM ps SEMI JOIN up USING (service_date, hour) GROUP BY ALL) SELECT service_date, link_key, {_FILLED} FROM o FULL JOIN p USING (service_date, link_key)")
 def band_cube(spark, d):
-    hours = events(spark, d).select("service_date", "hour").distinct().filter("hour % 5 <> 0")
-    return rounded(cube.cube(fixes(spark, d), passages(spark, d), hours, ["service_date", "link_key"]))
+    return rounded(cube.cube(fixes(spark, d), passages(spark, d), busy(spark, d), ["service_date", "link_key"]))
 
 
-HL = FX + """, o AS (SELECT service_date, hour, link_key, sum(w) FILTER (WHERE NOT stop) AS o_r, sum(w) FILTER (WHERE stop) AS o_s, sum(w) FILTER (WHERE NOT stop AND long) AS l_r, sum(w) FILTER (WHERE stop AND long) AS l_s FROM fx WHERE hour % 3 <> 0 GROUP BY ALL),
-x AS (SELECT service_date, hour, link_key, coalesce(n, 0) AS n, coalesce(n_feed, 0) AS f, coalesce(o_r, 0) AS o_r, coalesce(o_s, 0) AS o_s, coalesce(l_r, 0) AS l_r, coalesce(l_s, 0) AS l_s, hour % 3 <> 0 AS ok FROM o FULL JOIN ps USING (service_date, hour, link_key)),
+HL = FX + UP + """, o AS (SELECT service_date, hour, link_key, sum(w) FILTER (WHERE NOT stop) AS o_r, sum(w) FILTER (WHERE stop) AS o_s, sum(w) FILTER (WHERE NOT stop AND long) AS l_r, sum(w) FILTER (WHERE stop AND long) AS l_s FROM fx SEMI JOIN up USING (service_date, hour) GROUP BY ALL),
+x AS (SELECT service_date, hour, link_key, coalesce(n, 0) AS n, coalesce(n_feed, 0) AS f, coalesce(o_r, 0) AS o_r, coalesce(o_s, 0) AS o_s, coalesce(l_r, 0) AS l_r, coalesce(l_s, 0) AS l_s, u IS NOT NULL AS ok FROM o FULL JOIN ps USING (service_date, hour, link_key) LEFT JOIN (SELECT *, 1 AS u FROM up) USING (service_date, hour)),
 h AS (SELECT service_date, hour, link_key, n, o_r, o_s, l_r, l_s, ok, ok AND sum(f) OVER g >= 0.6 * sum(n) OVER g AS spd_ok FROM x WINDOW g AS (PARTITION BY service_date, hour))"""
 
 
 def hourly(spark, d) -> DataFrame:
-    hours = events(spark, d).select("service_date", "hour").distinct().filter("hour % 3 <> 0")
-    return cube.hourly(fixes(spark, d).filter("hour % 3 <> 0"), passages(spark, d), hours)
+    hours = busy(spark, d)
+    return cube.hourly(fixes(spark, d).join(hours, ["service_date", "hour"], "left_semi"), passages(spark, d), hours)
 
 
 @query(HL + " SELECT service_date, hour, link_key, n, round(o_r, 4) AS o_r, round(o_s, 4) AS o_s, round(l_r, 4) AS l_r, round(l_s, 4) AS l_s, ok, spd_ok FROM h")
@@ -116,12 +123,12 @@ def hourly_links(spark, d):
     return rounded(hourly(spark, d))
 
 
-LK = ", lk AS (SELECT DISTINCT user_id AS link_key, (200 + user_id % 400)::DOUBLE AS len_m, (user_id % 3)::INT AS term, user_id % 7 = 0 AS reg, user_id % 11 = 0 AS reg_r FROM events WHERE user_id % 13 <> 0)"
+LK = ", lk AS (SELECT DISTINCT user_id AS link_key, (200 + user_id % 400)::DOUBLE AS len_m, (user_id % 3)::INT AS term, user_id % 7 = 0 AS reg, user_id % 11 = 0 AS reg_r FROM events)"
 
 
 def links(spark, d) -> DataFrame:
     u = F.col("user_id")
-    return events(spark, d).filter(u % 13 != 0).select(u.alias("link_key"), (200 + u % 400).cast("double").alias("len_m"), (u % 3).cast("int").alias("term"), (u % 7 == 0).alias("reg"), (u % 11 == 0).alias("reg_r")).distinct()
+    return events(spark, d).select(u.alias("link_key"), (200 + u % 400).cast("double").alias("len_m"), (u % 3).cast("int").alias("term"), (u % 7 == 0).alias("reg"), (u % 11 == 0).alias("reg_r")).distinct()
 
 
 @query(HL + LK + """, y AS (SELECT h.*, len_m, greatest(len_m - 75, 0) AS run, coalesce(spd_ok AND term <> 1, false) AND NOT coalesce(reg, false) AS whole, coalesce(spd_ok AND term <> 1, false) AND NOT coalesce(reg_r, false) AS inn FROM h LEFT JOIN lk USING (link_key))
@@ -224,16 +231,16 @@ def stop_zone(spark, d):
 
 
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) - 1 AS m FROM lineitem),
-x AS (SELECT l.*, o_orderpriority = '1-URGENT' AS main FROM l JOIN orders ON o_orderkey = l_orderkey),
-ends AS (SELECT DISTINCT l_partkey % 50 AS s FROM x WHERE i = 0 AND l_orderkey % 40 = 0)
-SELECT l_suppkey AS link_key, median(l_quantity) AS len_m, (CASE WHEN bool_or(main AND (i = 0 OR i = m)) THEN 1 WHEN bool_or(l_partkey % 50 IN (SELECT s FROM ends)) THEN 2 ELSE 0 END)::INT AS term FROM x GROUP BY ALL""")
+x AS (SELECT l.*, o_orderpriority = '1-URGENT' AS main, o_orderstatus = 'P' AS short FROM l JOIN orders ON o_orderkey = l_orderkey),
+ends AS (SELECT DISTINCT l_partkey AS s FROM x WHERE i = 0 AND short)
+SELECT l_suppkey AS link_key, median(l_quantity) AS len_m, (CASE WHEN bool_or(main AND (i = 0 OR i = m)) THEN 1 WHEN bool_or(l_partkey IN (SELECT s FROM ends)) THEN 2 ELSE 0 END)::INT AS term FROM x GROUP BY ALL""")
 def link_roles(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderpriority") == "1-URGENT").alias("is_main"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderpriority") == "1-URGENT").alias("is_main"), (F.col("o_orderstatus") == "P").alias("short"))
     x = table(spark, d, "lineitem").withColumn("link_idx", F.row_number().over(w) - 1).join(o, "l_orderkey")
-    stop = F.col("l_partkey") % 50
+    stop = F.col("l_partkey")
     ln = x.select(F.col("l_orderkey").alias("pattern_uid"), "link_idx", F.col("l_suppkey").alias("link_key"), stop.alias("from_stop"), stop.alias("to_stop"), F.lit("a").alias("from_name"), F.lit("b").alias("to_name"), F.col("l_quantity").alias("len_m"))
-    pats = x.filter("link_idx = 0 and l_orderkey % 40 = 0").select(F.array(stop, stop).alias("stop_ids"))
+    pats = x.filter("link_idx = 0 and short").select(F.array(stop, stop).alias("stop_ids"))
     return cube.link_roles(ln, pats, o.withColumnRenamed("l_orderkey", "pattern_uid")).select("link_key", "len_m", "term")
 
 
@@ -246,44 +253,24 @@ def partial_sources(spark, d):
     return ingest.partial_sources(days).fillna(-1, ["ref"])
 
 
-IV = "WITH iv AS (SELECT o_orderkey AS k, o_custkey % 50 AS g, epoch(o_orderdate)::BIGINT // 86400 AS start, epoch(o_orderdate)::BIGINT // 86400 + (o_custkey % 7) AS fin FROM orders WHERE o_orderkey % 20 = 0)"
-
-
-#: The same of every order.
-IV_ALL = IV.replace(" WHERE o_orderkey % 20 = 0", "")
+IV = "WITH iv AS (SELECT o_orderkey AS k, o_custkey % 50 AS g, epoch(o_orderdate)::BIGINT // 86400 AS start, epoch(o_orderdate)::BIGINT // 86400 + (o_custkey % 7) AS fin FROM orders)"
 
 
 def intervals(spark, d) -> DataFrame:
-    return every_interval(table(spark, d, "orders").filter("o_orderkey % 20 = 0"))
-
-
-def every_interval(orders: DataFrame) -> DataFrame:
+    """Every order as an interval of up to six days, of the group that its customer is in."""
     day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
-    return orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("g"), day.alias("start"), (day + F.col("o_custkey") % 7).alias("end"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("g"), day.alias("start"), (day + F.col("o_custkey") % 7).alias("end"))
 
 
-@query(IV + " SELECT g, start, fin AS \"end\" FROM iv a WHERE NOT EXISTS (SELECT 1 FROM iv b WHERE b.g = a.g AND b.k <> a.k AND b.start <= a.start AND b.fin >= a.fin AND (b.start < a.start OR b.fin > a.fin OR b.k < a.k))")
+@query(IV + ", r AS (SELECT *, max(fin) OVER (PARTITION BY g ORDER BY start, fin DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv) SELECT g, start, fin AS \"end\" FROM r WHERE reach IS NULL OR fin > reach")
 def chosen_parts(spark, d):
     return ingest.chosen_parts(intervals(spark, d), keys=["g"]).select("g", "start", "end")
 
 
-@query(IV + ", pt AS (SELECT l_orderkey AS k, l_suppkey % 50 AS g, epoch(l_shipdate)::BIGINT // 86400 AS day FROM lineitem WHERE l_orderkey % 10 = 0) SELECT g, day, count(*) AS n FROM pt WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.g = pt.g AND pt.day BETWEEN iv.start AND iv.fin) GROUP BY ALL")
+@query(IV + ", s AS (SELECT g, start AS day, 0 AS side, fin FROM iv UNION ALL SELECT l_suppkey % 50, epoch(l_shipdate)::BIGINT // 86400, 1, NULL FROM lineitem), r AS (SELECT *, max(fin) OVER (PARTITION BY g ORDER BY day, side ROWS UNBOUNDED PRECEDING) AS reach FROM s) SELECT g, day, count(*) AS n FROM r WHERE side = 1 AND (reach IS NULL OR day >= reach) GROUP BY ALL")
 def uncovered_polls(spark, d):
-    pt = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select((F.col("l_suppkey") % 50).alias("g"), F.floor(F.unix_timestamp("l_shipdate") / 86400).alias("day"))
-    return ingest.uncovered(pt, intervals(spark, d), ["g"], "day").groupBy("g", "day").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(IV_ALL + ", r AS (SELECT *, max(fin) OVER (PARTITION BY g ORDER BY start, fin DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv) SELECT g, start, fin AS \"end\" FROM r WHERE reach IS NULL OR fin > reach")
-def chosen_parts_all(spark, d):
-    """chosen_parts over every order."""
-    return ingest.chosen_parts(every_interval(table(spark, d, "orders")), keys=["g"]).select("g", "start", "end")
-
-
-@query(IV_ALL + ", s AS (SELECT g, start AS day, 0 AS side, fin FROM iv UNION ALL SELECT l_suppkey % 50, epoch(l_shipdate)::BIGINT // 86400, 1, NULL FROM lineitem), r AS (SELECT *, max(fin) OVER (PARTITION BY g ORDER BY day, side ROWS UNBOUNDED PRECEDING) AS reach FROM s) SELECT g, day, count(*) AS n FROM r WHERE side = 1 AND (reach IS NULL OR reach < day) GROUP BY ALL")
-def uncovered_polls_all(spark, d):
-    """uncovered_polls over every lineitem and order."""
     pt = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("g"), F.floor(F.unix_timestamp("l_shipdate") / 86400).alias("day"))
-    return ingest.uncovered(pt, every_interval(table(spark, d, "orders")), ["g"], "day").groupBy("g", "day").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.uncovered(pt, intervals(spark, d), ["g"], "day").groupBy("g", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH s AS (SELECT event_type AS k, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT k, n, row_number() OVER (ORDER BY k) AS r FROM s) SELECT k, n, pack FROM (WITH RECURSIVE w AS (SELECT k, n, r, 0 AS pack, n AS held FROM f WHERE r = 1 UNION ALL SELECT f.k, f.n, f.r, w.pack + (w.held > 0 AND w.held + f.n > (SELECT sum(n) FROM f) * 0.5)::INT, CASE WHEN w.held > 0 AND w.held + f.n > (SELECT sum(n) FROM f) * 0.5 THEN f.n ELSE w.held + f.n END FROM w JOIN f ON f.r = w.r + 1) SELECT k, n, pack::BIGINT AS pack FROM w)")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import BANDS
 from ..operators import analysis, pages, ranking, regularity, timetable
+from . import answers, build
 from .answers import DAYS, RK, RT, order_days, rank_links
 from .feed import H, HL, T, hourly, hw, times
 from .registry import E, events, query, rounded, table
+from .requests import RankQuery
 
 _SUMS = "sum(n)::BIGINT AS n, sum(m)::BIGINT AS m, sum(nc)::BIGINT AS nc, sum(bunch)::BIGINT AS bunch, sum(gap)::BIGINT AS gap, sum(r1) AS r1, sum(r2) AS r2, sum(s1) AS s1, sum(s2) AS s2"
 
@@ -141,3 +143,41 @@ def two_sided(spark, d):
 @query("SELECT line, row_number() OVER (ORDER BY length(line), line)::INT AS place FROM (SELECT DISTINCT (c_custkey % 130)::VARCHAR AS line FROM customer)")
 def line_order(spark, d):
     return pages.in_line_order(table(spark, d, "customer").select((F.col("c_custkey") % 130).cast("string").alias("line")).distinct())
+
+
+def request_tables(spark, d) -> dict[str, DataFrame]:
+    """Line items as the tables that a ranking reads: return flags are lines, suppliers links, ship dates days."""
+    cube = answers.rank_cube(spark, d)
+    roles = table(spark, d, "supplier").select(F.explode(F.array(*[F.lit(x) for x in "ANR"])).alias("line"), F.col("s_suppkey").alias("link_key"), (F.col("s_suppkey") % 3).cast("int").alias("term"), F.col("s_name").alias("from_name"), F.col("s_name").alias("to_name"), F.col("s_acctbal").alias("len_m"))
+    modes = spark.createDataFrame([("A", "tram"), ("N", "bus"), ("R", "tram")], "line string, mode string")
+    return {"cube": cube, "days": cube.select("line", "service_date").distinct(), "roles": roles, "modes": modes}
+
+
+def request() -> RankQuery:
+    return RankQuery(dt.date(1996, 3, 1), dt.date(1997, 2, 28), mode="tram", stops=True, exclude=((dt.date(1996, 6, 10), dt.date(1996, 6, 14)), (dt.date(1996, 6, 13), dt.date(1996, 6, 21))))
+
+
+_RQ = RK.replace("FROM lineitem WHERE isodow(l_shipdate) <= 5)", """FROM lineitem WHERE isodow(l_shipdate) <= 5 AND l_returnflag IN ('A', 'R') AND l_shipdate::DATE BETWEEN DATE '1996-03-01' AND DATE '1997-02-28' AND l_shipdate::DATE NOT BETWEEN DATE '1996-06-10' AND DATE '1996-06-21'
+AND l_shipdate::DATE NOT IN (DATE '1996-04-08', DATE '1996-05-01', DATE '1996-05-16', DATE '1996-05-27', DATE '1996-07-21', DATE '1996-08-15', DATE '1996-11-01', DATE '1996-11-11', DATE '1996-12-25', DATE '1997-01-01')), dn AS (SELECT line, count(DISTINCT sd::DATE)::DOUBLE AS D FROM c GROUP BY ALL)""").replace(" AS n_days, 100.0 AS D FROM c GROUP BY ALL", " AS n_days, any_value(D) AS D FROM c JOIN dn USING (line) GROUP BY line, link_key")
+
+
+@query(_RQ + """, l AS (SELECT CASE WHEN reason IS NULL THEN 'kept' ELSE 'flagged' END AS list, * FROM z WHERE reason IS NULL OR veh_s_day > 0),
+g AS (SELECT list, link_key, sum(veh_s_day) AS v, sum(veh_s_day_run) AS r, sum(passages_day) AS p, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons, string_agg(line || ':' || peak || ':' || n_days, ',' ORDER BY veh_s_day DESC, line) AS lines FROM l GROUP BY ALL HAVING sum(veh_s_day) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY v DESC, link_key) AS rank FROM g)
+SELECT list, rank, link_key, round(v / 3600, 4) AS veh_h_day, round(v / 3600 * 261, 4) AS veh_h_year, round(r / 3600, 4) AS veh_h_day_run, round(p, 4) AS passages_day, round(v / p, 4) AS s_per_passage, reasons, lines FROM k WHERE rank <= CASE list WHEN 'kept' THEN 50 ELSE 10 END""")
+def ranking_stretches(spark, d):
+    """A request for trams on working days of a year, without public holidays and two periods of its own."""
+    x = build.ranking_page(request_tables(spark, d), request())["stretches"]
+    entry = F.array_join(F.transform("lines", lambda e: F.concat_ws(":", e["line"], e["peak"], e["n_days"].cast("string"))), ",")
+    return rounded(x.select("list", "rank", "link_key", "veh_h_day", "veh_h_year", "veh_h_day_run", "passages_day", "s_per_passage", F.array_join("reasons", ",").alias("reasons"), entry.alias("lines")))
+
+
+@query(_RQ + " SELECT line, round(sum(veh_s_day) / 3600, 4) AS veh_h_day FROM z WHERE reason IS NULL AND veh_s_day > 0 GROUP BY ALL")
+def ranking_lines(spark, d):
+    return rounded(build.ranking_page(request_tables(spark, d), request())["lines"])
+
+
+@query(_RQ + """, a AS (SELECT reason IS NULL AS kept, link_key, sum(veh_s_day) AS v FROM z WHERE reason IS NULL OR veh_s_day > 0 GROUP BY ALL HAVING sum(veh_s_day) > 0)
+SELECT count(*) FILTER (WHERE kept) AS total_n, round(sum(v) FILTER (WHERE kept) / 3600, 4) AS total_veh_h_day, count(*) FILTER (WHERE NOT kept) AS excluded_n, round(sum(v) FILTER (WHERE NOT kept) / 3600, 4) AS excluded_veh_h_day, (SELECT count(DISTINCT line) FROM z) AS lines_used, 261 AS days_per_year FROM a""")
+def ranking_envelope(spark, d):
+    return rounded(build.ranking_page(request_tables(spark, d), request())["envelope"])

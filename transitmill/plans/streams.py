@@ -19,9 +19,9 @@ def stream(spark, d) -> DataFrame:
 
 
 def drained(spark, df: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    twins.drain(df, name, mode, f"{shared_folder(spark)}/{name}")
-    return spark.table(name)
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    twins.drain(df, path, mode)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query(E + " SELECT (ts - INTERVAL 4 HOUR)::DATE AS service_date, event_type, count(*) AS n FROM e GROUP BY ALL")
@@ -37,8 +37,8 @@ def stream_sessions(spark, d):
     return out.select("user_id", "n", (F.unix_timestamp("end") - 12 * 3600 - F.unix_timestamp("start")).alias("seconds"))
 
 
-@query(E + " SELECT user_id::VARCHAR AS feed, t AS ts, 1::BIGINT AS n_rows, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY t), false) AS frozen FROM e")
+@query(E + " SELECT user_id::VARCHAR AS feed, service_date AS day, t AS ts, 1::BIGINT AS n_rows, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id, service_date ORDER BY t), false) AS frozen FROM e")
 def stream_frozen_polls(spark, d):
     e = stream(spark, d)
-    polls = e.select(F.col("user_id").cast("string").alias("feed"), F.unix_timestamp("ts").alias("ts"), F.lit(1).cast("long").alias("n_rows"), F.col("event_type").alias("content"))
+    polls = e.select(F.col("user_id").cast("string").alias("feed"), F.to_date("ts").alias("day"), F.unix_timestamp("ts").alias("ts"), F.lit(1).cast("long").alias("n_rows"), F.col("event_type").alias("content"))
     return drained(spark, twins.frozen_polls(polls), "append")

@@ -28,6 +28,11 @@ def read_optional(spark: SparkSession, path: str, schema: str | StructType) -> D
         raise
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """By name; what a part lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -24,21 +24,21 @@ def inactive_sessions(events: DataFrame, ts: str, keys: list[str], gap: str, lat
     return s.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n")
 
 
-def frozen_polls(polls: DataFrame, feed: str = "feed") -> DataFrame:
-    """(feed, ts, n_rows, frozen) from polls (feed, ts, n_rows, content) as they come: a poll whose content is that of the one
-    before is frozen. The state is the last poll's content; polls of one trigger are taken in order of time."""
+def frozen_polls(polls: DataFrame, feed: str = "feed", day: str = "day") -> DataFrame:
+    """(feed, day, ts, n_rows, frozen) from polls (feed, day, ts, n_rows, content) as they come: a poll whose content is that of
+    the one before on the same day is frozen, as in the batch. The state is the last poll's day and content; polls of one
+    trigger are taken in order of time."""
 
     ship(polls.sparkSession)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        last = state.get[0] if state.exists else None
-        before = [last, *pdf["content"].tolist()[:-1]]
-        frozen = [b is not None and b == c for b, c in zip(before, pdf["content"], strict=True)]
-        state.update((pdf["content"].iloc[-1],))
-        yield pd.DataFrame({feed: key[0], "ts": pdf["ts"], "n_rows": pdf["n_rows"], "frozen": frozen})
+        now = list(zip(pdf[day].astype(str), pdf["content"], strict=True))
+        before = [tuple(state.get) if state.exists else None, *now[:-1]]
+        state.update(now[-1])
+        yield pd.DataFrame({feed: key[0], day: pdf[day], "ts": pdf["ts"], "n_rows": pdf["n_rows"], "frozen": [a == b for a, b in zip(before, now, strict=True)]})
 
-    return polls.groupBy(feed).applyInPandasWithState(run, f"{feed} string, ts bigint, n_rows bigint, frozen boolean", "content string", "append", GroupStateTimeout.NoTimeout)
+    return polls.groupBy(feed).applyInPandasWithState(run, f"{feed} string, {day} date, ts bigint, n_rows bigint, frozen boolean", "day string, content string", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_days(path: str, by: str = "service_date"):
@@ -51,7 +51,12 @@ def upsert_days(path: str, by: str = "service_date"):
     return write
 
 
-def drain(df: DataFrame, name: str, mode: str, folder: str) -> None:
-    """Runs a stream to the end of what is there, into a table in memory."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
+def drain(df: DataFrame, path: str, mode: str) -> None:
+    """Runs a stream to the end of what is there, into the files of a folder: each trigger's rows beside those before, or, in
+    mode complete, the whole result in place of the one before."""
+    to = df.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if mode == "complete":
+        to = to.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        to = to.outputMode(mode).format("parquet").option("path", path)
+    to.start().awaitTermination()
