@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BANDS
-from ..functions.exprs import chosen_day, tally, total
+from ..functions.exprs import chosen_day, in_band, tally, total
 from ..operators import coverage, cube, network, pages, ranking, regularity, timetable, zones
 from ..operators.windows import first_of
 from ..session import empty
-from .requests import Days, RankQuery
+from .requests import Days, NetQuery, RankQuery
 
 LINE, CELL, AT = ["line"], ["line", "service_date", "hour"], ["line", "service_date", "link_key"]
 
@@ -49,24 +49,71 @@ def regularity_tables(events: DataFrame) -> dict[str, DataFrame]:
     return {"headways": hw, "reglines": regularity.summed(hw, ["line", "service_date", "hour"]), "regstops": regularity.stop_offsets(regularity.offsets(seen))}
 
 
-def left_out(spark: SparkSession, q: Days, tables: dict[str, DataFrame]) -> DataFrame:
-    """(date, reason): the days that a request leaves out. First what it names (public holidays, the service classes of `daytrips`,
-    its own periods), then days without a feed and, with reduced days out, strikes, found in `linehours` and `plan`.
+def run_and_plan(tables: dict[str, DataFrame], q: Days) -> tuple[DataFrame, DataFrame]:
+    """`linehours` and `plan` in a request's dates, with their month; the plan of a line counts in months in which it has hours."""
+    inside = F.col("service_date").between(q.first, q.last)
+    run, plan = [tables[n].filter(inside).withColumn("month", F.date_format("service_date", "yyyy-MM")) for n in ("linehours", "plan")]
+    return run, plan.join(run.select("line", "month").distinct(), ["line", "month"], "left_semi")
 
-    Tables that aren't given leave nothing out. A day has one reason; there are no more rows than days asked for.
-    """
+
+def days_out(spark: SparkSession, q: Days, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """((date, reason) of the days that a request names, the network's anomalies): public holidays, service classes of `daytrips`
+    and its own periods; days without a feed and strikes, found in `linehours` and `plan`. Tables that aren't given find nothing."""
     span = spark.range(1).select(F.explode(F.sequence(F.lit(q.first), F.lit(q.last))).alias("date"))
     off = timetable.holidays(span.select(F.explode(F.array(F.year("date") - 1, F.year("date"), F.year("date") + 1)).alias("year")).distinct())
     classes = timetable.categories(tables["daytrips"], off, q.first, q.last) if "daytrips" in tables else empty(spark, "date date, service string")
     named = tuple(c for c, asked in (("school_holiday", q.school), ("reduced_service", q.reduced)) if asked == "exclude")
     mine = spark.createDataFrame([list(p) for p in q.exclude], "first date, last date")
-    out = timetable.exclusions(span, off, classes, mine, q.holidays == "exclude", named).withColumn("_p", F.lit(0))
-    if "linehours" in tables and "plan" in tables:
-        inside = F.col("service_date").between(q.first, q.last)
-        found = network.anomalies(tables["linehours"].filter(inside), tables["plan"].filter(inside), classes.filter("service = 'reduced_service'"))
-        found = found.filter(F.col("why").isin(["nofeed", "strike"] if q.reduced == "exclude" else ["nofeed"]))
-        out = out.unionByName(found.select(F.col("service_date").alias("date"), F.col("why").alias("reason"), F.lit(1).alias("_p")))
-    return first_of(out, ["date"], ["_p"]).drop("_p")
+    out = timetable.exclusions(span, off, classes, mine, q.holidays == "exclude", named)
+    if "linehours" not in tables or "plan" not in tables:
+        return out, None
+    return out, network.anomalies(*run_and_plan(tables, q), classes.filter("service = 'reduced_service'"))
+
+
+def unusual(found: DataFrame, q: Days) -> DataFrame:
+    """(date, reason) of the anomalies that a request leaves out: days without a feed, and strikes if reduced days are out."""
+    return found.filter(F.col("why").isin(["nofeed", "strike"] if q.reduced == "exclude" else ["nofeed"])).select(F.col("service_date").alias("date"), F.col("why").alias("reason"))
+
+
+def left_out(spark: SparkSession, q: Days, tables: dict[str, DataFrame]) -> DataFrame:
+    """(date, reason): the days that a request leaves out, one reason a day; there are no more rows than days asked for."""
+    out, found = days_out(spark, q, tables)
+    if found is None:
+        return out
+    return first_of(out.withColumn("_p", F.lit(0)).unionByName(unusual(found, q).withColumn("_p", F.lit(1))), ["date"], ["_p"]).drop("_p")
+
+
+def network_page(tables: dict[str, DataFrame], q: NetQuery) -> dict[str, DataFrame]:
+    """A request's network answer from the month tables `linehours`, `plan`, `modes` (line, mode) and, if given, `reglines`:
+
+    months: a row a month and group (all lines, each mode, and `sel`, the lines asked for): speeds, kilometres planned and run on
+    the chosen days and hours, the same of the whole month (*_all), and the sums of headways. total: the same of all months.
+    days: chosen and present days a month. left_out: the anomalies, and whether they are out.
+    """
+    q.check()
+    spark = tables["linehours"].sparkSession
+    run, plan = run_and_plan(tables, q)
+    named, found = days_out(spark, q, tables)
+    odd = unusual(found, q)
+    date = lambda df: F.broadcast(df.select(F.col("date").alias("service_date")).distinct())
+    whole = lambda df: df.join(date(odd), "service_date", "left_anti")
+    chosen = lambda df: whole(df).join(date(named), "service_date", "left_anti").filter(chosen_day("service_date", list(q.dow)))
+    hours = lambda df: chosen(df).filter(in_band("hour", q.hours))
+    keys = ["line", "month"]
+    every = network.line_month(whole(run), whole(plan), keys).select(*keys, *[F.col(c).alias(f"{c}_all") for c in ("real", "real_ok", "plan", "plan_ok")])
+    rows = every.join(network.line_month(hours(run), hours(plan), keys), keys, "left")
+    if "reglines" in tables:
+        reg = tables["reglines"].filter(F.col("service_date").between(q.first, q.last)).withColumn("month", F.date_format("service_date", "yyyy-MM"))
+        rows = rows.join(regularity.summed(hours(reg), keys), keys, "full")
+    rows = rows.fillna(0).join(F.broadcast(tables["modes"]), "line", "left")
+    sel = F.when(F.col("line").isin(list(q.lines)), F.lit("sel")) if q.lines else F.lit(None).cast("string")
+    rows = rows.withColumn("grp", F.explode(F.array_compact(F.array(F.lit("all"), F.col("mode"), sel))))
+    present = run.select("service_date", "month").union(plan.select("service_date", "month")).distinct()
+    days = whole(present).groupBy("month").agg(F.count(F.lit(1)).alias("days_all")).join(chosen(present).groupBy("month").agg(F.count(F.lit(1)).alias("days")), "month", "left").fillna(0, ["days"])
+    return {
+        "months": network.selected_values(rows, ["month", "grp"]), "total": network.selected_values(rows, ["grp"]), "days": days,
+        "left_out": found.join(odd.select(F.col("date").alias("service_date"), F.lit(True).alias("out")), "service_date", "left").fillna(False, ["out"]),
+    }
 
 
 def asked_lines(q: RankQuery, tables: dict[str, DataFrame]) -> Callable[[DataFrame], DataFrame]:

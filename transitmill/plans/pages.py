@@ -13,7 +13,7 @@ from . import answers, build
 from .answers import DAYS, RK, RT, order_days, rank_links
 from .feed import H, HL, T, hourly, hw, times
 from .registry import E, events, query, rounded, table
-from .requests import RankQuery
+from .requests import NetQuery, RankQuery
 
 _SUMS = "sum(n)::BIGINT AS n, sum(m)::BIGINT AS m, sum(nc)::BIGINT AS nc, sum(bunch)::BIGINT AS bunch, sum(gap)::BIGINT AS gap, sum(r1) AS r1, sum(r2) AS r2, sum(s1) AS s1, sum(s2) AS s2"
 
@@ -181,3 +181,50 @@ def ranking_lines(spark, d):
 SELECT count(*) FILTER (WHERE kept) AS total_n, round(sum(v) FILTER (WHERE kept) / 3600, 4) AS total_veh_h_day, count(*) FILTER (WHERE NOT kept) AS excluded_n, round(sum(v) FILTER (WHERE NOT kept) / 3600, 4) AS excluded_veh_h_day, (SELECT count(DISTINCT line) FROM z) AS lines_used, 261 AS days_per_year FROM a""")
 def ranking_envelope(spark, d):
     return rounded(build.ranking_page(request_tables(spark, d), request())["envelope"])
+
+
+def network_tables(spark, d) -> dict[str, DataFrame]:
+    """Orders as hours of lines, run and planned: market segments are lines, customers spread over the hours."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("line")), "o_custkey")
+    km, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    o = o.withColumns({"service_date": F.to_date("o_orderdate"), "hour": (F.col("o_custkey") % 24).cast("int")})
+    part = F.when(status == "F", 0.7).when(status == "O", 0.95).otherwise(0.8)
+    run = o.select("line", "service_date", "hour", (km * part).alias("km"), (status != "P").alias("feed_ok"), (km / 7).alias("d_s"), (km / 50).alias("t_s"), (km / 9).alias("d_r"), (km / 40).alias("t_r"))
+    plan = o.select("line", "service_date", "hour", km.alias("km"), ((status != "P") | (F.col("o_custkey") % 2 == 0)).alias("feed_ok"))
+    modes = spark.createDataFrame([("BUILDING", "metro"), ("AUTOMOBILE", "tram"), ("MACHINERY", "bus"), ("FURNITURE", "bus"), ("HOUSEHOLD", "bus")], "line string, mode string")
+    return {"linehours": run, "plan": plan, "modes": modes}
+
+
+def year_query() -> NetQuery:
+    return NetQuery(dt.date(1996, 1, 1), dt.date(1996, 12, 31), lines=("MACHINERY", "AUTOMOBILE"), exclude=((dt.date(1996, 2, 5), dt.date(1996, 2, 20)),))
+
+
+_NW = """WITH o AS (SELECT c_mktsegment AS line, o_orderdate::DATE AS dt, strftime(o_orderdate, '%Y-%m') AS month, (o_custkey % 24)::INT AS hour, o_totalprice AS k, o_orderstatus AS st, o_custkey AS cu FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'),
+b AS (SELECT line, dt, month, hour, k * CASE st WHEN 'F' THEN 0.7 WHEN 'O' THEN 0.95 ELSE 0.8 END AS r, st <> 'P' AS rok, k AS p, st <> 'P' OR cu % 2 = 0 AS pok, CASE line WHEN 'BUILDING' THEN 'metro' WHEN 'AUTOMOBILE' THEN 'tram' ELSE 'bus' END AS mode FROM o),
+dy AS (SELECT dt, sum(p) AS p, coalesce(sum(p) FILTER (WHERE pok), 0) AS q, coalesce(sum(r) FILTER (WHERE rok), 0) AS r FROM b GROUP BY ALL),
+an AS (SELECT dt, CASE WHEN q < 0.5 * p THEN 'nofeed' WHEN r < 0.75 * q THEN 'strike' END AS why, CASE WHEN q < 0.5 * p THEN -1 ELSE round(100 * r / q) END::INT AS pct FROM dy WHERE q < 0.5 * p OR r < 0.75 * q),
+w AS (SELECT b.*, isodow(dt) <= 5 AND dt NOT BETWEEN DATE '1996-02-05' AND DATE '1996-02-20' AND dt NOT IN (DATE '1996-01-01', DATE '1996-04-08', DATE '1996-05-01', DATE '1996-05-16', DATE '1996-05-27', DATE '1996-07-21', DATE '1996-08-15', DATE '1996-11-01', DATE '1996-11-11', DATE '1996-12-25') AS day FROM b ANTI JOIN an USING (dt)),
+c AS (SELECT *, day AND hour >= 6 AND hour < 21 AS sel, mode <> 'metro' AS quick FROM w), g AS (SELECT *, unnest(['all', mode] || CASE WHEN line IN ('MACHINERY', 'AUTOMOBILE') THEN ['sel'] ELSE [] END) AS grp FROM c)"""
+_NWV = """CASE WHEN sum(p) FILTER (WHERE sel AND quick) > 0 THEN round(sum(p / 7) FILTER (WHERE sel AND quick) / sum(p / 50) FILTER (WHERE sel AND quick) * 3.6, 2) END AS v, CASE WHEN sum(p) FILTER (WHERE sel AND quick) > 0 THEN round(sum(p / 9) FILTER (WHERE sel AND quick) / sum(p / 40) FILTER (WHERE sel AND quick) * 3.6, 2) END AS vr,
+round(coalesce(sum(p) FILTER (WHERE sel), 0), 4) AS plan, round(coalesce(sum(r) FILTER (WHERE sel), 0), 4) AS real, CASE WHEN sum(p) FILTER (WHERE sel AND pok) > 0 THEN round(100 * coalesce(sum(r) FILTER (WHERE sel AND rok), 0) / sum(p) FILTER (WHERE sel AND pok), 1) END AS pct,
+round(sum(p), 4) AS plan_all, round(sum(r), 4) AS real_all, CASE WHEN sum(p) FILTER (WHERE pok) > 0 THEN round(100 * coalesce(sum(r) FILTER (WHERE rok), 0) / sum(p) FILTER (WHERE pok), 1) END AS pct_all, count(DISTINCT line) AS n_lines FROM g"""
+
+
+@query(_NW + " SELECT month, grp, " + _NWV + " GROUP BY month, grp")
+def network_months(spark, d):
+    return rounded(build.network_page(network_tables(spark, d), year_query())["months"])
+
+
+@query(_NW + " SELECT grp, " + _NWV + " GROUP BY grp")
+def network_total(spark, d):
+    return rounded(build.network_page(network_tables(spark, d), year_query())["total"])
+
+
+@query(_NW + " SELECT month, count(DISTINCT dt) AS days_all, count(DISTINCT dt) FILTER (WHERE day) AS days FROM w GROUP BY ALL")
+def network_days(spark, d):
+    return build.network_page(network_tables(spark, d), year_query())["days"]
+
+
+@query(_NW + " SELECT dt AS service_date, why, pct, true AS out FROM an")
+def network_left_out(spark, d):
+    return build.network_page(network_tables(spark, d), year_query())["left_out"].fillna(-1, ["pct"])
