@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, small_batches
+from .common import FEW_ROWS, cut, hot_join, small_batches
 
 RADIUS, WIDTH = 2, 3
 #: Fingerprints that a tree is fitted on, about; those that a shard should hold; and the deepest tree that routes rows to tasks.
@@ -201,18 +201,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: every node hands its larger neighbours to the least node around it, then the smaller ones, until
     the links are stars, which takes a logarithmic number of rounds. Both steps keep what is connected connected; each round's
-    links are checkpointed, and the neighbours of a node that has very many are joined with it by a broadcast.
+    links are checkpointed, and the neighbours of a node that has very many are joined with it by a broadcast. FEW_ROWS links
+    or fewer are one partition, so that the rounds need no shuffle.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     if not now.take(1):
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     last, total = None, now.count()
     while True:
-        both = now.union(now.select(F.col("v"), F.col("u")))
+        now = now.coalesce(1) if total <= FEW_ROWS else now
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
         large = hot_join(both.filter("v > u"), least, "u", "_n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-        small = hot_join(large, least2, "u", "_n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least2.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        small = hot_join(large, least2, "u", "_n", total).select(F.col("u").alias("_o"), F.col("v").alias("u"), F.col("m").alias("v"))
+        # the links of a node's neighbours, and its own, once a node
+        small = small.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("_o").alias("u"), F.col("v")))).alias("e")).select("e.*").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         now = cut(small)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if state == last:
