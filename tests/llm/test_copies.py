@@ -102,3 +102,27 @@ def test_shared_tokens_keep_all_that_two_sets_share(spark):
     for bits in (15, 20):
         got = Counter(map(tuple, copies.shared_tokens(distinct, bits).collect()))
         assert got == Counter((t, i, n) for i, n, held in rows for t in held if count[t] > 1)
+
+
+def test_links_that_no_hub_has(spark):
+    """A large bucket of unlike texts in which a few pairs, far from the hub, are near each other, and all are found."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(4))
+    passage = [word() for _ in range(150)]
+    rows = [(i, " ".join(passage + [word() for _ in range(70)])) for i in range(300)]
+    for i in range(0, 300, 30):
+        rows.append((1000 + i, rows[i][1] + " " + word()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert 0.4 < jaccard(rows[0][1], rows[1][1]) < 0.8
+    for small in (copies.SMALL, 1):
+        assert sorted(r.doc_id for r in copies.one_of_each(docs, small=small).collect()) == list(range(300))
+
+
+def test_shareable_counts_what_no_other_set_has(spark):
+    rng = random.Random(3)
+    held = {i: rng.sample(range(120), rng.randint(0, 30)) for i in range(12)}
+    sets = spark.createDataFrame([*held.items()], "set_key bigint, held array<bigint>")
+    keys = spark.createDataFrame([(i,) for i in range(10)], "set_key bigint")
+    count = Counter(x for i in range(10) for x in held[i])
+    want = {i: n for i in range(10) if (n := sum(count[x] == 1 for x in held[i]))}
+    assert {r.set_key: r.u for r in copies.shareable(sets, keys).collect()} == want

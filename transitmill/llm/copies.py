@@ -17,8 +17,9 @@ from .simhash import components, kept_rows
 WIDTH, SIMILARITY = 5, 80
 #: Bands, and least hashes in each: two sets of similarity s share none with a chance of (1 - s^ROWS)^BANDS, 1.4e-7 at 0.8.
 BANDS, ROWS = 30, 4
-#: Sets in a bucket up to which all its pairs are compared at once, and pivots that the rest of a larger one is first compared with.
-SMALL, PIVOTS = 24, 8
+#: Sets in a bucket up to which all its pairs are compared at once; pivots that the rest of a larger one is first compared with,
+#: and how many times as many each next round takes.
+SMALL, PIVOTS, MORE = 24, 8, 8
 #: log2 of the bits of the bitmap that keeps out bands which only one set has: 8 MB, whatever the size of the data.
 SLOT_BITS = 26
 #: Up to so many candidates their ids are broadcast, so that only their texts are moved.
@@ -127,6 +128,12 @@ class Verifier:
         return cut(held.select("a", "b"))
 
 
+def shareable(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(set_key, u): how many of a set's shingles no other set of `keys` (set_key) has, for those that have such ones."""
+    own = sets.join(keys, "set_key", "left_semi").select("set_key", F.explode("held").alias("s"))
+    return own.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("set_key").alias("set_key")).filter("k = 1").groupBy("set_key").agg(F.count(F.lit(1)).alias("u"))
+
+
 def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int, small: int = SMALL) -> DataFrame:
     """(a, b): links between the set keys of `distinct` that connect the same ones as all pairs of the similarity do.
 
@@ -134,13 +141,14 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
     In each bucket all sets are first compared with the one that shares most bands with others, such as the text that many
     copies were made of: a large group of near copies becomes one component by that. Pairs that this left in different
     components are compared too: all of a small bucket at once, those of a large one with more and more pivots, chosen by a
-    hash and twice as many each round, until the bucket is one component, every set was a pivot, or a round (the second at the
-    earliest) finds no link in any large bucket. Comparing very many unlike sets of one bucket pair by pair would grow with
-    its square; what that last rule can miss is a link between two sets of a large bucket neither of which is near any pivot.
+    hash, until the bucket is one component or every set was a pivot. So no pair of a bucket is left out, but for those that
+    a bound rules out: of a set of n shingles, c of which another set still in question has, nothing shares more than c. Two
+    sets have the similarity s only if min(c1, c2) * (1 + s) >= s * (n1 + n2), and one set has a partner only if c >= s * n.
+    In a large group whose texts were each edited by themselves the bound leaves few pairs.
     """
     tokens = cut(shared_tokens(distinct))
     shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").withColumn("size", F.col("_k")))
-    total = shared.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("t"), F.coalesce(F.max("_k"), F.lit(0)).alias("m")).first()
+    total = shared.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("t")).first()
     members = cut(hot_join(tokens, shared, "token", "_k", total["t"]))
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * similarity)
     degree = members.groupBy("set_key").agg(F.sum("size").alias("d"))
@@ -149,28 +157,36 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
     tried = cut(star.select(F.col("p.set_key").alias("a"), F.col("set_key").alias("b")).union(simhash_pairs(distinct)).distinct())
     keys = members.select("set_key").union(tried.select("a")).union(tried.select("b")).distinct()
     verified = Verifier(docs, distinct, keys, id_col, text_col, width, similarity)
+
+    def mixed(held: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one component, with the number of them."""
+        more = cut(held.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_k")).filter("_lo < _hi").select("token", "_k", F.col("_k").alias("size")))
+        return cut(hot_join(held.drop("size"), more, "token", "_k", total["t"]))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+
+    def rooted(held: DataFrame) -> DataFrame:
+        return held.join(components(found), F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node")
+
     found, pivots = verified(tried), PIVOTS
-    while True:
-        held = members.join(components(found), F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node")
-        if pivots > PIVOTS:
-            held = held.filter(F.col("size") > small)
-        held = cut(held)
-        mixed = cut(held.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_k")).filter("_lo < _hi").select("token", "_k"))
-        if not mixed.take(1):
-            return found
-        live = cut(hot_join(held, mixed, "token", "_k", total["t"]))
+    live = mixed(rooted(members))
+    alone = shareable(verified.sets, live.select("set_key").distinct())
+    live = mixed(live.join(alone, "set_key", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u").filter(F.col("c") * 100 >= F.col("n") * similarity))
+    while live.take(1):
         few = F.col("size") <= small
         chance = F.pmod(F.xxhash64("set_key", F.lit(pivots)), F.lit(1 << 20)) * F.col("size") < pivots * (1 << 20)
-        salt = F.pmod(F.xxhash64("set_key"), F.lit(16))
-        y = live.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "size", salt.alias("salt"))
-        x = live.filter(few | chance).select(F.col("token").alias("token_"), F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt_"))
-        met = x.join(y, (F.col("token_") == F.col("token")) & (F.col("salt_") == F.col("salt")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb")) & ((F.col("a") < F.col("b")) | (F.col("size") > small)))
-        pairs = cut(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        new = verified(pairs)
-        found, tried = found.union(new), tried.union(pairs)
-        if total["m"] <= max(small, pivots) or (pivots > PIVOTS and not new.take(1)):
-            return found
-        pivots *= 2
+        ways = F.when(few, 1).otherwise(16)
+        salt = F.pmod(F.xxhash64("set_key"), ways)
+        y = live.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), "size", salt.alias("salt"))
+        x = live.filter(few | chance).select(F.col("token").alias("token_"), F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt_"))
+        can = F.least("ca", "cb") * (100 + similarity) >= (F.col("na") + F.col("nb")) * similarity
+        met = x.join(y, (F.col("token_") == F.col("token")) & (F.col("salt_") == F.col("salt")) & (F.col("ra") != F.col("rb")) & can & ((F.col("a") < F.col("b")) | (F.col("size") > small)))
+        pairs = cut(ordered(met).dropDuplicates(["lo", "hi"]).join(ordered(tried), ["lo", "hi"], "left_anti").select("a", "b"))
+        found, tried = found.union(verified(pairs)), tried.union(pairs)
+        live = mixed(rooted(live.drop("root").filter(F.col("size") > max(small, pivots))))
+        pivots *= MORE
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, small: int = SMALL) -> DataFrame:
