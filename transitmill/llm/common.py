@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ship
-from ..sources.shared import shared_folder
+from ..sources.shared import delete, shared_folder
 
 #: White space of the contracts, `[\\x20\\x09-\\x0D]`, as it stands in a pattern and as plain characters.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -28,7 +30,32 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint in the shared folder."""
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    made = out._jdf.logicalPlan().rdd().getCheckpointFile()
+    _checkpoints.extend([made.get()] if made.isDefined() else [])
+    return out
+
+
+#: Folders of the checkpoints that cut() made.
+_checkpoints: list[str] = []
+
+
+def checkpoints_made() -> int:
+    return len(_checkpoints)
+
+
+def drop_checkpoints(spark: SparkSession, since: int, until: int) -> None:
+    """Deletes the checkpoints made between two calls of checkpoints_made(). No frame made from them may be read again."""
+    for path in _checkpoints[since:until]:
+        delete(spark, path)
+    del _checkpoints[since:until]
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to: it acts when the driver collects garbage,
+    which a driver that does little else may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:

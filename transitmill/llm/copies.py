@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, hot_join, small_batches
+from .common import checkpoints_made, cut, drop_checkpoints, free_shuffles, hot_join, small_batches
 from .simhash import components, kept_rows
 
 #: Words of a shingle, and the similarity from which texts are near copies, in hundredths.
@@ -171,6 +171,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
 
     found, pivots = verified(tried), PIVOTS
     live = mixed(rooted(members))
+    free_shuffles(docs.sparkSession)
     alone = shareable(verified.sets, live.select("set_key").distinct())
     live = mixed(live.join(alone, "set_key", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u").filter(F.col("c") * 100 >= F.col("n") * similarity))
     while live.take(1):
@@ -186,6 +187,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
         found, tried = found.union(verified(pairs)), tried.union(pairs)
         live = mixed(rooted(live.drop("root").filter(F.col("size") > max(small, pivots))))
         pivots *= MORE
+        free_shuffles(docs.sparkSession)
     return found
 
 
@@ -197,9 +199,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1.4e-7, less above it. Shingles and sets are told apart by 64-bit hashes. Rows that agree in id and text count as one.
     Null ids come first. All columns pass through. A very long text counts whole, and an empty table gives no rows.
     """
+    spark, since = docs.sparkSession, checkpoints_made()
     sets = shingle_sets(docs, id_col, text_col, width)
     distinct = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("held").alias("held"), F.min(F.struct("_id", "_key")).alias("least")))
     roots = components(links(docs, distinct, id_col, text_col, width, similarity, small))
     held = distinct.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left")
-    stay = held.groupBy(F.coalesce("root", "set_key").alias("root")).agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key"))
+    until = checkpoints_made()
+    stay = cut(held.groupBy(F.coalesce("root", "set_key").alias("root")).agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key")))
+    drop_checkpoints(spark, since, until)
+    free_shuffles(spark)
     return kept_rows(docs, stay, id_col, text_col)
