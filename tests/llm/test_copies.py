@@ -126,3 +126,13 @@ def test_shareable_counts_what_no_other_set_has(spark):
     count = Counter(x for i in range(10) for x in held[i])
     want = {i: n for i in range(10) if (n := sum(count[x] == 1 for x in held[i]))}
     assert {r.set_key: r.u for r in copies.shareable(sets, keys).collect()} == want
+
+
+def test_the_stage_leaves_only_the_checkpoints_that_its_result_reads(spark):
+    from transitmill.llm import common
+
+    docs = spark.createDataFrame([(i, f"a few words of text number {i // 2} and no more") for i in range(40)], "doc_id bigint, text string")
+    since = common.checkpoints_made()
+    out = copies.one_of_each(docs)
+    assert 1 <= common.checkpoints_made() - since <= 4
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2)) == sorted(r.doc_id for r in out.collect())
