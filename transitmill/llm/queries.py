@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, langid, lines, mixing, rules, secrets, shards, simhash, toxicity
+from . import bottomk, bpe, bytebpe, langid, lines, mixing, rules, secrets, shards, simhash, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -73,8 +74,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_bottomk, op4_shards, op5_mixing, op6_toxicity, op7_rules, op8_simhash, op9_line_spread, op10_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_bottomk, op4_shards, op5_mixing, op6_toxicity, op7_rules, op8_simhash, op9_line_spread, op10_bpe, op13_byte_bpe)}
 
 
 _BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
