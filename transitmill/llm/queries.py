@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, bytebpe, langid, lines, mixing, rules, secrets, shards, simhash, toxicity
+from . import bottomk, bpe, bytebpe, langid, lines, mixing, resample, rules, secrets, shards, simhash, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,7 +86,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_bottomk, op4_shards, op5_mixing, op6_toxicity, op7_rules, op8_simhash, op9_line_spread, op10_bpe, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_secrets, op3_bottomk, op4_shards, op5_mixing, op6_toxicity, op7_rules, op8_simhash, op9_line_spread, op10_bpe, op12_resample, op13_byte_bpe)}
 
 
 _BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
