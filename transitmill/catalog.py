@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import answers, feed, pages, streams
+from .plans import answers, feed, pages, placing, streams
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["answers", "feed", "pages", "streams", "oracle_sql", "queries"]
+__all__ = ["answers", "feed", "pages", "placing", "streams", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
