@@ -24,12 +24,12 @@ def learned_rows(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2
 
 
-def thinned(ids: DataFrame, per_label: int) -> DataFrame:
+def thinned(ids: DataFrame, per_label: int, count: Column | None = None) -> DataFrame:
     """(_id, _label): of a label with more than four times per_label rows, the part of them with the least hashes, about four
     times per_label. So the rows that are ranked in one task stay as few however many tasks read the table. One row a label is
-    collected.
+    collected. `count` says what counts in place of rows, such as ids.
     """
-    size = {r["_label"]: r["n"] for r in ids.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = {r["_label"]: r["n"] for r in ids.groupBy("_label").agg((F.count(F.lit(1)) if count is None else count).alias("n")).collect()}
     share = F.lit(1.0)
     for label, n in sorted(size.items()):
         if n > 4 * per_label:
@@ -38,7 +38,7 @@ def thinned(ids: DataFrame, per_label: int) -> DataFrame:
 
 
 def letters(text: str) -> str:
-    """The text in lower case, with everything between letters as one space."""
+    """The text in lower case, with everything between letters, and signs that stand for numbers, as one space."""
     return _OTHER.sub(" ", text.lower()).strip()
 
 
@@ -52,15 +52,18 @@ class Model:
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_language: int = 400, chars_per_doc: int = 1000, dictionary_bytes: int = 110_000, min_margin: float = 0.004) -> Model:
-    """A dictionary for each label, from a bounded sample: docs_per_language documents in the order of a hash of the id, and
-    from each the middle chars_per_doc letters of text. The sample is chosen over ids and labels alone; only its texts are read.
+    """A dictionary for each label, from a bounded sample: docs_per_language ids in the order of their hash, and from each the middle
+    chars_per_doc letters of its text, of the least text if an id has several. The sample is chosen over ids and labels
+    alone; only its texts are read, and one piece of an id and a label reaches the driver.
     """
-    ranked = thinned(rows.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")), docs_per_language)
+    own = rows.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    ranked = thinned(own, docs_per_language, F.approx_count_distinct("_id")).distinct()
     first = Window.partitionBy("_label").orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 11), "_id")
     chosen = ranked.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= docs_per_language).select("_id").distinct()
     ids = [r[0] for r in chosen.collect()]
     piece = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor(F.length(text_col) / 2).cast("int") - chars_per_doc), F.lit(2 * chars_per_doc))
-    texts = rows.filter(F.col(id_col).isin(ids) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("_label"), piece.alias("_text"), F.col(id_col).alias("_id")).collect()
+    few = rows.filter(F.col(id_col).isin(ids) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    texts = few.groupBy(F.col(label_col).alias("_label"), F.col(id_col).alias("_id")).agg(F.min(piece).alias("_text")).collect()
     parts: dict[str, list[str]] = {}
     for r in sorted(texts, key=lambda r: (r["_label"], r["_id"], r["_text"])):
         if own := letters(r["_text"])[:chars_per_doc]:
@@ -90,7 +93,7 @@ def identify(text: str | None, model: Model) -> tuple[str, float, bool]:
     Each WINDOW of the whole text is compressed by itself, and a language's sizes are summed, so the margin doesn't depend on length.
     """
     own = letters(text or "")
-    if not own or not model.dictionaries:
+    if not model.dictionaries or not any(map(str.isalpha, own)):
         return UNKNOWN, 0.0, True
     raw = [own[i : i + WINDOW].encode() for i in range(0, len(own), WINDOW)]
     sizes = sorted((sum(len(c.compress(x)) for x in raw), label) for label, c in _compressors(model))
