@@ -7,9 +7,10 @@ import math
 import random
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -237,8 +238,15 @@ def scan(model: Model, text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): a tagged span that overlaps a base one isn't added."""
     own = text or ""
     base = base_spans(own)
-    more = [s for s in crf_spans(model, own) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
-    return base, ordered(base + more)
+    begins = sorted(base)
+    ends = list(accumulate((b[1] for b in begins), max))
+
+    def free(s: Span) -> bool:
+        """No base span that begins before its end reaches beyond its begin."""
+        k = bisect_left(begins, (s[1],))
+        return not k or ends[k - 1] <= s[0]
+
+    return base, ordered(base + [s for s in crf_spans(model, own) if free(s)])
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
