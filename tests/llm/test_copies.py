@@ -128,11 +128,47 @@ def test_shareable_counts_what_no_other_set_has(spark):
     assert {r.set_key: r.u for r in copies.shareable(sets, keys).collect()} == want
 
 
+def folders(spark):
+    import os
+
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return {x for x in os.listdir(top) if x.startswith("rdd-")}
+
+
 def test_the_stage_leaves_only_the_checkpoints_that_its_result_reads(spark):
     from transitmill.llm import common
 
     docs = spark.createDataFrame([(i, f"a few words of text number {i // 2} and no more") for i in range(40)], "doc_id bigint, text string")
-    since = common.checkpoints_made()
+    common.cut(docs.limit(1))
+    before = folders(spark)
     out = copies.one_of_each(docs)
-    assert 1 <= common.checkpoints_made() - since <= 4
+    assert 1 <= len(folders(spark) - before) <= 4 and before <= folders(spark)
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2)) == sorted(r.doc_id for r in out.collect())
+
+
+def test_calls_at_once_keep_each_others_checkpoints(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from transitmill.llm import common
+
+    docs = spark.createDataFrame([(i, f"a few words of text number {i // 2} and no more") for i in range(40)], "doc_id bigint, text string")
+    with ThreadPoolExecutor(3) as pool:
+        runs = [pool.submit(lambda: sorted(r.doc_id for r in copies.one_of_each(docs).collect())) for _ in range(2)]
+        cuts = [common.cut(docs.filter(f"doc_id % 7 = {k}")) for k in range(7)]
+        assert [r.result() for r in runs] == [list(range(0, 40, 2))] * 2
+    assert sum(c.count() for c in cuts) == 40
+
+
+def test_a_set_that_many_are_compared_with_is_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from transitmill.llm import common
+
+    pairs = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("a"), F.col("id").alias("b"))
+    small = spark.createDataFrame([(k, [k, k]) for k in [-1, *range(45)]], "a bigint, held array<bigint>")
+    weights = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    out = common.salted_join(pairs, small, weights, "a", 30_000)
+    assert sorted(map(tuple, out.select("a", "b").collect())) == sorted(map(tuple, pairs.filter("a < 45").collect()))
+    assert out.filter("held[0] <> a").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "held" not in "".join(x for x in plan.split("\n") if "broadcast" in x)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,24 +34,31 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
-    made = out._jdf.logicalPlan().rdd().getCheckpointFile()
-    _checkpoints.extend([made.get()] if made.isDefined() else [])
+    made, own = out._jdf.logicalPlan().rdd().getCheckpointFile(), _made.get()
+    if own is not None and made.isDefined():
+        own.append(made.get())
     return out
 
 
-#: Folders of the checkpoints that cut() made.
-_checkpoints: list[str] = []
+#: Folders of the checkpoints of the call that is under way in this thread, if it wants to know them.
+_made: ContextVar[list[str] | None] = ContextVar("checkpoints", default=None)
 
 
-def checkpoints_made() -> int:
-    return len(_checkpoints)
+@contextmanager
+def checkpoints_of_call() -> Iterator[list[str]]:
+    """The folders of the checkpoints that cut() makes in this block, and in this thread, as they are made."""
+    own: list[str] = []
+    before = _made.set(own)
+    try:
+        yield own
+    finally:
+        _made.reset(before)
 
 
-def drop_checkpoints(spark: SparkSession, since: int, until: int) -> None:
-    """Deletes the checkpoints made between two calls of checkpoints_made(). No frame made from them may be read again."""
-    for path in _checkpoints[since:until]:
+def drop_checkpoints(spark: SparkSession, made: list[str]) -> None:
+    """Deletes checkpoints. No frame made from them may be read again."""
+    for path in made:
         delete(spark, path)
-    del _checkpoints[since:until]
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -93,6 +103,19 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int
     return big.join(few, key).unionByName(rest)
 
 
+def salted_join(big: DataFrame, small: DataFrame, weights: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """big joined with small by key, where rows of small may be large: nothing of small is broadcast.
+
+    weights (key, _n) has the number of big's rows that bear a key, of `total` in all. The rows of a key that holds over 1/share
+    of all are dealt by a hash over as many parts as it holds such shares, and small's row of that key goes to each of them:
+    fewer than 2 * share rows more than small has.
+    """
+    ways = weights.select(key, "_n", F.greatest(F.lit(1), F.ceil(F.col("_n") * share / max(total, 1))).cast("int").alias("_ways"))
+    dealt = hot_join(big, ways, key, "_n", total, share).withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.col("_ways")).cast("int")).drop("_ways")
+    each = small.join(ways.drop("_n"), key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))).drop("_ways")
+    return dealt.join(each, [key, "_salt"]).drop("_salt")
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of other characters than SPACE; empty for null or blank texts."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpoints_made, cut, drop_checkpoints, free_shuffles, hot_join, small_batches
+from .common import checkpoints_of_call, cut, drop_checkpoints, free_shuffles, hot_join, salted_join, small_batches
 from .simhash import components, kept_rows
 
 #: Words of a shingle, and the similarity from which texts are near copies, in hundredths.
@@ -119,12 +119,12 @@ class Verifier:
         self.sets, self.similarity = cut(shingle_sets(chosen, id_col, text_col, width, whole=True).select("set_key", "held")), similarity
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        # a set that very many others are compared with is broadcast
         count = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
-        x, y = self.sets.select(F.col("set_key").alias("a"), F.col("held").alias("sa")).join(count, "a"), self.sets.select(F.col("set_key").alias("b"), F.col("held").alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
         total = count.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        held = hot_join(pairs.join(y, "b"), x, "a", "_n", total).filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * self.similarity)
+        x, y = (self.sets.select(F.col("set_key").alias(k), F.col("held").alias(f"s{k}")) for k in "ab")
+        common = F.size(F.array_intersect("sa", "sb"))
+        # sets are long: one that very many others are compared with is dealt out, and the pairs move without sets first
+        held = salted_join(pairs.select("a", "b"), x, count, "a", total).join(y, "b").filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * self.similarity)
         return cut(held.select("a", "b"))
 
 
@@ -199,13 +199,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1.4e-7, less above it. Shingles and sets are told apart by 64-bit hashes. Rows that agree in id and text count as one.
     Null ids come first. All columns pass through. A very long text counts whole, and an empty table gives no rows.
     """
-    spark, since = docs.sparkSession, checkpoints_made()
-    sets = shingle_sets(docs, id_col, text_col, width)
-    distinct = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("held").alias("held"), F.min(F.struct("_id", "_key")).alias("least")))
-    roots = components(links(docs, distinct, id_col, text_col, width, similarity, small))
-    held = distinct.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left")
-    until = checkpoints_made()
-    stay = cut(held.groupBy(F.coalesce("root", "set_key").alias("root")).agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key")))
-    drop_checkpoints(spark, since, until)
-    free_shuffles(spark)
-    return kept_rows(docs, stay, id_col, text_col)
+    spark = docs.sparkSession
+    with checkpoints_of_call() as made:
+        sets = shingle_sets(docs, id_col, text_col, width)
+        distinct = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("held").alias("held"), F.min(F.struct("_id", "_key")).alias("least")))
+        roots = components(links(docs, distinct, id_col, text_col, width, similarity, small))
+        held = distinct.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left")
+        done = list(made)
+        stay = cut(held.groupBy(F.coalesce("root", "set_key").alias("root")).agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key")))
+        drop_checkpoints(spark, done)
+        free_shuffles(spark)
+        return kept_rows(docs, stay, id_col, text_col)
