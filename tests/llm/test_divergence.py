@@ -52,6 +52,7 @@ def answers(frame):
 @pytest.mark.parametrize(("min_docs", "top", "full"), [(30, 50, 150_000), (2, 3, 7), (1, 1000, 1)])
 def test_equals_plain_counts(spark, monkeypatch, min_docs, top, full):
     monkeypatch.setattr(divergence, "FULL", full)
+    monkeypatch.setattr(divergence, "PORTION", full * 20)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, lang, s, "a", "b", "c", "d") for i, (t, lang, s) in enumerate(rows)], SCHEMA).repartition(6)
     assert answers(divergence.divergence(docs, min_docs=min_docs, top=top)) == plain(rows, min_docs, top)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from .common import shuffle_parts, small_batches
 #: Documents of a language that a kept term is in, at least; what is added to every count; the unit of a share; ranks of terms.
 MIN_DOCS, PRIOR, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Terms that a trie holds before its leaves are handed on.
-FULL = 150_000
+FULL = 300_000
+#: Characters of texts that are counted at once; a longer text is counted by itself.
+PORTION = 1 << 24
 #: Cells of a matrix of terms and sources that is computed at once.
 CELLS = 1 << 20
 #: Bytes of a text that are split into terms at a time.
@@ -55,7 +58,7 @@ class RadixTrie:
                 node.below[term[at]] = node = Node(term[at:], None, None)
                 break
             label = child.label
-            if term.startswith(label, at):
+            if len(label) == 1 or term.startswith(label, at):
                 node, at = child, at + len(label)
                 continue
             k = 1
@@ -106,7 +109,7 @@ _LEAF = "lang int, term string, docs bigint, sources array<int>, counts array<bi
 
 
 def _leaves(lang: int, leaves: Iterator[tuple[bytes, dict[int, int]]], size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Leaves as rows of _LEAF, a batch for each `size` of them."""
+    """Leaves as rows of _LEAF, a batch for each `size` of them. Their counters of documents are taken out."""
     terms: list[bytes] = []
     docs: list[int] = []
     ends, sources, counts = [0], [], []  # type: tuple[list[int], list[int], list[int]]
@@ -117,11 +120,9 @@ def _leaves(lang: int, leaves: Iterator[tuple[bytes, dict[int, int]]], size: int
 
     for term, held in leaves:
         terms.append(term)
-        docs.append(held.get(_DOCS, 0))
-        for k, n in held.items():
-            if k != _DOCS:
-                sources.append(k)
-                counts.append(n)
+        docs.append(held.pop(_DOCS))
+        sources.extend(held)
+        counts.extend(held.values())
         ends.append(len(sources))
         if len(terms) >= size:
             yield batch()
@@ -130,44 +131,87 @@ def _leaves(lang: int, leaves: Iterator[tuple[bytes, dict[int, int]]], size: int
         yield batch()
 
 
+def _fold(tries: dict[int, RadixTrie], places: list[tuple[int, int]], texts: list[bytes]) -> None:
+    """Adds texts, as bytes of terms and spaces, to the tries. Occurrences are counted by number, so a trie is walked once a term."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+    coded = words.flatten().dictionary_encode()
+    terms = coded.dictionary.cast(pa.binary()).to_pylist()
+    n = len(terms)
+    doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    each, times = np.unique(doc * n + coded.indices.to_numpy(), return_counts=True)
+    doc, term = np.divmod(each, max(n, 1))
+    langs, sources = (np.array([p[i] for p in places], np.int64) for i in range(2))
+    most = int(sources.max(initial=0)) + 1
+    pairs, at = np.unique((langs[doc] * n + term) * most + sources[doc], return_inverse=True)
+    counts = np.bincount(at, weights=times, minlength=len(pairs)).astype(np.int64).tolist()
+    own = (pairs % most).tolist()
+    keys = pairs // most
+    first = np.nonzero(np.diff(keys, prepend=-1))[0]
+    docs = np.add.reduceat(np.bincount(at, minlength=len(pairs)), first) if len(first) else first
+    for k, d, lo, hi in zip(keys[first].tolist(), docs.tolist(), first.tolist(), np.append(first, len(own))[1:].tolist(), strict=True):
+        lang, i = divmod(k, n)
+        if not terms[i]:
+            continue
+        held = tries[lang].leaf(terms[i])
+        if held:
+            held[_DOCS] += d
+            for j in range(lo, hi):
+                held[own[j]] = held.get(own[j], 0) + counts[j]
+        else:
+            held[_DOCS] = d
+            held.update(zip(own[lo:hi], counts[lo:hi], strict=True))
+
+
+def _fold_long(trie: RadixTrie, source: int, text: str) -> None:
+    """The same for one text of any length, block by block."""
+    counts: Counter = Counter()
+    for terms in term_blocks(text):
+        counts.update(terms)
+    for term, n in counts.items():
+        trie.add(term, [(_DOCS, 1), (source, n)])
+
+
 def counted(docs: DataFrame, places: dict[tuple[str, str], tuple[int, int]]) -> DataFrame:
     """Rows of _LEAF from docs (lang, source, text), a row for each term that a task's trie holds when it is full or the task ends."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[int, RadixTrie] = defaultdict(RadixTrie)
-        for b in batches:
-            seen: dict[int, Counter] = defaultdict(Counter)
-            found: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                place, own = places[lang, source], set()
-                for terms in term_blocks(text):
-                    found[place].update(terms)
-                    own.update(terms)
-                seen[place[0]].update(own)
-            for lang, terms in seen.items():
-                trie, leaf = tries[lang], {}
-                for term, n in terms.items():
-                    leaf[term] = held = trie.leaf(term)
-                    held[_DOCS] = held.get(_DOCS, 0) + n
-                for (at, source), counts in found.items():
-                    if at == lang:
-                        for term, n in counts.items():
-                            held = leaf[term]
-                            held[source] = held.get(source, 0) + n
-            if sum(t.size for t in tries.values()) >= FULL:
+        held: list[tuple[tuple[int, int], bytes]] = []
+        size = 0
+
+        def folded(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                _fold(tries, *map(list, zip(*held, strict=True)))
+            held, size = [], 0
+            if sum(t.size for t in tries.values()) >= least:
                 for lang, trie in tries.items():
                     yield from _leaves(lang, trie)
                 tries.clear()
-        for lang, trie in tries.items():
-            yield from _leaves(lang, trie)
+
+        for b in batches:
+            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                place = places[lang, source]
+                if len(text) >= PORTION:
+                    _fold_long(tries[place[0]], place[1], text)
+                elif text:
+                    held.append((place, text.encode().translate(_TABLE)))
+                    size += len(text)
+                if size >= PORTION:
+                    yield from folded(FULL)
+        yield from folded(0)
 
     return docs.mapInArrow(run, _LEAF)
 
 
 def merged(leaves: DataFrame, min_docs: int) -> DataFrame:
-    """Rows of _LEAF, one for each term of a language in min_docs documents or more: tasks take ranges of terms, and in a range rows
-    come in order, so a trie holds some thousand terms at a time; the last one waits, as more of it may follow."""
+    """Rows of _LEAF, one for each term of a language in min_docs documents or more.
+
+    Tasks take ranges of terms, and in a range rows come in order, so that a term's rows stand together. Those whose documents sum up
+    to too few are passed over; the others, and a batch's first and last term, of which more may lie outside it, are merged in a
+    trie, which is read out by thousands of terms, all but the last.
+    """
     dealt = leaves.repartitionByRange(shuffle_parts(leaves.sparkSession), "lang", "term").sortWithinPartitions("lang", "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +226,16 @@ def merged(leaves: DataFrame, min_docs: int) -> DataFrame:
                 trie.add(last, waiting.items())
 
         for b in batches:
-            terms = b.column(1).cast(pa.binary()).to_pylist()
-            for lang, term, n, sources, counts in zip(b.column(0).to_pylist(), terms, *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            langs, docs = b.column(0).to_numpy(), b.column(2).to_numpy()
+            if not len(docs):
+                continue
+            other = (langs[1:] != langs[:-1]) | pc.not_equal(b.column(1).slice(1), b.column(1).slice(0, len(docs) - 1)).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.nonzero(other)[0] + 1])
+            good = np.add.reduceat(docs, first) >= min_docs
+            good[[0, -1]] = True
+            few = b.take(pa.array(np.nonzero(np.repeat(good, np.diff([*first, len(docs)])))[0]))
+            terms = few.column(1).cast(pa.binary()).to_pylist()
+            for lang, term, n, sources, counts in zip(few.column(0).to_pylist(), terms, *(few.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 if lang != at:
                     if at is not None:
                         yield from kept(True)
