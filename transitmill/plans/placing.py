@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import analysis, placement
+from ..operators import analysis, networks, placement
 from .registry import events, query, rounded, table
 
 
@@ -123,3 +123,68 @@ def terminus_names(spark, d):
     stops = ends.select(F.lit(0).alias("net"), F.col("pat").alias("pattern_uid"), F.col("from_stop").alias("stop_id"), F.last("from_stop").over(last).alias("terminus"))
     fixes = track_fixes(spark, d).select(F.lit(0).alias("net"), (F.col("user_id") % 40).cast("int").alias("terminus"), "point")
     return placement.terminus_aliases(fixes, stops, ["net"], share=0.3).select(F.col("terminus").alias("code"), "known")
+
+
+#: Two feeds of links: orders of open and of closed line items; a link's track bends away by its line number, 25 m a number.
+_TRACKS = "lt AS (SELECT (l_suppkey % 7)::VARCHAR AS from_stop, (l_partkey % 5)::VARCHAR AS to_stop, l_linenumber AS y, l_linestatus AS feed, count(*) AS w FROM lineitem GROUP BY ALL)"
+_FOLD = """SELECT from_stop, to_stop, list_reduce(list_transform(list_sort(list({{'w': -w, 'y': y}})), lambda x: [x.y]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k - x[1]) * 25 <= 40)) > 0 THEN acc ELSE list_concat(acc, x) END{start}) AS v FROM {rows} GROUP BY ALL"""
+
+
+def link_tracks(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 7).cast("string").alias("from_stop"), (F.col("l_partkey") % 5).cast("string").alias("to_stop"), F.col("l_linenumber").alias("y"), F.col("l_linestatus").alias("feed")).agg(F.count(F.lit(1)).alias("w"))
+    up, on = F.col("y") * 25 / F.lit(110540.0), F.lit(1000 / 111320.0)
+    zero = F.lit(0.0)
+    return li.withColumn("geometry", F.array(F.array(zero, zero), F.array(on / 2, up), F.array(on, zero)))
+
+
+@query("WITH " + _TRACKS + ", a AS (" + _FOLD.format(start="", rows="lt WHERE feed = 'F'") + """),
+b AS (SELECT lt.from_stop, lt.to_stop, any_value(a.v) AS v, list_sort(list({'w': -w, 'y': y})) AS n FROM lt LEFT JOIN a USING (from_stop, to_stop) WHERE feed <> 'F' GROUP BY ALL),
+c AS (SELECT coalesce(a.from_stop, b.from_stop) AS from_stop, coalesce(a.to_stop, b.to_stop) AS to_stop,
+  list_reduce(list_transform(coalesce(b.n, []), lambda x: [x.y]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k - x[1]) * 25 <= 40)) > 0 THEN acc ELSE list_concat(acc, x) END, coalesce(a.v, [])) AS v FROM a FULL JOIN b ON a.from_stop = b.from_stop AND a.to_stop = b.to_stop),
+r AS (SELECT from_stop, to_stop, unnest(range(len(v))) AS k, unnest(v) AS y FROM c),
+m AS (SELECT lt.from_stop, lt.to_stop, feed, lt.y, w, (SELECT arg_min(k, (abs(r.y - lt.y), k)) FROM r WHERE r.from_stop = lt.from_stop AND r.to_stop = lt.to_stop) AS k FROM lt)
+SELECT feed, from_stop || '>' || to_stop || '~' || k AS link_key, count(*) AS tracks, sum(w)::BIGINT AS w FROM m GROUP BY ALL""")
+def lasting_keys(spark, d):
+    """Keys of links over two feeds, the second with the registry of the first."""
+    x = link_tracks(spark, d)
+    first = networks.lasting_variants(None, x.filter("feed = 'F'"), weight="w")
+    both = networks.lasting_variants(first, x.filter("feed <> 'F'"), weight="w")
+    return networks.with_keys(x, both).groupBy("feed", "link_key").agg(F.count(F.lit(1)).alias("tracks"), F.sum("w").alias("w"))
+
+
+#: Orders stand for days of feeds: the priority is the feed, the customer's remainder the line and the pattern; candidates are all feeds of the date's quarter by name.
+_NET = """WITH pd AS (SELECT DISTINCT left(o_orderpriority, 1) AS sha, (o_custkey % 20)::VARCHAR AS line, (o_custkey % 60)::VARCHAR AS pattern_uid, o_orderdate::DATE AS service_date FROM orders),
+ca AS (SELECT service_date, sha, CASE WHEN quarter(service_date) % 2 = 0 THEN sha::INT ELSE 10 - sha::INT END AS rank FROM (SELECT DISTINCT service_date, sha FROM pd)),
+pk AS (SELECT line, service_date, arg_min(sha, rank) AS sha FROM (SELECT DISTINCT line, service_date, sha FROM pd) JOIN ca USING (service_date, sha) WHERE year(service_date) = 1996 GROUP BY ALL),
+us AS (SELECT line, sha, min(service_date) AS since FROM pk GROUP BY ALL),
+lk AS (SELECT left(o_orderpriority, 1) AS sha, (o_custkey % 20)::VARCHAR AS line, (o_custkey % 60)::VARCHAR AS pattern_uid, (o_orderkey % 4)::INT AS link_idx, max(o_totalprice) AS len_m FROM orders GROUP BY ALL),
+nl AS (SELECT line, pattern_uid, link_idx, arg_min(len_m, (since, sha)) AS len_m FROM lk JOIN us USING (line, sha) GROUP BY ALL),
+nd AS (SELECT pd.line, pd.pattern_uid, count(*) AS days FROM pd JOIN pk USING (line, service_date, sha) GROUP BY ALL)"""
+
+
+@query(_NET + " SELECT line, pattern_uid, link_idx, len_m, coalesce(days, 0) AS days FROM nl LEFT JOIN nd USING (line, pattern_uid)")
+def network_of_dates(spark, d):
+    o = table(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).alias("sha"), (F.col("o_custkey") % 20).cast("string").alias("line"), (F.col("o_custkey") % 60).cast("string").alias("pattern_uid"), F.to_date("o_orderdate").alias("service_date"), (F.col("o_orderkey") % 4).cast("int").alias("link_idx"), "o_totalprice")
+    days = o.select("sha", "line", "pattern_uid", "service_date").distinct()
+    number = F.col("sha").cast("int")
+    cands = days.select("service_date", "sha").distinct().withColumn("rank", F.when(F.quarter("service_date") % 2 == 0, number).otherwise(10 - number))
+    feeds = {
+        "pattern_days": days, "patterns": days.select("sha", "line", "pattern_uid").distinct(), "stops": days.select("sha", "line", F.col("pattern_uid").alias("stop_id")).distinct(),
+        "links": o.groupBy("sha", "line", "pattern_uid", "link_idx").agg(F.max("o_totalprice").alias("len_m")),
+    }
+    net = networks.network(feeds, cands, days.filter("year(service_date) = 1996"))
+    run = net["pattern_days"].groupBy("line", "pattern_uid").agg(F.count(F.lit(1)).alias("days"))
+    return net["links"].join(run, ["line", "pattern_uid"], "left").fillna(0, ["days"])
+
+
+@query("""WITH t AS (SELECT (o_custkey % 12)::VARCHAR AS line, (o_custkey % 60)::VARCHAR AS pattern_uid, o_orderpriority AS service_id, (o_custkey % 7)::INT AS n_stops FROM orders),
+s AS (SELECT DISTINCT o_orderpriority AS service_id, o_orderdate::DATE AS service_date FROM orders),
+p AS (SELECT line, pattern_uid, service_id, count(*) AS n, max(n_stops) AS n_stops FROM t GROUP BY ALL),
+r AS (SELECT line, pattern_uid, service_date, sum(n)::BIGINT AS n_trips, max(n_stops) AS n_stops FROM p JOIN s USING (service_id) GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY line, service_date ORDER BY n_trips DESC, n_stops DESC, pattern_uid) = 1 AS is_main FROM r)
+SELECT line, pattern_uid, is_main, count(*) AS days, sum(n_trips)::BIGINT AS n_trips FROM m GROUP BY ALL""")
+def main_patterns(spark, d):
+    o = table(spark, d, "orders")
+    trips = o.select((F.col("o_custkey") % 12).cast("string").alias("line"), (F.col("o_custkey") % 60).cast("string").alias("pattern_uid"), F.col("o_orderpriority").alias("service_id"), (F.col("o_custkey") % 7).cast("int").alias("n_stops"))
+    days = o.select(F.col("o_orderpriority").alias("service_id"), F.to_date("o_orderdate").alias("service_date"))
+    return networks.pattern_days(trips, days, ["line"]).groupBy("line", "pattern_uid", "is_main").agg(F.count(F.lit(1)).alias("days"), F.sum("n_trips").alias("n_trips"))
