@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpoints_of_call, cut, drop_checkpoints, free_shuffles, hot_join, salted_join, small_batches
+from .common import FEW_ROWS, checkpoints_of_call, cut, drop_checkpoints, free_shuffles, hot_join, salted_join, small_batches
 from .simhash import components, kept_rows
 
 #: Words of a shingle, and the similarity from which texts are near copies, in hundredths.
@@ -134,8 +134,38 @@ def shareable(sets: DataFrame, keys: DataFrame) -> DataFrame:
     return own.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("set_key").alias("set_key")).filter("k = 1").groupBy("set_key").agg(F.count(F.lit(1)).alias("u"))
 
 
-def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int, small: int = SMALL) -> DataFrame:
-    """(a, b): links between the set keys of `distinct` that connect the same ones as all pairs of the similarity do.
+def joined(edges: DataFrame) -> DataFrame:
+    """components() of links (a, b); where these are FEW_ROWS or fewer, which any task can take, by one short job and as a frame to broadcast."""
+    now = cut(edges.select("a", "b").filter("a <> b").distinct())
+    if now.count() > FEW_ROWS:
+        return components(now)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = sorted((find(x), find(y)))
+                root[y] = x
+        nodes = [x for x in root if find(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+    return F.broadcast(cut(now.coalesce(1).mapInArrow(run, "node bigint, root bigint")))
+
+
+def renamed(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """held with the root of its `root`, where that has another one."""
+    return held.join(roots.select("node", F.col("root").alias("_root")), F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("_root", "root")).drop("node", "_root")
+
+
+def grouped(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: int, small: int = SMALL) -> DataFrame:
+    """distinct (set_key, least) with `root`, the same for all sets that a chain of pairs of the similarity joins, as all pairs would.
 
     Candidates are the pairs of a SimHash class, each set with the least one, and those of a bucket (sets that share a band).
     In each bucket all sets are first compared with the one that shares most bands with others, such as the text that many
@@ -166,11 +196,8 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
 
-    def rooted(held: DataFrame) -> DataFrame:
-        return held.join(components(found), F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node")
-
-    found, pivots = verified(tried), PIVOTS
-    live = mixed(rooted(members))
+    roots, pivots = [joined(verified(tried))], PIVOTS
+    live = mixed(renamed(members.withColumn("root", F.col("set_key")), roots[0]))
     free_shuffles(docs.sparkSession)
     alone = shareable(verified.sets, live.select("set_key").distinct())
     live = mixed(live.join(alone, "set_key", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u").filter(F.col("c") * 100 >= F.col("n") * similarity))
@@ -183,12 +210,17 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, widt
         x = live.filter(few | chance).select(F.col("token").alias("token_"), F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt_"))
         can = F.least("ca", "cb") * (100 + similarity) >= (F.col("na") + F.col("nb")) * similarity
         met = x.join(y, (F.col("token_") == F.col("token")) & (F.col("salt_") == F.col("salt")) & (F.col("ra") != F.col("rb")) & can & ((F.col("a") < F.col("b")) | (F.col("size") > small)))
-        pairs = cut(ordered(met).dropDuplicates(["lo", "hi"]).join(ordered(tried), ["lo", "hi"], "left_anti").select("a", "b"))
-        found, tried = found.union(verified(pairs)), tried.union(pairs)
-        live = mixed(rooted(live.drop("root").filter(F.col("size") > max(small, pivots))))
+        # the roots of a pair's sets come along, so that only links between what is apart so far are joined up
+        pairs = cut(met.select("a", "b", "ra", "rb", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"]).join(ordered(tried), ["lo", "hi"], "left_anti").select("a", "b", "ra", "rb"))
+        roots.append(joined(pairs.join(verified(pairs), ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        tried = tried.union(pairs.select("a", "b"))
+        live = mixed(renamed(live.filter(F.col("size") > max(small, pivots)), roots[-1]))
         pivots *= MORE
         free_shuffles(docs.sparkSession)
-    return found
+    out = distinct.select("set_key", "least", F.col("set_key").alias("root"))
+    for r in roots:
+        out = renamed(out, r)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY, small: int = SMALL) -> DataFrame:
@@ -203,10 +235,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with checkpoints_of_call() as made:
         sets = shingle_sets(docs, id_col, text_col, width)
         distinct = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("held").alias("held"), F.min(F.struct("_id", "_key")).alias("least")))
-        roots = components(links(docs, distinct, id_col, text_col, width, similarity, small))
-        held = distinct.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left")
+        held = grouped(docs, distinct, id_col, text_col, width, similarity, small)
         done = list(made)
-        stay = cut(held.groupBy(F.coalesce("root", "set_key").alias("root")).agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key")))
+        stay = cut(held.groupBy("root").agg(F.min("least").alias("_s")).select(F.col("_s._id").alias("_id"), F.col("_s._key").alias("_key")))
         drop_checkpoints(spark, done)
         free_shuffles(spark)
         return kept_rows(docs, stay, id_col, text_col)
