@@ -41,6 +41,20 @@ def with_terminus(fixes: DataFrame, aliases: DataFrame, scope: list[str], code:
     return fixes.join(aliases, [*scope, code], "left").withColumn(code, F.coalesce("known", code)).drop("known")
 
 
+def pattern_stops(patterns: DataFrame, pattern_days: DataFrame) -> DataFrame:
+    """(line, pattern_uid, stop_id, terminus, service_date, n_trips) from patterns (line, pattern_uid, stop_ids) and their days: a row for
+    each stop of a pattern on each day it runs."""
+    one = patterns.select("line", "pattern_uid", F.explode("stop_ids").alias("stop_id"), F.element_at("stop_ids", -1).alias("terminus"))
+    return one.join(pattern_days.select("line", "pattern_uid", "service_date", "n_trips"), ["line", "pattern_uid"])
+
+
+def with_pattern(fixes: DataFrame, stops: DataFrame) -> DataFrame:
+    """fixes (line, service_date, terminus) with the pattern of most trips that day to their terminus, ties to the least name; null if
+    none goes there. There are few patterns to a line."""
+    best = stops.groupBy("line", "service_date", "terminus").agg(F.min(F.struct(-F.col("n_trips"), "pattern_uid")).alias("_b"))
+    return fixes.join(best.select("line", "service_date", "terminus", F.col("_b.pattern_uid").alias("pattern_uid")), ["line", "service_date", "terminus"], "left")
+
+
 def learned_lengths(fixes: DataFrame, chains: DataFrame, keys: list[str], point: str = "point", dist: str = "dist", at: float = 0.995) -> DataFrame:
     """(keys, link_idx, flen, n): a link's length as the feed has it, from the fixes whose point is one place of the chain only, on LEAST_ROWS or more."""
     single = chains.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*keys, "from_stop"))).filter("_k = 1 and len_m > 0")
