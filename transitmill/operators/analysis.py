@@ -101,3 +101,22 @@ def month_delta(df: DataFrame, keys: list[str], month: str, value: str) -> DataF
     """Adds `prev`: the value of the month just before, null if that month is missing. `month` is the first day of each."""
     w = Window.partitionBy(*keys).orderBy(month)
     return df.withColumn("prev", F.when(F.add_months(F.lag(month).over(w), 1) == F.col(month), F.lag(value).over(w)))
+
+
+def hotspots(daily: DataFrame, keys: list[str], place: str, value: str, weight: str, rounds: int = 200, seed: int = 1, date: str = "service_date", level: float = 0.9, least: float = 0.0) -> DataFrame:
+    """(keys, first, last, n, est, lo, hi): runs of neighbouring places that lose surely more than `least` a passage, over resampled days.
+
+    A place's loss is the ratio of its sums of value and weight over the days; it counts if the lower end of its interval lies
+    over `least`. Places next to each other by number make one run, whose loss is the sum of its places' and whose interval
+    comes from the same draws of days, as places of one day go together. A place without weight in a draw adds nothing to it;
+    one without weight at all is no part of a run.
+    """
+    each = resampled(daily, [*keys, place], value, weight, rounds, seed, date)
+    sure = interval(each, [*keys, place], level).filter(F.col("lo") > least).select(*keys, place)
+    w = Window.partitionBy(*keys).orderBy(place)
+    # of neighbours, the place less the number of hot places before it stays the same
+    runs = sure.withColumn("_run", F.col(place) - F.row_number().over(w))
+    est = daily.groupBy(*keys, place).agg(ratio(total(value), total(weight)).alias("_e")).join(runs, [*keys, place])
+    whole = est.groupBy(*keys, "_run").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"), F.sum("_e").alias("est"))
+    draws = each.join(runs, [*keys, place]).groupBy(*keys, "_run", "_b").agg(F.sum("_r").alias("_r"))
+    return whole.join(interval(draws, [*keys, "_run"], level), [*keys, "_run"]).drop("_run")

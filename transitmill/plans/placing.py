@@ -188,3 +188,10 @@ def main_patterns(spark, d):
     trips = o.select((F.col("o_custkey") % 12).cast("string").alias("line"), (F.col("o_custkey") % 60).cast("string").alias("pattern_uid"), F.col("o_orderpriority").alias("service_id"), (F.col("o_custkey") % 7).cast("int").alias("n_stops"))
     days = o.select(F.col("o_orderpriority").alias("service_id"), F.to_date("o_orderdate").alias("service_date"))
     return networks.pattern_days(trips, days, ["line"]).groupBy("line", "pattern_uid", "is_main").agg(F.count(F.lit(1)).alias("days"), F.sum("n_trips").alias("n_trips"))
+
+
+@query()
+def hotspots(spark, d):
+    """Line items as passages: suppliers are lines, parts places, quantities over 24 the seconds lost."""
+    li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("line"), (F.col("l_partkey") % 60).alias("place"), F.to_date("l_shipdate").alias("service_date"), (F.col("l_quantity") - 24).alias("value"), F.lit(1.0).alias("weight"))
+    return rounded(analysis.hotspots(li, ["line"], "place", "value", "weight", rounds=100))
