@@ -105,3 +105,36 @@ def test_parallel_tracks():
     beside = lambda m: [[x, y + m / 110540.0] for x, y in track]
     assert stretches.overlap(track, beside(5)) == 1.0 and stretches.overlap(track, beside(220)) == 0.0
     assert stretches.overlap(track, track[:1]) == 0.0 and stretches.overlap(beside(29.5)[:2], track) == 1.0 == stretches.overlap(track, beside(29.5)[:2])
+
+
+def test_network_selects_a_mode_and_checks_its_fields(spark, tables):
+    groups = lambda q: {(r.grp, r.n_lines, r.real) for r in build.network_page(tables, q)["total"].collect()}
+    every = groups(rq.NetQuery(FIRST, LAST))
+    tram = groups(rq.NetQuery(FIRST, LAST, mode="tram"))
+    assert {g for g, _, _ in every} == {"all", "tram", "bus"} and {g for g, _, _ in tram} == {"all", "tram", "bus", "sel"}
+    assert {x[1:] for x in tram if x[0] == "sel"} == {x[1:] for x in tram if x[0] == "tram"}
+    listed = groups(rq.NetQuery(FIRST, LAST, mode="tram", lines=("9",)))
+    assert {x[1:] for x in listed if x[0] == "sel"} == {x[1:] for x in listed if x[0] == "bus"}
+    for bad in ({"mode": "zeppelin"}, {"hours": (20, 3)}, {"hours": (-1, 3)}, {"hours": (6, 29)}):
+        with pytest.raises(rq.BadRequest):
+            build.network_page(tables, rq.NetQuery(FIRST, LAST, **bad))
+
+
+def test_jobs_say_what_a_store_cannot_leave_out(spark, tables, tmp_path, capsys):
+    from transitmill import jobs
+
+    store = str(tmp_path)
+    month = F.date_format("service_date", "yyyy-MM")
+    for name in ("linehours", "plan"):
+        tables[name].withColumn("month", month).write.partitionBy("month").parquet(f"{store}/{name}")
+    q = rq.NetQuery(FIRST, LAST, mode="tram", school="exclude")
+    with pytest.raises(rq.BadRequest):
+        jobs.held_tables(spark, store, q, ("linehours",), ("modes",))
+    tables["modes"].write.parquet(f"{store}/modes")
+    assert jobs.not_applied({}, q) == ["days without a feed", "strikes", "reduced service", "school holidays"]
+    jobs.main(["network", "--store", store, "--from", str(FIRST), "--to", str(LAST), "--mode", "tram", "--out", f"{store}/out"], spark)
+    assert "reduced service" in (said := capsys.readouterr().err) and "strikes" not in said
+    total = spark.read.option("header", True).csv(f"{store}/out/total")
+    assert {r.grp for r in total.collect()} == {"all", "tram", "bus", "sel"}
+    want = {r.grp: r.real for r in build.network_page(tables, rq.NetQuery(FIRST, LAST, mode="tram"))["total"].collect()}
+    assert {r.grp: float(r.real) for r in total.collect()} == want

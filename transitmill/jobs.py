@@ -1,4 +1,4 @@
-"""Batch jobs over a store of monthly tables: python -m transitmill.jobs {cube,regularity,ranking} --store FOLDER ...
+"""Batch jobs over a store of monthly tables: python -m transitmill.jobs {cube,regularity,ranking,network,night} --store FOLDER ...
 
 The store holds one folder a table, partitioned by month. Inputs: placed, passages, links, patterns, pattern_days, coverage and
 stop_events; outputs: the names that plans/build.py gives. A run replaces the month it builds, or just the lines asked for.
@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import json
+import sys
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .config import TIME_ZONE
 from .plans import build
-from .plans.requests import RankQuery, parse_dow, parse_hours, parse_periods
+from .plans.requests import BadRequest, NetQuery, RankQuery, Selection, parse_dow, parse_hours, parse_periods
 from .session import session
 from .sources import readers, sinks
 
@@ -53,22 +57,38 @@ def regularity(spark: SparkSession, store: str, month: str) -> None:
     put(spark, store, month, build.regularity_tables(month_of(spark, store, "stop_events", month)))
 
 
+def held_tables(spark: SparkSession, store: str, q: Selection, names: tuple[str, ...], optional: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The month tables that a request reads; of the optional ones those that the store has. A request for a mode needs modes."""
+    months, held = readers.months_between(q.first, q.last), {}
+    for name in (*names, *optional):
+        if name in names or readers.exists(spark, f"{store}/{name}"):
+            df = spark.read.parquet(f"{store}/{name}")
+            held[name] = df.filter(F.col("month").isin(months)).drop("month") if "month" in df.columns else df
+    if q.mode != "all" and "modes" not in held:
+        raise BadRequest(f"the store has no table of modes, so a request for {q.mode} can't be answered")
+    return held
+
+
+def not_applied(held: dict[str, DataFrame], q: Selection) -> list[str]:
+    """What a request asks for that can't be looked up, as tables are missing."""
+    lacks = lambda *names: bool(set(names) - set(held))
+    said = {"days without a feed": lacks("linehours", "plan"), "strikes": q.reduced == "exclude" and lacks("linehours", "plan"), "reduced service": q.reduced == "exclude" and lacks("daytrips"), "school holidays": q.school == "exclude" and lacks("daytrips")}
+    return [what for what, missing in said.items() if missing]
+
+
 def rank(spark: SparkSession, store: str, q: RankQuery) -> DataFrame:
-    """The ranked lists of a request. Tables that the store doesn't have (modes, daytrips, plan) filter nothing."""
-    months = readers.months_between(q.first, q.last)
-    held = {n: spark.read.parquet(f"{store}/{n}").filter(F.col("month").isin(months)).drop("month") for n in ("cube", "days", "roles", "hourly")}
-    for name in ("linehours", "plan"):
-        if readers.exists(spark, f"{store}/{name}"):
-            held[name] = spark.read.parquet(f"{store}/{name}").filter(F.col("month").isin(months)).drop("month")
-    for name in ("modes", "daytrips"):
-        if readers.exists(spark, f"{store}/{name}"):
-            held[name] = spark.read.parquet(f"{store}/{name}")
-    return build.ranking_answer(held, q)
+    """The ranked lists of a request. not_applied() says what a store without daytrips, linehours or plan can't leave out."""
+    return build.ranking_answer(held_tables(spark, store, q, ("cube", "days", "roles", "hourly"), ("linehours", "plan", "modes", "daytrips")), q)
+
+
+def network(spark: SparkSession, store: str, q: NetQuery) -> dict[str, DataFrame]:
+    """The network answer of a request: months, total, days and left_out."""
+    return build.network_page(held_tables(spark, store, q, ("linehours", "plan", "modes"), ("reglines", "daytrips")), q)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(prog="transitmill.jobs")
-    p.add_argument("job", choices=("cube", "regularity", "ranking"))
+    p.add_argument("job", choices=("cube", "regularity", "ranking", "network", "night"))
     p.add_argument("--store", required=True)
     p.add_argument("--month", help="yyyy-MM")
     p.add_argument("--lines", type=lambda x: x.split(","))
@@ -83,9 +103,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         p.add_argument(f"--{name}", default=default, choices=("exclude", "include"))
     p.add_argument("--stops", action="store_true")
     p.add_argument("--terminus", action="store_true")
-    p.add_argument("--out", help="folder for the ranking, as CSV")
+    p.add_argument("--out", help="folder for the answer, as CSV")
+    p.add_argument("--full", action="store_true", help="night: place the whole month")
     a = p.parse_args(argv)
-    need = ("first", "last", "out") if a.job == "ranking" else ("month",)
+    need = ("first", "last", "out") if a.job in ("ranking", "network") else ("month",)
     if missing := [n for n in need if getattr(a, n) is None]:
         p.error(f"{a.job} needs {', '.join(missing)}")
     spark = spark or session("transitmill-" + a.job)
@@ -93,9 +114,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         cube(spark, a.store, a.month, a.lines)
     elif a.job == "regularity":
         regularity(spark, a.store, a.month)
+    elif a.job == "night":
+        from . import nightly
+
+        print(json.dumps(nightly.derive(spark, a.store, a.month, dt.datetime.now(ZoneInfo(TIME_ZONE)).date() - dt.timedelta(1), a.full)))
     else:
-        q = RankQuery(a.first, a.last, a.dow, lines=tuple(a.lines or ()), stops=a.stops, terminus=a.terminus, top=a.top, hours=a.hours, mode=a.mode, exclude=a.exclude, holidays=a.holidays, school=a.school, reduced=a.reduced)
-        sinks.download(rank(spark, a.store, q), a.out)
+        asked = dict(first=a.first, last=a.last, dow=a.dow, lines=tuple(a.lines or ()), hours=a.hours, mode=a.mode, exclude=a.exclude, holidays=a.holidays, school=a.school, reduced=a.reduced)
+        if a.job == "ranking":
+            q = RankQuery(**asked, stops=a.stops, terminus=a.terminus, top=a.top)
+            sinks.download(rank(spark, a.store, q), a.out)
+        else:
+            q = NetQuery(**asked)
+            for name, df in network(spark, a.store, q).items():
+                sinks.download(df, f"{a.out}/{name}")
+        have = {n: None for n in ("linehours", "plan", "daytrips") if readers.exists(spark, f"{a.store}/{n}")}
+        for what in not_applied(have, q):
+            print(f"not applied, as the store lacks its tables: {what}", file=sys.stderr)
 
 
 if __name__ == "__main__":

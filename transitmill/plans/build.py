@@ -86,7 +86,7 @@ def left_out(spark: SparkSession, q: Days, tables: dict[str, DataFrame]) -> Data
 def network_page(tables: dict[str, DataFrame], q: NetQuery) -> dict[str, DataFrame]:
     """A request's network answer from the month tables `linehours`, `plan`, `modes` (line, mode) and, if given, `reglines`:
 
-    months: a row a month and group (all lines, each mode, and `sel`, the lines asked for): speeds, kilometres planned and run on
+    months: a row a month and group (all lines, each mode, and `sel`, the lines asked for or those of the mode asked for): speeds, kilometres planned and run on
     the chosen days and hours, the same of the whole month (*_all), and the sums of headways. total: the same of all months.
     days: chosen and present days a month. left_out: the anomalies, and whether they are out.
     """
@@ -106,7 +106,8 @@ def network_page(tables: dict[str, DataFrame], q: NetQuery) -> dict[str, DataFra
         reg = tables["reglines"].filter(F.col("service_date").between(q.first, q.last)).withColumn("month", F.date_format("service_date", "yyyy-MM"))
         rows = rows.join(regularity.summed(hours(reg), keys), keys, "full")
     rows = rows.fillna(0).join(F.broadcast(tables["modes"]), "line", "left")
-    sel = F.when(F.col("line").isin(list(q.lines)), F.lit("sel")) if q.lines else F.lit(None).cast("string")
+    asked = F.col("line").isin(list(q.lines)) if q.lines else F.col("mode") == q.mode
+    sel = F.when(asked, F.lit("sel")) if q.lines or q.mode != "all" else F.lit(None).cast("string")
     rows = rows.withColumn("grp", F.explode(F.array_compact(F.array(F.lit("all"), F.col("mode"), sel))))
     present = run.select("service_date", "month").union(plan.select("service_date", "month")).distinct()
     days = whole(present).groupBy("month").agg(F.count(F.lit(1)).alias("days_all")).join(chosen(present).groupBy("month").agg(F.count(F.lit(1)).alias("days")), "month", "left").fillna(0, ["days"])
