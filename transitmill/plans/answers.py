@@ -397,10 +397,11 @@ def pattern_links(spark, d):
     return routes.pattern_links(routes.patterns(st, tr)).groupBy("link_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH i AS (SELECT o_orderkey AS date, o_totalprice AS w FROM orders), d AS (SELECT o_orderkey AS date, o_totalprice - (o_custkey % 3 - 1) AS p FROM orders WHERE o_custkey % 5 <> 0) SELECT i.date, w AS written_at FROM i LEFT JOIN d USING (date) WHERE p IS NULL OR w > p")
+@query("WITH i AS (SELECT o_orderkey AS date, o_totalprice AS w FROM orders), d AS (SELECT o_orderkey AS date, o_totalprice - (o_custkey % 3 - 1) AS p FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) SELECT i.date, w AS written_at FROM i LEFT JOIN d USING (date) WHERE p IS NULL OR w > p")
 def stale_days(spark, d):
     o = table(spark, d, "orders")
-    done = o.filter("o_custkey % 5 <> 0").select(F.col("o_orderkey").alias("date"), (F.col("o_totalprice") - (F.col("o_custkey") % 3 - 1)).alias("placed_at"))
+    derived = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    done = o.join(derived, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("date"), (F.col("o_totalprice") - (F.col("o_custkey") % 3 - 1)).alias("placed_at"))
     return routes.stale_days(o.select(F.col("o_orderkey").alias("date"), F.col("o_totalprice").alias("written_at")), done)
 
 

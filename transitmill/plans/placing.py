@@ -31,16 +31,16 @@ ch AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY pat ORDER BY idx ROWS BETW
 fx AS (SELECT event_id, floor(epoch(ts))::BIGINT AS t, user_id % 6 AS pat, user_id, day(ts) // 8 AS week, (floor(value)::BIGINT % 25)::INT AS point, (floor(value * 10)::BIGINT % 400)::DOUBLE AS dist, ts::DATE AS service_date, hour(ts)::INT AS hour FROM events)"""
 
 
-def _aligned(strict: bool) -> str:
+def _aligned(strict: bool, ob: str = "ob", path: str = "path") -> str:
     """The alignment of observations ob (run, k from 1, event_id, cands) as path (run, k, p, s): all states of a run are kept in a list, and each step adds those of the next observation."""
     reach = "<" if strict else "<="
     return f""",
-dp AS (SELECT run, 0 AS k, CAST([] AS STRUCT(n INT, f INT, s DOUBLE, k INT, p INT, path STRUCT(k INT, p INT, s DOUBLE)[])[]) AS nodes FROM ob WHERE k = 1
-UNION ALL SELECT dp.run, ob.k, dp.nodes || list_transform(ob.cands, lambda x: list_transform([list_max(list_transform(list_filter(dp.nodes, lambda y: y.s {reach} x.s), lambda y: {{'n': y.n, 'f': y.f, 's': -y.s, 'k': -y.k, 'path': y.path}}))],
-  lambda b: {{'n': (coalesce(b.n, 0) + 1)::INT, 'f': coalesce(b.f, x.p)::INT, 's': x.s, 'k': ob.k, 'p': x.p, 'path': coalesce(b.path, []) || [{{'k': ob.k, 'p': x.p, 's': x.s}}]}})[1])
-FROM dp JOIN ob ON ob.run = dp.run AND ob.k = dp.k + 1),
-best AS (SELECT run, list_max(list_transform(nodes, lambda y: {{'n': y.n, 'f': y.f - y.p, 's': -y.s, 'k': -y.k, 'path': y.path}})) AS b FROM dp WHERE (run, k) IN (SELECT (run, max(k)) FROM ob GROUP BY run)),
-path AS (SELECT run, x.k, x.p, x.s FROM (SELECT run, unnest(b.path) AS x FROM best WHERE b IS NOT NULL))"""
+dp_{ob} AS (SELECT run, 0 AS k, CAST([] AS STRUCT(n INT, f INT, s DOUBLE, k INT, p INT, path STRUCT(k INT, p INT, s DOUBLE)[])[]) AS nodes FROM {ob} WHERE k = 1
+UNION ALL SELECT d.run, o.k, d.nodes || list_transform(o.cands, lambda x: list_transform([list_max(list_transform(list_filter(d.nodes, lambda y: y.s {reach} x.s), lambda y: {{'n': y.n, 'f': y.f, 's': -y.s, 'k': -y.k, 'path': y.path}}))],
+  lambda b: {{'n': (coalesce(b.n, 0) + 1)::INT, 'f': coalesce(b.f, x.p)::INT, 's': x.s, 'k': o.k, 'p': x.p, 'path': coalesce(b.path, []) || [{{'k': o.k, 'p': x.p, 's': x.s}}]}})[1])
+FROM dp_{ob} d JOIN {ob} o ON o.run = d.run AND o.k = d.k + 1),
+best_{ob} AS (SELECT run, list_max(list_transform(nodes, lambda y: {{'n': y.n, 'f': y.f - y.p, 's': -y.s, 'k': -y.k, 'path': y.path}})) AS b FROM dp_{ob} WHERE (run, k) IN (SELECT (run, max(k)) FROM {ob} GROUP BY run)),
+{path} AS (SELECT run, x.k, x.p, x.s FROM (SELECT run, unnest(b.path) AS x FROM best_{ob} WHERE b IS NOT NULL))"""
 
 
 _PLACED = _CHAIN + """,
@@ -76,12 +76,12 @@ def feed_passages(spark, d) -> DataFrame:
     return x.groupBy("service_date", "hour", "pat", "link_key").agg(F.sum("n_feed").alias("n_feed"))
 
 
-_EVENTS = _CHAIN + """,
+_STOPS = """,
 ev AS (SELECT user_id AS trip, service_date, event_id, t, point FROM fx),
 cd AS (SELECT ev.trip * 10000 + epoch(service_date)::BIGINT // 86400 % 10000 AS tr, service_date, event_id, t, pat, list({'p': idx, 's': idx::DOUBLE}) AS cands FROM ev JOIN ch ON stop = point GROUP BY ALL),
-ob AS (SELECT tr * 10 + pat AS run, row_number() OVER (PARTITION BY tr, pat ORDER BY t, event_id)::INT AS k, event_id, t, tr, pat, cands FROM cd)""" + _aligned(True) + """,
-ht AS (SELECT DISTINCT ON (run // 10) run FROM (SELECT path.run, count(*) AS n FROM path GROUP BY path.run) h JOIN (SELECT pat, count(*) AS size FROM ch GROUP BY pat) z ON z.pat = h.run % 10 ORDER BY run // 10, n DESC, size, pat),
-sn AS (SELECT path.run, ob.pat, path.p, ob.t, lag(path.p) OVER w AS p0, lag(ob.t) OVER w AS t0 FROM path JOIN ob USING (run, k) WHERE path.run IN (SELECT run FROM ht) WINDOW w AS (PARTITION BY path.run ORDER BY path.p)),
+os AS (SELECT tr * 10 + pat AS run, row_number() OVER (PARTITION BY tr, pat ORDER BY t, event_id)::INT AS k, event_id, t, tr, pat, cands FROM cd)""" + _aligned(True, "os", "way") + """,
+ht AS (SELECT DISTINCT ON (run // 10) run FROM (SELECT run, count(*) AS n FROM way GROUP BY run) h JOIN (SELECT pat, count(*) AS size FROM ch GROUP BY pat) z ON z.pat = h.run % 10 ORDER BY run // 10, n DESC, size, pat),
+sn AS (SELECT way.run, os.pat, way.p, os.t, lag(way.p) OVER w AS p0, lag(os.t) OVER w AS t0 FROM way JOIN os USING (run, k) WHERE way.run IN (SELECT run FROM ht) WINDOW w AS (PARTITION BY way.run ORDER BY way.p)),
 lg AS (SELECT sn.*, ch.idx, ch.stop || '>' || ch.nxt AS link_key, t0 + (t - t0) * ((ch.start - a.start) / (b.start - a.start)) AS mt FROM sn JOIN ch a ON a.pat = sn.pat AND a.idx = p0 JOIN ch b ON b.pat = sn.pat AND b.idx = p JOIN ch ON ch.pat = sn.pat AND ch.idx >= p0 AND ch.idx < p),
 es AS (SELECT make_timestamp((floor(mt) * 1000000)::BIGINT) AS c, pat, link_key FROM lg),
 ep AS (SELECT c::DATE AS service_date, hour(c)::INT AS hour, pat, link_key, count(*)::DOUBLE AS n_events FROM es GROUP BY ALL)"""
@@ -95,7 +95,7 @@ def seen_passages(spark, d) -> DataFrame:
     return placement.event_passages(trips, links, ["net"], ["user_id", "day"], [F.col("t"), F.col("event_id")]).drop("net")
 
 
-@query(_EVENTS + " SELECT service_date, hour, pat AS pattern_uid, link_key, n_events FROM ep")
+@query(_CHAIN + _STOPS + " SELECT service_date, hour, pat AS pattern_uid, link_key, n_events FROM ep")
 def event_passages(spark, d):
     return seen_passages(spark, d)
 
@@ -105,7 +105,9 @@ def track_passages(spark, d):
     return feed_passages(spark, d).withColumnRenamed("pat", "pattern_uid")
 
 
-@query()
+@query(_PLACED + _FEED + _STOPS + """,
+mf AS (SELECT service_date, hour, link_key, arg_min(pat, (-n_feed, pat)) AS pat, sum(n_feed) AS n_feed FROM fd GROUP BY ALL), me AS (SELECT service_date, hour, link_key, arg_min(pat, (-n_events, pat)) AS pat, sum(n_events) AS n_events FROM ep GROUP BY ALL)
+SELECT service_date, hour, link_key, coalesce(mf.pat, me.pat) AS pattern_uid, coalesce(n_feed, 0) AS n_feed, coalesce(n_events, 0) AS n_events, greatest(coalesce(n_feed, 0), coalesce(n_events, 0)) AS n FROM mf FULL JOIN me USING (service_date, hour, link_key)""")
 def both_passages(spark, d):
     """Passages of tracks and of stop events in one table."""
     feed = feed_passages(spark, d).withColumnRenamed("pat", "pattern_uid")
