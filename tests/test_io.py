@@ -37,7 +37,6 @@ def test_optional_manifest_download(spark, tmp_path):
     sinks.download(frame(spark), str(tmp_path / "csv"))
     assert "a" not in spark.read.option("header", True).csv(str(tmp_path / "csv")).columns
     sinks.by_range(frame(spark), str(tmp_path / "r"), ["line"], 2)
-    assert readers.by_content(spark, [str(tmp_path / "r")], "line", "5") is None
     a, b = sinks.content_sha(spark.createDataFrame([("x", "1"), ("y", "2")], "name string, sha256 string")).first(), sinks.content_sha(spark.createDataFrame([("y", "2"), ("x", "1")], "name string, sha256 string")).first()
     assert a == b
     names = spark.createDataFrame([("vd_20250303T0400_20250303T0900.parquet",), ("other",)], "name string")
@@ -93,3 +92,21 @@ def test_upserts_are_idempotent(spark, tmp_path):
     write(df.filter(F.col("service_date") == D), 1)
     write(df.filter(F.col("service_date") == D), 1)
     assert readers.read(spark, p).count() == 400
+
+
+def test_sources_are_chosen_by_their_footers(spark, tmp_path):
+    p = str(tmp_path / "t")
+    frame(spark).withColumn("source", F.concat(F.lit("s"), F.date_format("service_date", "dd"))).drop("a").write.partitionBy("source").parquet(p)
+    found = readers.footers(spark, p, "service_date", "source")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(service_date), MAX(service_date), COUNT(*)]" in plan
+    days = {r.source: (r.low, r.high, r.n) for r in found.collect()}
+    # forty days from 3 March: the days from 3 to 11 April come a second time
+    assert days["s03"] == (D, dt.date(2025, 4, 3), 20) and days["s20"] == (dt.date(2025, 3, 20),) * 2 + (10,)
+    assert readers.by_content(spark, p, "service_date", dt.date(2025, 3, 20), "source") == "s20"
+    assert readers.by_content(spark, p, "service_date", D, "source") is None
+    wanted = spark.createDataFrame([(dt.date(2025, 3, 30),), (dt.date(2025, 1, 1),), (dt.date(2025, 5, 1),)], "date date")
+    narrow = spark.createDataFrame([(k, *v) for k, v in days.items() if k > "s11"] + [("none", None, None, 0)], "source string, low date, high date, n bigint")
+    got = {r.date: (r.source, r.away) for r in readers.nearest_source(wanted, narrow, "source").collect()}
+    assert got == {dt.date(2025, 3, 30): ("s30", 0), dt.date(2025, 1, 1): ("s12", 70), dt.date(2025, 5, 1): ("s31", 31)}
+    assert {r.source for r in readers.nearest_source(wanted, narrow.limit(0), "source").collect()} == {None}

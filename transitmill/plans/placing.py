@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analysis, networks, placement
+from ..sources import readers
+from ..sources.shared import delete, shared_folder
 from .registry import events, query, rounded, table
 
 
@@ -197,3 +201,19 @@ def hotspots(spark, d):
     """Line items as passages: suppliers are lines, parts places, quantities over 24 the seconds lost."""
     li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("line"), (F.col("l_partkey") % 60).alias("place"), F.to_date("l_shipdate").alias("service_date"), (F.col("l_quantity") - 24).alias("value"), F.lit(1.0).alias("weight"))
     return rounded(analysis.hotspots(li, ["line"], "place", "value", "weight", rounds=100))
+
+
+@query("""WITH o AS (SELECT o_orderdate::DATE AS day, (year(o_orderdate) * 4 + quarter(o_orderdate)) % 20 AS source FROM orders),
+s AS (SELECT source, min(day) AS low, max(day) AS high, count(*) AS n FROM o GROUP BY ALL),
+w AS (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem),
+x AS (SELECT date, source, greatest(0, low - date, date - high)::INT AS away, n FROM w, s)
+SELECT date, arg_min(source, (away, -n, source)) AS source, min(away) AS away FROM x GROUP BY date""")
+def source_of_date(spark, d):
+    """Orders written as twenty sources, and for each day of shipping the source nearest to it, by the files' footers."""
+    path = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), ((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")) % 20).alias("source"))
+    o.write.partitionBy("source").parquet(path)
+    found = readers.footers(spark, path, "day", "source").collect()  # a row a source
+    delete(spark, path)
+    sources = spark.createDataFrame([(int(r.source), r.low, r.high, r.n) for r in found], "source bigint, low date, high date, n bigint")
+    return readers.nearest_source(table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct(), sources, "source")

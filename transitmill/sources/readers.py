@@ -66,13 +66,31 @@ def file_ranges(names: DataFrame, name: str = "name") -> DataFrame:
     return names.filter(F.col(name).rlike(two)).withColumn("start", at(1)).withColumn("end", at(2))
 
 
-def by_content(spark: SparkSession, paths: list[str], column: str, wanted: str) -> str | None:
-    """The first path whose column holds `wanted` and nothing else, by its least and greatest value."""
-    for p in paths:
-        low, high = spark.read.parquet(p).agg(F.min(column).cast("string"), F.max(column).cast("string")).first()
-        if low == high == wanted:
-            return p
-    return None
+def footers(spark: SparkSession, path: str, column: str, by: str) -> DataFrame:
+    """(by, low, high, n): the least and greatest value of a column and the rows, for each value of the partition column `by`, all in
+    one job that reads the files' footers and no rows, if the column is of a type whose footers can be trusted (numbers, dates).
+
+    The aggregate goes into the scan of the newer Parquet source only, so this frame belongs to a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).groupBy(by).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+def nearest_source(wanted: DataFrame, sources: DataFrame, by: str, date: str = "date") -> DataFrame:
+    """wanted dates with the source whose days (low to high) hold the date or lie nearest to it, `away` days off; ties go to the one
+    of most rows, then of least name. Sources without days are none. sources has a row a source, all of which go into one list."""
+    held = sources.filter(F.col("low").isNotNull()).agg(F.collect_list(F.struct("low", "high", (-F.col("n")).alias("_n"), F.col(by).alias("source"))).alias("_all"))
+    off = lambda s: F.greatest(F.lit(0), F.datediff(s["low"], F.col(date)), F.datediff(F.col(date), s["high"]))
+    best = F.array_min(F.transform("_all", lambda s: F.struct(off(s).alias("away"), s["_n"].alias("n"), s["source"].alias("source"))))
+    return wanted.crossJoin(F.broadcast(held)).withColumn("_b", best).select(*wanted.columns, F.col("_b.source").alias(by), F.col("_b.away").alias("away"))
+
+
+def by_content(spark: SparkSession, path: str, column: str, wanted: object, by: str) -> str | None:
+    """The least of the partitions `by` whose column holds `wanted` and nothing else, by the footers of all files."""
+    found = footers(spark, path, column, by).filter((F.col("low") == F.lit(wanted)) & (F.col("high") == F.lit(wanted))).agg(F.min(F.col(by).cast("string"))).first()
+    return found[0]
 
 
 def line_tables(patterns: DataFrame, links: DataFrame, line: str, geometry: bool = False) -> tuple[DataFrame, DataFrame]:
