@@ -7,8 +7,9 @@ import codecs
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+import unicodedata
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache, reduce
 from itertools import chain, pairwise
 
 import pyarrow as pa
@@ -47,7 +48,26 @@ def merge_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
-def split_places(offsets: list[tuple[int, int]]) -> int:
+def own_pattern(pattern: str) -> re.Pattern[str]:
+    """The pattern for Python's own engine, over characters that aren't unsure: classes of letters, numbers and white space are written
+    out, in brackets as well as alone."""
+    names: dict[str, list[list[int]]] = {"L": [], "N": [], "Z": []}
+    for code in range(0xD800):
+        if _UNSURE.match(c := chr(code)):
+            continue
+        kind = "Z" if c.isspace() and not "\x1c" <= c <= "\x1f" else unicodedata.category(c)[0]
+        if kind in names and names[kind] and names[kind][-1][1] == code - 1:
+            names[kind][-1][1] = code
+        elif kind in names:
+            names[kind].append([code, code])
+    spans = {k: "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in v) for k, v in names.items()}
+    classes = {r"\s": spans["Z"], r"\p{L}": spans["L"], r"\p{N}": spans["N"]}
+    inside = re.sub(r"\[[^\]]*\]", lambda m: reduce(lambda x, c: x.replace(c, classes[c]), classes, m[0]), pattern)
+    alone = reduce(lambda x, c: x.replace(c, f"[{classes[c]}]"), classes, inside)
+    return re.compile(alone.replace(r"\S", f"[^{classes[r'\s']}]"))
+
+
+def split_places(offsets: Sequence[tuple[int, int]]) -> int:
     """Places between two tokens that lie inside a character: the offsets of both hold it."""
     return sum(y[0] < x[1] for x, y in pairwise(offsets))
 
@@ -64,7 +84,6 @@ class ByteTokenizer:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each Spark task is a thread by itself
-        import regex
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as f:
@@ -78,7 +97,7 @@ class ByteTokenizer:
         self.library, self.splitter = Tokenizer(model), Tokenizer(model)
         self.library.pre_tokenizer = as_bytes
         self.splitter.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "removed", invert=True), as_bytes])
-        self.pattern = regex.compile(pattern)
+        self.pattern = own_pattern(pattern)
         self.known: dict[str, tuple[tuple[int, ...], str, int]] = {}
         self.old: dict[str, tuple[tuple[int, ...], str, int]] = {}
         byte_of = {c: b for b, c in letters.items()}
@@ -126,7 +145,8 @@ class ByteTokenizer:
             lo, ids, offsets, last = 0, e.ids, e.offsets, [*e.word_ids, None]
             for hi in range(1, len(last)):
                 if last[hi] != last[hi - 1]:
-                    known[new[last[lo]]] = self.piece(ids[lo:hi], offsets[lo:hi])
+                    text = new[last[lo]]
+                    known[text] = self.piece(ids[lo:hi], () if text.isascii() else offsets[lo:hi])
                     lo = hi
         for (k, x), own in zip(held, found, strict=True):
             if own is None:
@@ -135,8 +155,8 @@ class ByteTokenizer:
             else:
                 yield k, list(map(known.__getitem__, own))
 
-    def piece(self, ids: list[int], offsets: list[tuple[int, int]]) -> tuple[tuple[int, ...], str, int]:
-        return tuple(ids), ",".join(map(self.id_text.__getitem__, ids)), split_places(offsets) if len(ids) > 1 else 0
+    def piece(self, ids: list[int], offsets: Sequence[tuple[int, int]]) -> tuple[tuple[int, ...], str, int]:
+        return tuple(ids), ",".join(map(self.id_text.__getitem__, ids)), split_places(offsets) if len(offsets) > 1 else 0
 
     def spans(self, text: str) -> Iterator[tuple[list[int], list[int], list[int]]]:
         """(ids, starts, ends) of each block: the characters [start, end) of the text that a token touches."""
