@@ -20,6 +20,8 @@ BANDS, ROWS = 30, 4
 #: Sets in a bucket up to which all its pairs are compared at once; pivots that the rest of a larger one is first compared with,
 #: and how many times as many each next round takes.
 SMALL, PIVOTS, MORE = 24, 8, 8
+#: Sets of a large bucket that one task compares with its pivots.
+PART = 1000
 #: log2 of the bits of the bitmap that keeps out bands which only one set has: 8 MB, whatever the size of the data.
 SLOT_BITS = 26
 #: Up to so many candidates their ids are broadcast, so that only their texts are moved.
@@ -204,7 +206,8 @@ def grouped(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, wi
     while live.take(1):
         few = F.col("size") <= small
         chance = F.pmod(F.xxhash64("set_key", F.lit(pivots)), F.lit(1 << 20)) * F.col("size") < pivots * (1 << 20)
-        ways = F.when(few, 1).otherwise(16)
+        # a bucket is dealt out by some hundred sets, and its pivots go to each part
+        ways = F.ceil(F.col("size") / PART).cast("int")
         salt = F.pmod(F.xxhash64("set_key"), ways)
         y = live.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), "size", salt.alias("salt"))
         x = live.filter(few | chance).select(F.col("token").alias("token_"), F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt_"))
