@@ -27,6 +27,7 @@ def folder(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("sf")
     spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(0, 240, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(i, rows[i][1][:80]) for i in range(9)] + [(9, None)], "item_id bigint, text string").write.parquet(f"{top}/benchmark.parquet")
     return str(top)
 
 
