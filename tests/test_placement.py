@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,62 @@ def test_long_tracks_take_little_time():
     assert sum(j is not None for j in found) > 400
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_least_span_is_the_very_choice_of_best_chain(strict):
+    rng = random.Random(5)
+    whole = 0
+    for _ in range(600):
+        size = rng.choice([8, 40, 400])
+        candidates = []
+        for _ in range(rng.randint(1, 7)):
+            places = sorted(rng.sample(range(size), rng.randint(1, size // 3)))
+            candidates.append([(p, float(p) if strict else 10.0 * p + m) for p in places for m in [rng.choice([0, 4, 10])]])
+        arrays = [np.array([x[0] for x in c]) for c in candidates], [np.array([x[1] for x in c]) for c in candidates]
+        found, want = alignment.least_span(*arrays, strict), alignment.best_chain(candidates, strict)
+        whole += found is not None
+        assert found == (want if all(j is not None for j in want) else None)
+        assert alignment.chosen(*arrays, strict) == want
+    assert 100 < whole < 600
+
+
+def long_chain(n):
+    """Links of a pattern that stands at each of three stops n times."""
+    return [("n", "p", i, "ABC"[i % 3], "ABC"[(i + 1) % 3], 10.0, f"{i}") for i in range(3 * n)], "net string, pat string, link_idx int, from_stop string, to_stop string, len_m double, link_key string"
+
+
+def test_a_stop_of_very_many_places_for_each_fix_of_many_tracks(spark):
+    links = spark.createDataFrame(*long_chain(10_000))
+    fixes = spark.range(30_000).selectExpr("'p' AS pat", "id div 6 AS track", "id % 6 AS t", "substring('ACB', int(id % 3) + 1, 1) AS point", "double(id % 6) AS dist")
+    out = placement.placed(fixes, links.drop("net", "link_key"), ["pat"], ["track"], [F.col("t")])
+    got = out.groupBy("t", "link_idx", "s_m", "pos_m", "count").count().orderBy("t").collect()
+    assert [tuple(r) for r in got] == [(t, i, 10.0 * i + t, float(t), t > 0, 5000) for t, i in enumerate([0, 2, 4, 6, 8, 10])]
+
+
+def test_stop_events_at_a_stop_of_very_many_places(spark):
+    links = spark.createDataFrame(*long_chain(10_000)).withColumnRenamed("pat", "pattern_uid")
+    events = spark.range(20_000).selectExpr("'n' AS net", "id div 4 AS trip", "substring('ACCB', int(id % 4) + 1, 1) AS stop_id", "id % 4 AS t")
+    got = placement.event_passages(events, links, ["net"], ["trip"], [F.col("t")]).collect()
+    assert {(r["link_key"], r["n_events"]) for r in got} == {(str(i), 5000.0) for i in range(7)}
+
+
+def test_track_passages_of_a_long_chain_and_both_sources(spark):
+    links = spark.createDataFrame(*long_chain(10_000)).withColumnRenamed("pat", "pattern_uid")
+    fixes = spark.range(20_000).selectExpr("'n' AS net", "'p' AS pattern_uid", "id div 4 AS trip", "id % 4 AS t", "substring('ACCB', int(id % 4) + 1, 1) AS stop_id", "1D AS dist")
+    on = placement.placed(fixes, links.drop("net", "link_key"), ["pattern_uid"], ["trip"], [F.col("t")], point="stop_id").filter("count")
+    feed = on.join(links.select("link_idx", "link_key"), "link_idx").groupBy("pattern_uid", "link_key").agg(F.countDistinct("trip").cast("double").alias("n_feed"))
+    assert {tuple(r) for r in feed.collect()} == {("p", str(i), 5000.0) for i in (0, 2, 4)}
+    seen = placement.event_passages(fixes.drop("pattern_uid"), links, ["net"], ["trip"], [F.col("t")])
+    both = placement.merged_passages(feed, seen, ["link_key"])
+    assert {tuple(r) for r in both.collect()} == {(str(i), "p", 5000.0 * (i in (0, 2, 4)), 5000.0, 5000.0) for i in range(7)}
+
+
+def test_fixes_without_a_chain_keep_their_rows(spark):
+    links = spark.createDataFrame(LINKS, LINK)
+    fixes = spark.createDataFrame([(None, "t", 1, "A", 5.0), ("x", "t", 2, "A", 5.0), ("p", None, 3, "A", 5.0), ("p", "t", None, "B", 1.0)], "pat string, track string, t int, point string, dist double")
+    out = placement.placed(fixes, links, ["pat"], ["track"], [F.col("t")])
+    assert sorted((r["pat"] or "", r["t"] or 0, r["link_idx"], r["count"]) for r in out.collect()) == [("", 1, None, False), ("p", 0, 1, True), ("p", 3, 0, True), ("x", 2, None, False)]
+
+
 LINKS = [("p", 0, "A", "B", 100.0), ("p", 1, "B", "C", 200.0), ("p", 2, "C", "B", 300.0), ("p", 3, "B", "D", 400.0)]
 LINK = "pat string, link_idx int, from_stop string, to_stop string, len_m double"
 

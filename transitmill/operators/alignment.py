@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import ship
 
+#: Rows of a part, at least.
+PART = 5000
+#: Candidates an observation from which least_span is tried before best_chain; the result is the same.
+MANY = 6
+
 
 def best_chain(candidates: list[list[tuple[int, float]]], strict: bool = False) -> list[int | None]:
     """For each observation the number of its chosen candidate (place, position), or None if it is left out.
@@ -52,40 +61,82 @@ def best_chain(candidates: list[list[tuple[int, float]]], strict: bool = False)
     return out
 
 
-def aligned(rows: DataFrame, run: list[str], order: list[Column], candidates: str = "candidates", strict: bool = False) -> DataFrame:
-    """rows with `place` and `position` of the chosen candidate (null: left out) for `candidates`, an array of (place int, position double).
+def least_span(places: list[np.ndarray], positions: list[np.ndarray], strict: bool = False) -> list[int] | None:
+    """best_chain's choice if every observation can be placed, else None. An observation's places rise, and its positions don't fall.
 
-    Runs are dealt by their keys and sorted by `order` within tasks, with spilling; a task holds the rows of one run at a time. A
-    null or empty list of candidates is left out, repeated rows are observations each, and no rows give none.
+    From each candidate of the first observation the way goes to the nearest candidate of the next one, all ways at once, so that
+    an observation takes a search of as many places as there are ways, whatever lies between.
+    """
+    side = "right" if strict else "left"
+    starts = np.flatnonzero(np.append(positions[0][1:] != positions[0][:-1], True))
+    ways, now = [starts], positions[0][starts]
+    for at in positions[1:]:
+        nearest = np.searchsorted(at, now, side)
+        nearest = nearest[: np.searchsorted(nearest, len(at))]  # later starts run out of places first
+        if not len(nearest):
+            return None
+        ways.append(nearest)
+        now = at[nearest]
+    last = ways[-1]
+    best = int((places[-1][last] - places[0][starts[: len(last)]]).argmin())
+    return [int(way[best]) for way in ways]
+
+
+def chosen(places: list[np.ndarray], positions: list[np.ndarray], strict: bool = False) -> list[int | None]:
+    """best_chain of arrays; an observation without candidates is left out."""
+    held = [k for k, own in enumerate(places) if len(own)]
+    out: list[int | None] = [None] * len(places)
+    if not held:
+        return out
+    found = None
+    if sum(len(places[k]) for k in held) >= MANY * len(held) and all((np.diff(positions[k]) >= 0).all() for k in held):
+        found = least_span([places[k] for k in held], [positions[k] for k in held], strict)
+    if found is None:
+        found = best_chain([list(zip(places[k].tolist(), positions[k].tolist(), strict=True)) for k in held], strict)
+    for k, j in zip(held, found, strict=True):
+        out[k] = j
+    return out
+
+
+def by_runs(rows: DataFrame, places: DataFrame, keys: list[str], run: list[str], order: list[Column], align: Callable, added: str) -> DataFrame:
+    """rows with the columns `added` that `align` gives: align(places of the keys) is called once a part, and what it returns once for each
+    run, with the run's rows as lists by column, in rising `order`; it gives lists of the new columns' values, in order.
+
+    A row carries no candidates: the rows of keys are dealt by runs to parts of about as many rows as the keys have places (PART
+    at least), and each part gets all of the places once. So places are copied at most once a row, and a task holds one part. A run
+    stays whole. Rows of keys without places get empty ones.
     """
     ship(rows.sparkSession)
-    own = [c for c in rows.columns if c not in (candidates, "place", "position")]
-    given = rows.select(*own, F.to_json(F.struct(*run)).alias("_run"), F.col(candidates).alias("_given"))
-    sorted_rows = given.repartition("_run").sortWithinPartitions("_run", *order)
-    kinds = StructType.fromDDL("place int, position double")
+    own = rows.columns
+    sized = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).join(sized, keys, "left")
+    parts = counts.select(*[F.col(c).alias(f"_key_{c}") for c in keys], F.ceil(F.col("_rows") / F.greatest(F.lit(PART), F.coalesce("_size", F.lit(0)))).alias("_parts"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys])
+    dealt = rows.join(F.broadcast(parts), same).select(*own, *[c.alias(f"_order{i}") for i, c in enumerate(order)], F.pmod(F.xxhash64(*run), "_parts").alias("_part"))
+    copies = places.join(F.broadcast(parts), reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_key_{c}") for c in keys]))
+    copies = copies.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) if c in keys else c for c in places.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    kinds = StructType.fromDDL(added)
     schema = StructType([*[rows.schema[c] for c in own], *kinds])
+    target = to_arrow_schema(kinds)
+    orders = [(f"_order{i}", "ascending") for i in range(len(order))]
+
+    def part(given: pa.Table, chains: pa.Table) -> pa.Table:
+        number = np.zeros(given.num_rows, np.int64)
+        for c in run:
+            code = given[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            number = np.unique(number * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+        given = given.append_column("_run", pa.array(number))
+        given = given.take(pc.sort_indices(given, sort_keys=[("_run", "ascending"), *orders], null_placement="at_start"))
+        number = given["_run"].to_numpy()
+        ends = np.append(np.flatnonzero(number[1:] != number[:-1]) + 1, len(number)) if len(number) else []
+        values, one, lo, new = {c: given[c].to_pylist() for c in own if c not in keys}, align(chains), 0, [[] for _ in target]
+        for hi in ends:
+            for held, more in zip(new, one({c: v[lo:hi] for c, v in values.items()}), strict=True):
+                held.extend(more)
+            lo = hi
+        out = given.select(own)
+        for f, held in zip(target, new, strict=True):
+            out = out.append_column(f, pa.array(held, f.type))
+        return out
 
-    def finished(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(held)
-        lists = [[(x["place"], x["position"]) for x in own or []] for own in whole.column("_given").to_pylist()]
-        picked = [None if j is None else own[j] for own, j in zip(lists, best_chain(lists, strict), strict=True)]
-        made = whole.select(own).append_column("place", pa.array([p and p[0] for p in picked], pa.int32()))
-        yield from made.append_column("position", pa.array([p and p[1] for p in picked], pa.float64())).combine_chunks().to_batches()
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for b in batches:
-            names, lo = b.column("_run").to_pylist(), 0
-            for i, name in enumerate(names):
-                if name != now:
-                    if i > lo:
-                        held.append(b.slice(lo, i - lo))
-                    if held:
-                        yield from finished(held)
-                    held, lo, now = [], i, name
-            held.append(b.slice(lo))
-        if held:
-            yield from finished(held)
-
-    return sorted_rows.mapInArrow(runs, schema)
+    return dealt.groupBy(*keys, "_part").cogroup(copies.groupBy(*keys, "_part")).applyInArrow(part, schema)
