@@ -370,3 +370,31 @@ def test_two_sided_and_line_order(spark):
     assert got == {("up", 1): "a", ("up", 2): "c", ("down", 1): "e", ("down", 2): "b"}
     lines = spark.createDataFrame([("10",), ("9",), ("T7",), ("1",)], "line string")
     assert [r.line for r in pages.in_line_order(lines).orderBy("place").collect()] == ["1", "9", "10", "T7"]
+
+
+def test_stretches_of_very_many_links_in_few_lines(spark):
+    rows = spark.range(6000).selectExpr("id AS link_key", "'A' AS from_name", "'B' AS to_name", "double(id) AS cost", "transform(array(4.30D, 4.31D, 4.32D), x -> array(x, 50.0D + (id % 3) * 0.00002D + IF(id % 3 = 2, 1, 0))) AS geometry")
+    more = spark.createDataFrame([(9001, "A", "B", 1e9, [[4.3, 50.0]]), (9002, "A", "B", 1e9, None)], "link_key long, from_name string, to_name string, cost double, geometry array<array<double>>")
+    got = stretches.merge(rows.unionByName(more))
+    assert {(r.link_key if r.link_key > 9000 else r.link_key % 3, r.stretch) for r in got.collect()} == {(0, 5998), (1, 5998), (2, 5999), (9001, 9001), (9002, 9002)}
+
+
+def test_stretches_are_those_of_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        x, y = 4.3 + rng.choice([0, 0.002, 0.02]), rng.choice([50.0, 70.0]) + rng.randint(0, 8) * 0.00012
+        rows.append((k, "A", "B", float(rng.randint(0, 9)), [[x, y], [x + rng.choice([0.004, 0.01]), y + rng.choice([0, 0.0002])]]))
+    line, cost = {r[0]: r[4] for r in rows}, {r[0]: r[3] for r in rows}
+    group = {k: k for k in line}
+    for a, b in itertools.combinations(sorted(line), 2):
+        if stretches.overlap(line[a], line[b]) >= 0.8:
+            old = group[b]
+            group = {k: group[a] if g == old else g for k, g in group.items()}
+    want = {k: min((m for m in line if group[m] == g), key=lambda m: (-cost[m], m)) for k, g in group.items()}
+    assert 5 < len(set(want.values())) < 55
+    df = spark.createDataFrame(rows, "link_key long, from_name string, to_name string, cost double, geometry array<array<double>>")
+    assert {r.link_key: r.stretch for r in stretches.merge(df).collect()} == want

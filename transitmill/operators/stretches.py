@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,25 +36,60 @@ def overlap(a, b) -> float:
     return float((np.hypot(away[..., 0], away[..., 1]).min(axis=1) <= OVERLAP_M).mean())
 
 
+def meeting(lines: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of lines whose boxes come within OVERLAP_M, the only ones that can run along each other: a sweep from south to
+    north over the boxes. The margin is twice that, by the metres of a degree where they are least."""
+    boxes = np.array([[*x.min(axis=0), *x.max(axis=0)] for x in lines])
+    far = np.abs(boxes[:, [1, 3]]).max()
+    lon = 2 * OVERLAP_M / (DEGREE_M[0] * np.cos(np.radians(far))) if far < 89 else np.inf
+    lat = 2 * OVERLAP_M / DEGREE_M[1]
+    order = np.argsort(boxes[:, 1], kind="stable")
+    west, south, east, north = boxes[order].T
+    last = np.searchsorted(south, north + lat, "right")
+    for k, hi in enumerate(last):
+        near = np.arange(k + 1, hi)
+        near = near[(west[near] <= east[k] + lon) & (east[near] >= west[k] - lon)]
+        for n in near:
+            yield tuple(sorted((int(order[k]), int(order[n]))))
+
+
 def merge(links: DataFrame, key: str = "link_key", names: tuple[str, str] = ("from_name", "to_name"), cost: str = "cost", geometry: str = "geometry") -> DataFrame:
     """(link_key, stretch): links of equal names that run along each other, named by the costliest (of equal ones, the least key).
 
-    Only links that share both names meet, and those are the few variants of one street.
+    Only links that share both names meet. Equal geometries are one line, which stands for all of its links, and lines are compared
+    only where their boxes come near each other and they aren't yet in one stretch.
     """
 
     ship(links.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([cost, key], ascending=[False, True]).reset_index(drop=True)
-        lines, keys = pdf[geometry].tolist(), pdf[key].tolist()
-        along = np.eye(len(pdf), dtype=bool)
-        for i, j in zip(*np.triu_indices(len(pdf), 1), strict=True):
-            x, y = sorted((i, j), key=keys.__getitem__)
-            along[i, j] = along[j, i] = overlap(lines[x], lines[y]) >= OVERLAP_SHARE
-        # each link takes the least place among those it runs along, until that changes nothing
-        top, last = np.arange(len(pdf)), None
-        while last is None or (top != last).any():
-            last, top = top, np.where(along, top, len(pdf)).min(axis=1)
+        keys = pdf[key].tolist()
+        top = np.arange(len(pdf))
+        points = [np.asarray([list(p) for p in x], float).reshape(-1, 2) for x in pdf[geometry]]
+        same: dict[bytes, list[int]] = {}
+        for k, x in enumerate(points):
+            if len(x) > 1 and np.isfinite(x).all():  # a point runs along nothing
+                same.setdefault(x.tobytes(), []).append(k)
+        groups = list(same.values())  # by their first, the costliest
+        lines = [points[g[0]] for g in groups]
+        least, most = [min(keys[k] for k in g) for g in groups], [max(keys[k] for k in g) for g in groups]
+        above = list(range(len(groups)))
+
+        def root(i: int) -> int:
+            while above[i] != i:
+                above[i] = i = above[above[i]]
+            return i
+
+        for i, j in meeting(lines) if len(lines) > 1 else ():
+            a, b = root(i), root(j)
+            if a == b:
+                continue
+            ways = [(x, y) for x, y in ((i, j), (j, i)) if least[x] < most[y]]  # a pair is looked at from its lesser key
+            if any(overlap(lines[x], lines[y]) >= OVERLAP_SHARE for x, y in ways):
+                above[max(a, b)] = min(a, b)
+        for i, g in enumerate(groups):
+            top[g] = groups[root(i)][0]
         return pd.DataFrame({key: keys, "stretch": [keys[k] for k in top]})
 
     kind = links.schema[key].dataType.simpleString()
