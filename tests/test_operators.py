@@ -421,3 +421,10 @@ def test_route_changes_of_many_routes_without_any_frame_a_row(spark, monkeypatch
     df = spark.range(4000).selectExpr("id", "array(300D, 300D) AS ref", "array(300D, 300D + IF(id % 2 = 0, 400, 0)) AS own", "array('A', 'B', 'C') AS names")
     got = routes.route_changes(df, ["id"]).collect()
     assert {tuple(r)[1:] for r in got} == {("detour", "B", "C", 400, None)} and sorted(r.id for r in got) == list(range(0, 4000, 2))
+
+
+def test_departures_of_one_time_go_by_the_tie_not_by_the_rows_order(spark):
+    rows = [(i, "t", 5 + (i > 1), link, 1, False) for i, link in enumerate([1, 2, 3, 9])]
+    for given in (rows, rows[::-1], rows[2:] + rows[:2]):
+        x = spark.createDataFrame(given, "event_id int, track_id string, ts long, link_idx int, pattern_uid int, at_stop boolean").coalesce(1)
+        assert sorted(r.event_id for r in zones.departures(x, tie=["event_id"]).collect()) == [0, 1, 2]

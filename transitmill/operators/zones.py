@@ -14,9 +14,9 @@ def stands(fixes: DataFrame, track: str = "track_id", ts: str = "ts", position:
     return sessions(fixes, [track], ts, position, [ts, *(tie or [])], STAND_GAP_S, STAND_MOVE_M, STAND_LONG_S).drop("session")
 
 
-def departures(fixes: DataFrame, at_stop: str = "at_stop") -> DataFrame:
-    """Fixes away from a stop that are their track's first, or follow one on the link before of the same pattern."""
-    w = Window.partitionBy("track_id").orderBy("ts")
+def departures(fixes: DataFrame, at_stop: str = "at_stop", tie: list[str] | None = None) -> DataFrame:
+    """Fixes away from a stop that are their track's first, or follow one on the link before of the same pattern. `tie` orders fixes of one time."""
+    w = Window.partitionBy("track_id").orderBy("ts", *(tie or []))
     came = (F.lag("link_idx").over(w) == F.col("link_idx") - 1) & (F.lag("pattern_uid").over(w) == F.col("pattern_uid"))
     return fixes.withColumn("_from", came | (F.row_number().over(w) == 1)).filter(F.coalesce("_from", F.lit(False)) & ~F.col(at_stop)).drop("_from")
 

@@ -219,7 +219,7 @@ def heads(spark, d):
 @query(E + """, w AS (SELECT event_id, (user_id % 5 = lag(user_id % 5) OVER o AND hour = lag(hour) OVER o + 1) OR row_number() OVER o = 1 AS dep, event_type FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t)) SELECT event_id FROM w WHERE coalesce(dep, false) AND event_type <> 'error'""")
 def departures(spark, d):
     x = events(spark, d).select("event_id", F.col("user_id").alias("track_id"), F.col("t").alias("ts"), F.col("hour").alias("link_idx"), (F.col("user_id") % 5).alias("pattern_uid"), (F.col("event_type") == "error").alias("at_stop"))
-    return zones.departures(x).select("event_id")
+    return zones.departures(x, tie=["event_id"]).select("event_id")
 
 
 @query(FX + LK + """, m AS (SELECT DISTINCT link_key FROM fx WHERE link_key % 4 = 0) SELECT event_id, value <= h OR value > len_m - 36 AS stop FROM (SELECT e.event_id, e.value, lk.len_m, CASE WHEN m.link_key IS NOT NULL THEN 55.0 ELSE 39.0 END AS h FROM e JOIN lk ON lk.link_key = e.user_id LEFT JOIN m ON m.link_key = e.user_id)""")
