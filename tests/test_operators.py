@@ -428,3 +428,10 @@ def test_departures_of_one_time_go_by_the_tie_not_by_the_rows_order(spark):
     for given in (rows, rows[::-1], rows[2:] + rows[:2]):
         x = spark.createDataFrame(given, "event_id int, track_id string, ts long, link_idx int, pattern_uid int, at_stop boolean").coalesce(1)
         assert sorted(r.event_id for r in zones.departures(x, tie=["event_id"]).collect()) == [0, 1, 2]
+
+
+def test_path_length_of_points_of_one_time_goes_by_the_tie(spark):
+    rows = [("s", 1, 1, 0.0, 0.0), ("s", 1, 2, 3.0, 4.0), ("s", 1, 3, 3.0, 0.0), ("s", 2, 4, 3.0, 1.0)]
+    for given in (rows, rows[::-1], rows[2:] + rows[:2]):
+        p = spark.createDataFrame(given, "shape_id string, t long, event_id int, lon double, lat double").coalesce(1)
+        assert timetable.path_length(p, ["shape_id"], ["t", "event_id"], "lon", "lat", spherical=False).first().km == 10.0

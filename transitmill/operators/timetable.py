@@ -35,9 +35,9 @@ def trips_by_date(active: DataFrame, trips: DataFrame) -> DataFrame:
     return active.join(per, "service_id").groupBy("date").agg(F.sum("_n").alias("trips"))
 
 
-def path_length(points: DataFrame, keys: list[str], order: str, x: str, y: str, spherical: bool = True) -> DataFrame:
+def path_length(points: DataFrame, keys: list[str], order: str | list[str], x: str, y: str, spherical: bool = True) -> DataFrame:
     """(keys, km): length of the polyline through the points in order; on the sphere with the later point's latitude, else plane."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(order)  # by several columns where the first leaves ties
     dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
     if spherical:
         step = EARTH_KM * F.sqrt(F.pow(F.radians(dx) * F.cos(F.radians(F.col(y))), 2) + F.pow(F.radians(dy), 2))

@@ -61,8 +61,8 @@ def plan_hours(spark, d):
 @query(E + """, p AS (SELECT user_id, t, 4 + value / 500 AS lon, 50 + hour / 24.0 AS lat FROM e), s AS (SELECT user_id, 6371.0088 * sqrt(pow(radians(lon - lag(lon) OVER o) * cos(radians(lat)), 2) + pow(radians(lat - lag(lat) OVER o), 2)) AS s FROM p WINDOW o AS (PARTITION BY user_id ORDER BY t))
 SELECT user_id, round(coalesce(sum(s), 0), 4) AS km FROM s GROUP BY ALL""")
 def shape_length(spark, d):
-    p = events(spark, d).select("user_id", "t", (4 + F.col("value") / 500).alias("lon"), (50 + F.col("hour") / 24.0).alias("lat"))
-    return rounded(timetable.path_length(p, ["user_id"], "t", "lon", "lat"))
+    p = events(spark, d).select("user_id", "t", "event_id", (4 + F.col("value") / 500).alias("lon"), (50 + F.col("hour") / 24.0).alias("lat"))
+    return rounded(timetable.path_length(p, ["user_id"], ["t", "event_id"], "lon", "lat"))
 
 
 @query("""WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
