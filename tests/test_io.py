@@ -71,6 +71,16 @@ def test_stream_of_polls_equals_batch(spark, tmp_path):
     assert got == {20 * i: i not in (0, 7) and c == "aabbbcaa"[i - 1] for i, c in enumerate("aabbbcaa")}
 
 
+def test_stream_of_polls_of_one_time_goes_by_the_tie(spark, tmp_path):
+    rows = [("f", dt.date(2025, 3, 1), t, 1, c, i) for i, (t, c) in enumerate([(0, "a"), (20, "a"), (20, "b"), (20, "b"), (40, "b")])]
+    schema = "feed string, day date, ts bigint, n_rows bigint, content string, id int"
+    for k, given in enumerate((rows, rows[::-1], rows[2:] + rows[:2])):
+        spark.createDataFrame(given, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        twins.drain(twins.frozen_polls(spark.readStream.schema(schema).parquet(str(tmp_path / f"in{k}")), tie=["id"]), str(tmp_path / f"out{k}"), "append")
+        got = sorted((r.ts, r.frozen) for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect())
+        assert got == [(0, False), (20, False), (20, True), (20, True), (40, True)]
+
+
 def test_stream_windows_equal_batch(spark, tmp_path):
     at = dt.datetime(2025, 3, 3)
     ev = spark.createDataFrame([(at + dt.timedelta(hours=h), "k") for h in (1, 5, 23, 27, 29, 60, 200)], "ts timestamp, line string")

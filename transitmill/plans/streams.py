@@ -40,5 +40,5 @@ def stream_sessions(spark, d):
 @query(E + " SELECT user_id::VARCHAR AS feed, service_date AS day, t AS ts, 1::BIGINT AS n_rows, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id, service_date ORDER BY t), false) AS frozen FROM e")
 def stream_frozen_polls(spark, d):
     e = stream(spark, d)
-    polls = e.select(F.col("user_id").cast("string").alias("feed"), F.to_date("ts").alias("day"), F.unix_timestamp("ts").alias("ts"), F.lit(1).cast("long").alias("n_rows"), F.col("event_type").alias("content"))
-    return drained(spark, twins.frozen_polls(polls), "append")
+    polls = e.select(F.col("user_id").cast("string").alias("feed"), F.to_date("ts").alias("day"), F.unix_timestamp("ts").alias("ts"), F.lit(1).cast("long").alias("n_rows"), F.col("event_type").alias("content"), "event_id")
+    return drained(spark, twins.frozen_polls(polls, tie=["event_id"]), "append")

@@ -24,15 +24,15 @@ def inactive_sessions(events: DataFrame, ts: str, keys: list[str], gap: str, lat
     return s.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n")
 
 
-def frozen_polls(polls: DataFrame, feed: str = "feed", day: str = "day") -> DataFrame:
+def frozen_polls(polls: DataFrame, feed: str = "feed", day: str = "day", tie: list[str] | None = None) -> DataFrame:
     """(feed, day, ts, n_rows, frozen) from polls (feed, day, ts, n_rows, content) as they come: a poll whose content is that of
     the one before on the same day is frozen, as in the batch. The state is the last poll's day and content; polls of one
-    trigger are taken in order of time."""
+    trigger are taken in order of time, those of one time by `tie`."""
 
     ship(polls.sparkSession)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        pdf = pd.concat(list(parts)).sort_values(["ts", *(tie or [])], kind="stable")
         now = list(zip(pdf[day].astype(str), pdf["content"], strict=True))
         before = [tuple(state.get) if state.exists else None, *now[:-1]]
         state.update(now[-1])
